@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlake.operators import dedup, freshness, ranking, validation
+from postlake.plans.stages import staged
 
 
 def run_batch(incoming: DataFrame, history: DataFrame, profiles: DataFrame, as_of: Column, max_days: int = 60) -> DataFrame:
@@ -18,11 +19,14 @@ def run_batch(incoming: DataFrame, history: DataFrame, profiles: DataFrame, as_o
     fresh = rows.where("not is_ghost")
     first = fresh.groupBy("content_hash").agg(F.min("posting_seq").alias("first_seq"))
     marked = rows.join(first, "content_hash", "left").withColumn("_dup", ~F.col("is_ghost") & (F.col("posting_seq") != F.col("first_seq")))
+    marked = staged(marked, "cycle-marked")
     candidates = marked.where("not is_ghost and not _dup")
+    history = staged(history, "cycle-history")
     known = history.select("content_hash").distinct().withColumn("_known", F.lit(True))
     exact = candidates.join(known, "content_hash", "left")
     fuzzy = dedup.fuzzy_duplicates(exact.where("_known is null"), history).withColumnRenamed("duplicate_of", "_like")
     judged = exact.join(fuzzy, "posting_seq", "left").withColumn("_old", F.col("_known").isNotNull() | F.col("_like").isNotNull())
+    judged = staged(judged, "cycle-judged")
     scored = ranking.rank(validation.validate(judged.where("not _old").crossJoin(F.broadcast(profiles))), as_of)
     out = lambda df, outcome, reason: df.select("posting_seq", F.lit(None).cast("int").alias("profile_id"), F.lit(outcome).alias("outcome"), reason.alias("reason"), F.lit(None).cast("int").alias("score"))
     judged_rows = scored.select("posting_seq", "profile_id", F.when(F.col("is_valid"), "new").otherwise("invalid").alias("outcome"), F.col("discard_reason").alias("reason"), F.when(F.col("is_valid"), F.col("score")).alias("score"))
@@ -36,10 +40,8 @@ def run_batch(incoming: DataFrame, history: DataFrame, profiles: DataFrame, as_o
 
 def top_new(postings: DataFrame, as_of: Column, n: int = 20) -> DataFrame:
     """The flagship list: fresh, first of their content hash, sound, newest first."""
-    from postlake.operators.validation import rule_table
-
     fresh = freshness.freshness(postings, as_of).where("not is_ghost")
     first = dedup.first_per(fresh.withColumn("content_hash", dedup.text.content_hash(*[F.col(c) for c in ("title", "company", "location", "url", "external_id")])), "content_hash")
-    table = {k: v for k, v in rule_table().items() if k in ("v1", "v2", "v3", "v4")}
+    table = {k: v for k, v in validation.rule_table().items() if k in ("v1", "v2", "v3", "v4")}
     sound = first.where(F.coalesce(*table.values()).isNull()).withColumn("recency_score", ranking.recency_score(as_of))
     return sound.orderBy(F.desc("recency_score"), F.desc("posting_seq")).limit(n).select("posting_seq", "title", "company", "content_hash", "recency_score")
