@@ -99,3 +99,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
     )
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     return stored(found.withColumn("_begin", F.substring("text", 1, 80)).dropDuplicates(["_begin"]).select("text", "label"), "labelled")
+
+
+def texts(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, no_id, text and ``more``: no nulls, as a null among ids would make pandas round them."""
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(
+        F.coalesce(doc_id, F.lit(0)).alias("doc_id"), doc_id.isNull().alias("no_id"), F.coalesce("text", F.lit("")).alias("text"), *more
+    )
+
+
+def ids(batch):
+    """The ids of a batch of `texts`, with their nulls."""
+    return batch["doc_id"].astype("Int64").mask(batch["no_id"].astype(bool))

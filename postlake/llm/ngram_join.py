@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlake.llm.common import stored
+from postlake.llm.common import ids, stored, texts
 from postlake.llm.components import components
 
 U = np.uint64
@@ -103,11 +103,10 @@ def signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 hashed = _mix((_mix(low).reshape(bands, rows) * spread).sum(axis=1, dtype=U) + label)
                 out.append((_key(grams), len(grams), hashed.view(np.int64)))
             frame = pd.DataFrame(out, columns=["set", "grams", "bands"])
-            frame.insert(0, "doc_id", batch["doc_id"].astype("Int64"))
+            frame.insert(0, "doc_id", ids(batch).array)
             yield frame
 
-    rows_ = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows_.mapInPandas(run, "doc_id long, set long, grams long, bands array<long>")
+    return texts(docs).mapInPandas(run, "doc_id long, set long, grams long, bands array<long>")
 
 
 def _similar(sets: list[np.ndarray], left: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -245,8 +244,8 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
     clusters = components(stars).select(F.col("node").alias("set"), F.col("root").alias("cluster"))
     clustered = stored(sets.select("set", "member", "grams").join(clusters, "set"), "clustered")
     blocks = _blocks(clustered, threshold)
-    texts = docs.select(F.col("doc_id").alias("member"), F.coalesce("text", F.lit("")).alias("text"))
-    with_text = _null_safe(texts, blocks)
+    whole = docs.select(F.col("doc_id").alias("member"), F.coalesce("text", F.lit("")).alias("text"))
+    with_text = _null_safe(whole, blocks)
     placed = with_text.repartition("block").sortWithinPartitions("block", "side", "set")
     found = placed.mapInPandas(lambda it: _linked(it, n, threshold), "set long, links long, to long")
     found = stored(found, "links")
@@ -258,10 +257,10 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
     return table.select("doc_id", "set").join(named, "set").select("doc_id", "class_id", "n_links", "set_id", "set_size")
 
 
-def _null_safe(texts: DataFrame, blocks: DataFrame) -> DataFrame:
+def _null_safe(whole: DataFrame, blocks: DataFrame) -> DataFrame:
     """Blocks with the text of their classes' members; a null id is matched like others."""
     other = blocks.withColumnRenamed("member", "_member")
-    return texts.join(other, F.col("member").eqNullSafe(F.col("_member"))).select("block", "two", "side", "set", "text")
+    return whole.join(other, F.col("member").eqNullSafe(F.col("_member"))).select("block", "two", "side", "set", "text")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlake.llm.common import ranked, stored
+from postlake.llm.common import ids, ranked, stored, texts
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Chunks that a worker remembers, and the longest one that it remembers, in bytes.
@@ -106,16 +106,16 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
         encoder = _Encoder(tokenizer)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = encoder(text.encode()) + end
-                for k, at in enumerate(range(0, len(ids), width)):
-                    part = ids[at : at + width]
-                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
+            for at_row, text in enumerate(batch["text"]):
+                found = encoder(text.encode()) + end
+                for k, at in enumerate(range(0, len(found), width)):
+                    part = found[at : at + width]
+                    rows.append((at_row, k, at // 4, len(part) // 4, zlib.crc32(part)))
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            out["doc_id"] = pd.array([None if pd.isna(x) else int(x) for x in out["doc_id"]], "Int64")
+            out["doc_id"] = ids(batch).take(out["doc_id"].to_numpy(int)).array
             yield out
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, PIECES)
+    return texts(docs).mapInPandas(run, PIECES)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlake.llm.common import SAMPLE_ROWS, held_out, labelled_sample
+from postlake.llm.common import SAMPLE_ROWS, held_out, ids, labelled_sample, texts
 
 FEATURES = (
     "log_words", "word_length", "distinct_words", "repeats_previous", "top_word", "distinct_pairs",
@@ -181,9 +181,9 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = np.array([features(t) for t in batch["text"]], float).reshape(-1, len(FEATURES))
-            out = pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "held_out": batch["held_out"], "score": model.score(x)})
+            out = pd.DataFrame({"doc_id": ids(batch).array, "held_out": batch["held_out"], "score": model.score(x)})
             out["predicted"] = (out["score"] >= threshold).astype("int32")
             yield out
 
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = texts(docs, held_out(F.col("doc_id")).alias("held_out"))
     return rows.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")

@@ -20,7 +20,8 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from postlake.llm.common import ids, texts
 
 
 @dataclass(frozen=True)
@@ -313,7 +314,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                     + [hashlib.sha256(own.encode()).hexdigest(), ",".join(x for _, x in listed)]
                 )
             out = pd.DataFrame(rows, columns=[*counts, "base_sha256", "spans"])
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64"))
+            out.insert(0, "doc_id", ids(batch).array)
             yield out
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, schema)
+    return texts(docs).mapInPandas(run, schema)

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlake.llm.common import SAMPLE_ROWS, held_out, labelled_sample
+from postlake.llm.common import SAMPLE_ROWS, held_out, ids, labelled_sample, texts
 
 # Cyrillic and Greek letters and the Latin ones that they look like.
 LOOKALIKES = dict(zip("аеорсухкіјѕԁһӏνοαετυικρω", "aeopcyxkijsdhlvoaetuikpw", strict=True))
@@ -200,11 +200,11 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
         machine = model.lexicon.automaton()
         for batch in batches:
             x = np.array([features(machine, fold(t)) for t in batch["text"]], float).reshape(-1, 3)
-            out = pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "held_out": batch["held_out"], "score": model.score(x)})
+            out = pd.DataFrame({"doc_id": ids(batch).array, "held_out": batch["held_out"], "score": model.score(x)})
             out["predicted"] = (out["score"] >= threshold).astype("int32")
             yield out
 
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = texts(docs, held_out(F.col("doc_id")).alias("held_out"))
     return rows.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
@@ -212,9 +212,9 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> Data
     """The rows of ``docs``, with all their columns, that score below the threshold."""
 
     @F.pandas_udf("boolean")
-    def clean(texts: pd.Series) -> pd.Series:
+    def clean(found: pd.Series) -> pd.Series:
         machine = _machine(model)
-        x = np.array([features(machine, fold(t or "")) for t in texts], float).reshape(-1, 3)
+        x = np.array([features(machine, fold(t or "")) for t in found], float).reshape(-1, 3)
         return pd.Series(model.score(x) < threshold)
 
     return docs.where(clean("text"))
