@@ -1,18 +1,14 @@
 """Quality rules: a table of thresholds compiled into one Spark projection.
 
-The rules and the ratios that they read are built-in functions only. One count of
-the base, words in repeated windows, is an Arrow function.
+The rules and all that they read are built-in functions only.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from postlake.llm.common import SPACE, words
 
@@ -51,39 +47,26 @@ RULES = (
 )
 
 
-def count_repeated(words: list[bytes]) -> int:
-    """Words that lie in a window of five words found twice or more among ``words``.
+def with_repeats(df: DataFrame, words: str) -> DataFrame:
+    """Add ``n_repeat_words``: words in a window of five words found twice or more in the same text.
 
-    Windows are compared by a 64-bit hash; each repeated one covers the words up to
-    the next repeated one, five at most.
+    Windows are compared by a 64-bit hash, and sorted only where hashes repeat; each
+    repeated window, in order of place, adds the words that the one before it doesn't cover.
     """
-    if len(words) <= WINDOW:
-        return 0
-    seen: dict[bytes, int] = {}
-    ids = np.array([seen.setdefault(w, len(seen)) for w in words], np.uint64)
-    if len(seen) == len(words):
-        return 0
-    ids = (ids + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    ids = (ids ^ (ids >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    ids ^= ids >> np.uint64(32)
-    n = len(ids) - WINDOW + 1
-    hashes = ids[:n].copy()
-    for k in range(1, WINDOW):
-        hashes = hashes * np.uint64(0x94D049BB133111EB) + ids[k : k + n]
-    order = np.argsort(hashes, kind="stable")
-    same = hashes[order[1:]] == hashes[order[:-1]]
-    if not same.any():
-        return 0
-    twice = np.zeros(n + 1, bool)
-    twice[order[1:][same]] = twice[order[:-1][same]] = True
-    at = np.flatnonzero(twice)
-    return int(np.minimum(np.diff(at), WINDOW).sum()) + WINDOW
-
-
-@F.pandas_udf(T.LongType())
-def repeated_words(text: pd.Series) -> pd.Series:
-    """`count_repeated` of each text's words. Higher-order functions gave the same counts at six times the cost."""
-    return pd.Series([count_repeated(x.encode().split()) for x in text], dtype="int64")
+    c = F.col(words)
+    hashes = F.when(F.size(c) > WINDOW, F.transform(F.sequence(F.lit(1), F.size(c) - WINDOW + 1), lambda i: F.xxhash64(F.slice(c, i, WINDOW))))
+    placed = F.array_sort(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
+    h = lambda i: F.get("_placed", i)["h"]
+    twice = F.filter("_placed", lambda x, i: (h(i - 1) == x["h"]) | (h(i + 1) == x["h"]))
+    start = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).cast("long").alias("n"))
+    covered = F.aggregate("_at", start, lambda s, at: F.struct(at.alias("last"), (s["n"] + F.least(F.lit(WINDOW), at - s["last"])).alias("n")), lambda s: s["n"])
+    return (
+        df.withColumn("_hashes", hashes)
+        .withColumn("_placed", F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), placed))
+        .withColumn("_at", F.array_sort(F.transform(twice, lambda x: x["at"])))
+        .withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
+        .drop("_hashes", "_placed", "_at")
+    )
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -94,13 +77,13 @@ def measured(docs: DataFrame) -> DataFrame:
     stops = F.array(*[F.lit(x) for x in STOP_WORDS])
     n_in = lambda pattern: F.regexp_count("_text", F.lit(pattern))
     edge, end = r"(?<![^\x20\x09-\x0D])", r"(?![^\x20\x09-\x0D])"
-    return with_words.withColumn("_lines", lines).select(
+    return with_repeats(with_words, "_words").withColumn("_lines", lines).select(
         "doc_id",
         F.size("_words").cast("long").alias("n_words"),
         F.char_length(F.regexp_replace("_text", SPACE, "")).cast("long").alias("word_chars"),
         n_in(SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words("_text").alias("n_repeat_words"),
+        "n_repeat_words",
         F.size("_lines").alias("n_lines"),
         n_in("!!" + end).alias("n_exclaimed"),
         F.size(F.array_intersect(F.col("_words"), stops)).alias("n_stop"),

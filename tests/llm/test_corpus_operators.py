@@ -267,13 +267,14 @@ def test_warc_captures_are_whole(spark):
     assert row["request"]["target_uri"] == "http://a/b" and row["metadata"]["page_id"] == 1 and bytes(row["response"]["payload"]) == b"x"
 
 
-def test_repeated_words():
+def test_repeated_words(spark):
     rng = random.Random(3)
-    for _ in range(300):
-        w = [rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randrange(0, 40))]
-        grams = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+    lists = [[rng.choice("abc") for _ in range(rng.randrange(40))] for _ in range(150)] + [[f"w{k}" for k in range(9000)], ["x"] * 9000, [], ["a"] * 5, ["a"] * 6]
+    got = quality_rules.with_repeats(spark.createDataFrame(list(enumerate(lists)), "k long, w array<string>"), "w").collect()
+    for r in got:
+        grams = [tuple(r["w"][k : k + 5]) for k in range(len(r["w"]) - 4)]
         n = Counter(grams)
-        assert quality_rules.count_repeated(w) == len({k + j for k, g in enumerate(grams) if n[g] > 1 for j in range(5)})
+        assert r["n_repeat_words"] == len({k + j for k, g in enumerate(grams) if n[g] > 1 for j in range(5)})
 
 
 def test_folding_and_exceptions():
