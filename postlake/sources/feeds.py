@@ -67,6 +67,18 @@ def parse_rss(bronze: DataFrame) -> DataFrame:
     )
 
 
+def split_last(rows: DataFrame) -> DataFrame:
+    """Titles `Title - Company` of postings without a company, split at the last dash."""
+    cut = r"^(.*) - (.*)$"
+    named = (F.col("company") == "") & F.col("title").rlike(cut)
+    return rows.withColumns(
+        {
+            "company": F.when(named, F.regexp_extract("title", cut, 2)).otherwise(F.col("company")),
+            "title": F.when(named, F.regexp_extract("title", cut, 1)).otherwise(F.col("title")),
+        }
+    )
+
+
 def parse_html_cards(bronze: DataFrame) -> DataFrame:
     """Links of HTML pages: each anchor with a title and an address; relative ones are made absolute."""
     base = F.regexp_extract("url", r"^(https?://[^/]+)", 1)

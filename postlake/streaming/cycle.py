@@ -26,6 +26,16 @@ def source_counts(events: DataFrame, window: str = "1 day", delay: str = "1 day"
     )
 
 
+def digests(rows: DataFrame, window: str = "1 day", delay: str = "1 day") -> DataFrame:
+    """Per profile and window, how many postings there were and the best value; the same on a table and on a stream."""
+    return (
+        rows.withWatermark("ts", delay)
+        .groupBy(F.window("ts", window).alias("w"), "profile_id")
+        .agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("best"))
+        .select("profile_id", F.col("w.start").alias("start"), "n", "best")
+    )
+
+
 def step(state: str, failures: int, opened: float, ok: bool, now: float, threshold: int, recovery: float) -> tuple[str, int, float]:
     """One attempt of the breaker: its state after it, failures so far and when it opened.
 

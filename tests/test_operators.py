@@ -141,3 +141,45 @@ def test_no_nested_loops(spark, name):
 
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_blend_and_favourites(spark):
+    from postlake.operators import accounts
+
+    df = spark.createDataFrame([(1, 75, None), (2, 75, 150), (3, 75, -5)], "k int, rule int, external int")
+    got = {r["k"]: r["s"] for r in df.select("k", accounts.blended(F.col("rule"), F.col("external")).alias("s")).collect()}
+    assert got == {1: 75, 2: 85, 3: 45}
+    rows = [(1, 1, 1, True, "a"), (1, 1, 2, True, ""), (1, 2, 1, True, "x"), (1, 2, 2, False, ""), (1, 3, 1, True, "old"), (1, 3, 2, False, ""), (1, 3, 3, True, "")]
+    df = spark.createDataFrame(rows, "profile_id int, posting_seq int, seq int, wanted boolean, note string")
+    assert {(r["posting_seq"], r["note"]) for r in accounts.favourites(df).collect()} == {(1, "a"), (3, "")}
+
+
+def test_reasons(spark):
+    from postlake.operators import outcomes
+
+    rows = [("Dev", "Python e SQL", ["Git"], ["SQL", "Python", "Rust"], "remote", 90), ("Dev", None, None, [], "onsite", 40)]
+    df = spark.createDataFrame(rows, "title string, description string, requirements array<string>, skills array<string>, work_mode string, seniority_score int")
+    a, b = (r["reasons"] for r in outcomes.reasons(df).collect())
+    assert a == ["python é um match forte", "sql é um match forte", "Trabalho remoto compatível com preferência", "Senioridade compatível"]
+    assert b == ["Perfil geral compatível com a descrição", "Gap de senioridade: verificar requisitos"]
+
+
+def test_search_and_dates(spark):
+    from postlake.functions import feed_text
+
+    rows = [("Estágio em TI",), ("estagio",), ("Dev",), (None,)]
+    df = spark.createDataFrame(rows, "title string")
+    assert df.where(feed_text.search_predicate("Estagio", ["title"])).count() == 2
+    read = feed_text.parse_posted_at(F.lit("Wed, 31 Jan 2024 10:00:00 +0000"), "rfc2822")
+    assert one(spark, read)["published_at"] == dt.datetime(2024, 1, 31, 10) or one(spark, read)["date_status"] == "verified"
+    assert one(spark, feed_text.parse_posted_at(F.lit("?"), "epoch"))["date_status"] == "unknown_date"
+
+
+def test_history_duplicates_and_funnel(spark):
+    from postlake.plans import feed_queries
+
+    d = "/root/testdata/sf0.001"
+    found = feed_queries.d3(spark, d).collect()
+    assert len({r["posting_seq"] for r in found}) == len(found) and {r["kind"] for r in found} == {"exact", "similar"}
+    per = {r["outcome"]: r["n"] for r in feed_queries.a7(spark, d).collect()}
+    assert set(per) <= {"ghost", "dup_in_batch", "dup_history", "invalid", "new"} and sum(per.values()) >= 100

@@ -1,6 +1,6 @@
 import pytest
 
-from postlake.plans import account_queries, queries  # noqa: F401  both fill the same table
+from postlake.plans import account_queries, feed_queries, queries  # noqa: F401  both fill the same table
 
 SF = "/root/testdata/sf0.001"
 
