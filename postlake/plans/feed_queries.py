@@ -10,7 +10,7 @@ from postlake.operators import dedup, outcomes, ranking
 from postlake.operators.views import top_per
 from postlake.plans import cycle
 from postlake.plans import oracle as O
-from postlake.plans.queries import attempts, pairs, query
+from postlake.plans.queries import SQL, attempts, pairs, query
 from postlake.sources import adapters as A
 from postlake.sources import feeds
 from postlake.streaming import cycle as streams
@@ -83,11 +83,14 @@ def j5(spark: SparkSession, d: str) -> DataFrame:
     return dedup.company_pairs(rows, rows)
 
 
-@query("j15_source_states", "SELECT DISTINCT source, CASE WHEN source = 'src20' THEN 'CLOSED' ELSE 'known' END AS state FROM (SELECT concat('src', user_id % 13) AS source FROM events UNION ALL SELECT 'src20') s")
+@query("j15_source_states", f"""SELECT s.source, coalesce(l.state, 'CLOSED') AS state FROM (SELECT DISTINCT concat('src', doc_id % 20) AS source FROM documents) s
+LEFT JOIN (SELECT h.source, arg_max(h.state, (e.ts, e.event_id)) AS state FROM ({SQL['t5_source_health']}) h JOIN events e USING (event_id) GROUP BY h.source) l ON s.source = l.source""")
 def j15(spark: SparkSession, d: str) -> DataFrame:
-    seen = attempts(spark, d).select("source").distinct().withColumn("state", F.lit("known"))
-    listed = seen.select("source").unionByName(A.table(spark, d, "region").limit(1).select(F.lit("src20").alias("source")))
-    return listed.join(seen, "source", "left").select("source", F.coalesce("state", F.lit("CLOSED")).alias("state"))
+    listed = A.table(spark, d, "documents").select(F.concat(F.lit("src"), (F.col("doc_id") % 20).cast("string")).alias("source")).distinct()
+    events = attempts(spark, d)
+    health = streams.source_health(events).select("source", "event_id", "state").join(events.select("event_id", "ts"), "event_id")
+    last = health.groupBy("source").agg(F.max_by("state", F.struct("ts", "event_id")).alias("state"))
+    return listed.join(last, "source", "left").select("source", F.coalesce("state", F.lit("CLOSED")).alias("state"))
 
 
 @query("d3_history_duplicates")
