@@ -69,7 +69,7 @@ class _Encoder:
         memo, rest = self.memo, []
         for x in new:
             stem, end = (x[:-1], self.ends[x[-1:]]) if x[-1:] in self.ends else (x, b"")
-            run = stem.decode() if stem.isalpha() else _letters(stem)
+            run = stem.lower().decode() if stem.isalpha() else _letters(stem)  # chunks beside '<|' keep their case
             if run:
                 memo[x] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(run)]) + end
             else:

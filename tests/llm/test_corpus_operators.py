@@ -112,6 +112,14 @@ def test_packing(docs, tokenizer):
     assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
 
 
+def test_capitals_beside_special_tokens(tokenizer):
+    from tokenizers import Tokenizer
+
+    whole, encode = Tokenizer.from_file(tokenizer), packing._Encoder(tokenizer)
+    for text in ("if a <| b: The JUMPED, End. ÉCOLE, Àb", "<|endoftext|>The The<|endoftext|> <|ENDOFTEXT|> THE. İ x1A Don'T", "<| the The THE the, The."):
+        assert np.frombuffer(encode(text.encode()), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_plan_is_best_fit_decreasing():
     rng = random.Random(1)
     for _ in range(20):
