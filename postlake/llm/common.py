@@ -84,21 +84,34 @@ SAMPLE_ROWS = 12_000
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """text and label of at most ``rows`` labelled documents outside the held-out fold.
+    """text and label of at most ``rows`` different texts of labelled documents outside the held-out fold.
 
-    Those with the smallest hashes of their ids are taken, so the same rows come
-    each time; that table of ids, bounded by ``rows``, is broadcast. Texts that begin
-    alike count once, lest copies weigh as evidence.
+    Texts that are equal but for runs of white space count once, lest copies weigh as
+    evidence: the smallest doc_id stays, with its label (the smallest one if it has several). Of
+    these, those with the smallest hashes of their ids are taken, so the same rows come each
+    time; that table of ids and digests, bounded by ``rows``, is broadcast.
     """
-    chosen = (
+    labelled = (
         labels.where(~held_out(F.col("doc_id")) & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-        .select("doc_id", F.col(label).cast("int").alias("label"))
-        .orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", "label")
+        .groupBy("doc_id")
+        .agg(F.min(F.col(label).cast("int")).alias("label"))
+    )
+    text = F.coalesce("text", F.lit(""))
+    digest = F.unhex(F.sha2(F.regexp_replace(text, SPACE, " ").cast("binary"), 256)).alias("_digest")
+    chosen = (
+        docs.where(~held_out(F.col("doc_id")))
+        .select("doc_id", digest)
+        .join(labelled, "doc_id")
+        .groupBy("_digest")
+        .agg(F.min(F.struct("doc_id", "label")).alias("_first"))
+        .select("_first.*", "_digest")
+        .orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", "_digest")
         .limit(rows)
-        .dropDuplicates(["doc_id"])
     )
-    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    return stored(found.withColumn("_begin", F.substring("text", 1, 80)).dropDuplicates(["_begin"]).select("text", "label"), "labelled")
+    found = docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen.withColumnRenamed("_digest", "_kept")), "doc_id")
+    found = found.withColumn("_digest", digest).where("_digest = _kept")
+    # rows that repeat the id and text, if white space tells them apart, give the smallest text
+    return stored(found.groupBy("_digest").agg(F.min("text").alias("text"), F.first("label").alias("label")).select("text", "label"), "labelled")
 
 
 def texts(docs: DataFrame, *more: Column) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from postlake.llm import exact_dedup, mixing, ngram_join, packing, quality_gam, quality_rules, queries, secrets, sharding, toxicity, warc
+from postlake.llm import common, exact_dedup, mixing, ngram_join, packing, quality_gam, quality_rules, queries, secrets, sharding, toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 EXTRA = ("size", "rank", "key", "set", "arc", "bucket", "taken", "begin", "_part", "score", "h")
@@ -297,3 +297,15 @@ def test_models_on_held_out_documents(spark, name, label):
     got = queries.QUERIES[name](spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out")
     rows = [(r[label], r["predicted"]) for r in got.collect()]
     assert sum(a == b for a, b in rows) / len(rows) > 0.93
+
+
+def test_labelled_sample_drops_true_copies_only(spark):
+    head = "Licence: this text may be read, kept and passed on by all who find it, under the terms named here. "
+    ids = [k for k in range(60) if zlib.crc32(str(k).encode()) % 4 != 2]
+    rows = [(k, head + f"text {k}") for k in ids[:20]] + [(k, head + "\n text 0 again") for k in ids[20:25]] + [(ids[25], head + "text 0 again")]
+    toxic = {k: k % 2 for k, _ in rows} | {k: 1 for k in ids[21:26]} | {ids[20]: 0}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")
+    got = sorted((r["text"], r["label"]) for r in common.labelled_sample(docs, labels, "toxic").collect())
+    assert got == sorted((t, toxic[k]) for k, t in rows[:21])
+    assert common.labelled_sample(docs, labels, "toxic", 20).count() == 20
