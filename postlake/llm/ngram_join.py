@@ -78,8 +78,16 @@ def _key(grams: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(grams.tobytes()) - (1 << 63)
 
 
-def signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, set (its n-gram set's name), grams (its size) and band hashes; blank texts have none."""
+def _digest(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+
+
+def signed(docs: DataFrame, n: int, bands: int, rows: int, digest: bool = False) -> DataFrame:
+    """doc_id, set (its n-gram set's name), grams (its size), band hashes and, if asked for, the text's digest.
+
+    Blank texts have no band hashes.
+    """
+    more = [_digest(F.col("text")).alias("digest")] if digest else []
     k = bands * rows
     seeds = _mix(np.arange(1, 2 * k + 1, dtype=U) * U(0x9E3779B97F4A7C15))
     a, b = seeds[:k] | U(1), seeds[k:]
@@ -104,9 +112,11 @@ def signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 out.append((_key(grams), len(grams), hashed.view(np.int64)))
             frame = pd.DataFrame(out, columns=["set", "grams", "bands"])
             frame.insert(0, "doc_id", ids(batch).array)
+            if digest:
+                frame["digest"] = batch["digest"].array
             yield frame
 
-    return texts(docs).mapInPandas(run, "doc_id long, set long, grams long, bands array<long>")
+    return texts(docs, *more).mapInPandas(run, "doc_id long, set long, grams long, bands array<long>" + ", digest string" * digest)
 
 
 def _similar(sets: list[np.ndarray], left: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -232,8 +242,14 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
     n-gram. A null doc_id is never a class_id unless all of the class are null. Pairs at the threshold become candidates with
     a probability of ``recall`` at least, more similar ones and those of a cluster more often.
     """
+    table, named = _classes(docs, n, threshold, recall)
+    return table.select("doc_id", "set").join(named, "set").select("doc_id", "class_id", "n_links", "set_id", "set_size")
+
+
+def _classes(docs: DataFrame, n: int, threshold: float, recall: float, digest: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The signatures, and a row per set: set, root (the set that names its class), class_id, n_links, set_id and set_size."""
     bands, rows = bands_for(threshold, recall)
-    table = stored(signed(docs, n, bands, rows), "signatures")
+    table = stored(signed(docs, n, bands, rows, digest), "signatures")
     sets = table.groupBy("set").agg(
         F.min("doc_id").alias("member"), F.count(F.lit(1)).alias("set_size"), F.max("grams").alias("grams"), F.first("bands").alias("bands")
     )
@@ -253,8 +269,8 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
     roots = components(found.select(F.col("set").alias("a"), F.col("to").alias("b"))).select(F.col("node").alias("set"), "root")
     named = sets.select("set", "member", "set_size").join(links, "set", "left").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
     classes = named.groupBy("root").agg(F.min("member").alias("class_id"))
-    named = named.join(classes, "root").select("set", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("member").alias("set_id"), "set_size")
-    return table.select("doc_id", "set").join(named, "set").select("doc_id", "class_id", "n_links", "set_id", "set_size")
+    n_links = F.coalesce("n_links", F.lit(0)).alias("n_links")
+    return table, named.join(classes, "root").select("set", "root", "class_id", n_links, F.col("member").alias("set_id"), "set_size")
 
 
 def _null_safe(whole: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -263,10 +279,18 @@ def _null_safe(whole: DataFrame, blocks: DataFrame) -> DataFrame:
     return whole.join(other, F.col("member").eqNullSafe(F.col("_member"))).select("block", "two", "side", "set", "text")
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stay when one document of each class does: that of the class id.
+def one_of_each(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.995) -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each class does: one with the class id.
 
-    Rows that repeat the id of one that stays are reduced to one row; blank texts are a class.
+    A document is an id and a text, so each class keeps its own, whatever ids are null or
+    shared with other classes. Of a class's texts with that id, the one of the smallest set
+    and digest stays; rows that repeat its id and text are reduced to one row. Blank texts are a class.
     """
-    keep = join(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
+    table, named = _classes(docs, n, threshold, recall, digest=True)
+    rows = table.select("doc_id", "set", "digest").join(named.select("set", "root", "class_id"), "set")
+    least = F.min(F.struct("set", "doc_id", "digest")).alias("least")
+    keep = rows.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(least)
+    keep = keep.select(F.col("least.doc_id").alias("_id"), F.col("least.digest").alias("_kept"))
+    marked = docs.withColumn("_digest", _digest(F.col("text")))
+    key = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_kept"))
+    return marked.join(keep, key, "left_semi").dropDuplicates(["doc_id", "_digest"]).drop("_digest")

@@ -228,6 +228,15 @@ def test_join_equals_brute_force(spark, monkeypatch):
     assert all(found[k][1] <= want[k][1] and found[k][2:] == want[k][2:] for k in want)
 
 
+def test_one_of_each_keeps_texts_of_null_and_shared_ids(spark):
+    base = [f"w{k}" for k in range(40)]
+    a, b, c, d, e = (" ".join(p + w for w in base) for p in "abcde")
+    rows = [(None, a), (None, b), (None, b), (None, c + " more"), (5, c), (1, d), (1, e), (2, e + " more"), (7, d + " more"), (8, None), (8, "")]
+    got = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, a), (None, b), (5, c), (1, d), (1, e), (8, "")]
+    assert Counter((r["doc_id"], r["text"] or "") for r in got) == Counter(want)
+
+
 def test_bands_reach_recall():
     for t in (0.5, 0.8, 0.9):
         b, r = ngram_join.bands_for(t, 0.99)
