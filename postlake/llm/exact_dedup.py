@@ -1,18 +1,18 @@
 """Exact deduplication against a persistent index of digests.
 
-The index is a table bucketed and sorted by digest. A new batch is first reduced
+The index is a table bucketed and sorted by digest. A batch is first reduced
 to its distinct digests, anti-joined with the index by sort-merge (the index side
-needs no shuffle) and what is new is appended.
+needs no shuffle) and what is new is appended. What stays is then read from the index.
 """
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlake.llm.common import SPACE, shared_path, stored
+from postlake.llm.common import SPACE, chosen, id_and, shared_path, stored
 
 
 def digest(text: Column) -> Column:
@@ -21,62 +21,58 @@ def digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """A table (text_sha256, keep_id), bucketed and sorted by text_sha256.
+    """A table (text_sha256, keep_id, batch) under ``path``, bucketed and sorted by text_sha256.
 
-    ``name`` is a table of the session's catalog; an existing one is continued.
-    A new one is put under ``path``, by default in the shared folder.
+    The files under ``path`` are all that an index is: a later session that opens the same path, with the same number of
+    ``buckets``, continues it. In the session's catalog it is an external table named after the path.
     """
 
-    def __init__(self, spark: SparkSession, name: str, buckets: int = 64, path: str | None = None):
-        self.spark, self.name, self.buckets = spark, name, buckets
-        self.path = path or shared_path(spark, "digest-index")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.spark, self.path, self.buckets = spark, path, buckets
+        self.name = "digest_index_" + hashlib.md5(path.encode()).hexdigest()
+        columns = "text_sha256 STRING, keep_id BIGINT, batch STRING"
+        how = f"CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {buckets} BUCKETS LOCATION '{path}'"
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} ({columns}) USING parquet {how}")
 
-    def read(self) -> DataFrame | None:
-        return self.spark.table(self.name) if self.spark.catalog.tableExists(self.name) else None
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
 
     def append(self, new: DataFrame) -> None:
-        rows = new.select("text_sha256", "keep_id").repartition(self.buckets, "text_sha256")
-        writer = rows.write.format("parquet").bucketBy(self.buckets, "text_sha256").sortBy("text_sha256")
-        if self.read() is None:
-            writer.option("path", self.path).saveAsTable(self.name)
-        else:
-            writer.mode("append").saveAsTable(self.name)
-
-    def add(self, docs: DataFrame) -> DataFrame:
+        """Append rows of digests that the index lacks: a file a bucket."""
+        new.select("text_sha256", "keep_id", "batch").repartition(self.buckets, "text_sha256").write.insertInto(self.name)
+
+    def add(self, docs: DataFrame, batch: str = "first") -> DataFrame:
         """Deduplicate a batch and append its new digests.
 
         Returns doc_id, keep_id, group_size, kept and text_sha256 for every row of
         the batch. keep_id is the smallest doc_id of the batch's equal texts, or what
         the index holds from an earlier batch; group_size counts rows of the batch.
         Null texts count as empty. Rows that repeat the kept id and text are all
-        marked kept; a null id is kept only in a group of null ids.
+        marked kept; a null id is kept only in a group of null ids. An empty batch gives no row
+        and appends none. Adding a batch again under its name, after a failure or not, appends nothing
+        twice and gives the same rows.
         """
-        rows = stored(docs.select("doc_id", digest(F.col("text")).alias("text_sha256")), "digests")
+        rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("text_sha256")), "digests")
         groups = rows.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        groups = stored(groups, "digest-groups")
-        known = self.read()
-        if known is None:
-            self.append(groups)
-        else:
-            # the index as it was: the append below must not change what this batch sees
-            old = stored(groups.join(known.withColumnRenamed("keep_id", "_known").hint("merge"), "text_sha256").select("text_sha256", "_known"), "digest-known")
-            self.append(groups.join(known.hint("merge"), "text_sha256", "left_anti"))
-            groups = groups.join(old, "text_sha256", "left").withColumn("keep_id", F.coalesce("_known", "keep_id")).drop("_known")
-        kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-        if known is not None:
-            kept = kept & F.col("_new")
-            groups = groups.join(old.select("text_sha256", F.lit(False).alias("_new")), "text_sha256", "left").withColumn("_new", F.coalesce("_new", F.lit(True)))
-        return rows.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
-
-
-def dedup(docs: DataFrame, buckets: int = 64) -> DataFrame:
-    """All documents as one batch against a new index; see `DigestIndex.add`."""
-    return DigestIndex(docs.sparkSession, f"digest_index_{uuid.uuid4().hex}", buckets).add(docs)
-
-
-def deduplicated(docs: DataFrame, buckets: int = 64) -> DataFrame:
-    """The rows that stay, one of each group of equal texts, with the columns of ``docs``."""
-    winners = dedup(docs, buckets).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest")).distinct()
-    marked = docs.withColumn("_digest", digest(F.col("text")))
-    key = (F.col("doc_id").eqNullSafe(F.col("_id"))) & (marked["_digest"] == winners["_digest"])
-    return marked.join(winners, key, "left_semi").dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+        groups = stored(groups.withColumn("batch", F.lit(batch)), "digest-groups")
+        self.append(groups.join(self.read().hint("merge"), "text_sha256", "left_anti"))
+        found = groups.select("text_sha256", "group_size").join(self.read().hint("merge"), "text_sha256")
+        # written, so that a digest with very many rows can be split over tasks in the next join
+        found = stored(found, "digest-found")
+        kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("batch") == batch)
+        return rows.join(found, "text_sha256").select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+
+
+def dedup(docs: DataFrame, index: DigestIndex | None = None, batch: str = "first") -> DataFrame:
+    """All documents as one batch against ``index``, by default a new one in the shared folder; see `DigestIndex.add`."""
+    index = index or DigestIndex(docs.sparkSession, shared_path(docs.sparkSession, "digest-index"))
+    return index.add(docs, batch)
+
+
+def deduplicated(docs: DataFrame, index: DigestIndex | None = None, batch: str = "first") -> DataFrame:
+    """The rows that stay, one of each group of equal texts that the index didn't hold before, with the columns of ``docs``.
+
+    Of rows that repeat the kept id and text one stays, of groups whose ids are all null too. An empty table stays empty.
+    """
+    winners = dedup(docs, index, batch).where("kept").select(id_and(F.col("doc_id"), F.col("text_sha256")).alias("name"))
+    return chosen(docs, id_and(F.col("doc_id").cast("long"), digest(F.col("text"))), winners)
