@@ -3,7 +3,8 @@
 Each source's documents are laid out in a shuffled order as one stream of
 words, read at most twice. The schedule is a row of slots of equal numbers of
 words; the golden-ratio point of a slot falls into one source's share of the
-weights. The r-th slot of a source takes the r-th block of its stream.
+weights. The r-th slot of a source takes the r-th block of its stream, so the slots
+are the order of the mix, any stretch of which has the sources in about their shares.
 Everything here is DataFrame and SQL operations.
 """
 
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlake.llm.common import WORD, stored
+from postlake.llm.common import WORD, id_and, stored
 
 #: Tables of sources up to this many rows are broadcast (about 100 bytes a row); larger ones are shuffled.
 BROADCAST_SOURCES = 10_000
@@ -28,15 +29,20 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words, and the shuffle key of each document."""
+    """doc_id, source, size in words, the shuffle key and the text's digest of each document."""
     return docs.select(
         "doc_id",
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("key"),
+        _digest().alias("digest"),
     )
 
 
+def _digest() -> Column:
+    return F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """source, source_size and target of each source.
 
@@ -76,7 +82,7 @@ def laid_out(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     cut = sizes.withColumn("part", F.substring("key", 1, 3))
     before = Window.partitionBy("sid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = cut.groupBy("sid", "part").agg(F.sum("size").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = Window.partitionBy("sid", "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("sid", "part").orderBy("key", "doc_id", "size", "digest").rowsBetween(Window.unboundedPreceding, -1)
     return cut.join(parts, ["sid", "part"]).withColumn("begin", F.col("_start") + F.coalesce(F.sum("size").over(inside), F.lit(0))).drop("part", "_start", "key")
 
 
@@ -86,7 +92,7 @@ def schedule(spark, sources: DataFrame, n_sources: int, slots: int, block: int)
     The point of slot j is the fraction of j times the golden ratio; the source
     is the one whose part of the cumulative targets holds it. A source whose slots
     fall short of its target (by a few, as the points are of low discrepancy) gets
-    the missing ones after the others. Slots beyond the target are left out.
+    the missing ones, by turns, after the others. Slots beyond the target are left out.
     """
     whole = Window.orderBy("sid")
     shares = sources.where("target > 0").select(
@@ -119,7 +125,8 @@ def schedule(spark, sources: DataFrame, n_sources: int, slots: int, block: int)
         shares.join(got, "sid", "left")
         .withColumn("_got", F.coalesce("_got", F.lit(0)))
         .where("_got < need")
-        .select(F.lit(None).cast("long").alias("slot"), "sid", F.explode(F.sequence(F.col("_got"), F.col("need") - 1)).alias("rank"))
+        .select("sid", "_got", F.explode(F.sequence(F.col("_got"), F.col("need") - 1)).alias("rank"))
+        .select((F.lit(slots) + (F.col("rank") - F.col("_got")) * n_sources + F.col("sid")).alias("slot"), "sid", "rank")
     )
     return placed.unionByName(missing)
 
@@ -131,9 +138,10 @@ def mix(
     most: float = 2.0,
     block: int = BLOCK,
 ) -> DataFrame:
-    """How many words of each document the mix takes.
+    """How many words of each document the mix takes, and when.
 
-    Returns doc_id, source, size, source_size, target and taken for every row.
+    Returns doc_id, source, size, source_size, target, taken, first_slot (the first slot that takes any of it, else null),
+    slots (the first one of each pass) and digest (of the text) for every row.
     ``most`` is a whole number of passes over a source; taken is at most
     ``most`` times size. The words taken of a source are its target, rounded down.
     Null texts and blank ones have size 0; null sources are one source. Equal rows
@@ -143,53 +151,55 @@ def mix(
     sizes = stored(sized(docs), "mix-sizes")
     sources = stored(targets(sizes, weights, share, most), "mix-sources")
     n_sources = sources.count()
-    all_words = int((sources.agg(F.sum("target")).first()[0] or 0))
+    n_slots = int(sources.agg(F.ceil(F.round(F.sum("target"), 3) / block)).first()[0] or 0)
     named = sizes.join(
         _small(sources.withColumnRenamed("source", "_source"), n_sources),
         F.col("source").eqNullSafe(F.col("_source")),
     ).drop("_source", "weight")
     lay = stored(laid_out(named, sources), "mix-layout")
-    slots = schedule(spark, sources, n_sources, -(-all_words // block), block)
+    slots = schedule(spark, sources, n_sources, n_slots, block)
 
-    passes = F.explode(F.sequence(F.lit(0), F.lit(int(most) - 1)))
+    passes = range(int(most))
     goal = F.floor("target")
     spans = (
         lay.where("size > 0")
-        .withColumn("pass", passes)
+        .withColumn("pass", F.explode(F.array(*map(F.lit, passes))))
         .withColumn("from", F.col("begin") + F.col("pass") * F.col("source_size"))
         .withColumn("to", F.least(F.col("from") + F.col("size"), goal))
         .where(F.col("from") < F.col("to"))
         .withColumn("rank", F.explode(F.sequence(F.expr(f"from div {block}"), F.expr(f"(to - 1) div {block}"))))
-        .select("sid", "rank", "doc_id", "begin", "from", "to")
+        .select("sid", "rank", "begin", "pass", "from", "to")
     )
     low, high = F.greatest("from", F.col("rank") * block), F.least("to", (F.col("rank") + 1) * block)
-    taken = spans.join(slots, ["sid", "rank"]).groupBy("sid", "doc_id", "begin").agg(F.sum(high - low).alias("taken"))
+    firsts = [F.min(F.when(F.col("pass") == p, F.col("slot"))) for p in passes]
+    taken = spans.join(slots, ["sid", "rank"]).groupBy("sid", "begin").agg(F.sum(high - low).alias("taken"), F.min("slot").alias("first_slot"), F.array(*firsts).alias("slots"))
     # blank documents share a begin with their neighbour, so they stay out of this join
-    full = lay.where("size > 0").join(taken.withColumnRenamed("doc_id", "_doc_id"), ["sid", "begin"], "left")
-    cols: list[str | Column] = ["doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")]
-    blank = lay.where("size = 0").withColumn("taken", F.lit(0))
+    full = lay.where("size > 0").join(taken, ["sid", "begin"], "left")
+    cols: list[str | Column] = ["doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", "slots", "digest"]
+    blank = lay.where("size = 0").withColumns({"taken": F.lit(0), "first_slot": F.lit(None).cast("long"), "slots": F.lit(None).cast("array<long>")})
     return full.select(*cols).unionByName(blank.select(*cols))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents as the mix takes them, with the columns of ``docs``.
+    """The documents as the mix takes them, in the order of the schedule's slots, with the columns of ``docs``.
 
     A document comes once for each whole time that the mix takes it, a part of half
-    or more of its words counting as a whole; others are left out. Blank documents
-    are never taken. Rows equal in id, source and text share their words evenly.
+    or more of its words counting as a whole, each time at the first slot of that pass; others are
+    left out. Blank documents are never taken. Rows equal in id, source and text share their words evenly.
     """
-    key = {
-        "_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
-        "_source": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")),
-    }
+    source = F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))
+    name = F.concat_ws(":", id_and(F.col("doc_id"), F.col("digest")), source)
     copies = (
         mix(docs, **options)
-        .withColumns(key | {"_size": F.col("size")})
-        .groupBy("_id", "_source", "_size")
-        .agg((F.sum("taken") / (F.count(F.lit(1)) * F.greatest(F.max("size"), F.lit(1)))).alias("_times"))
-        .withColumn("_n", F.floor(F.col("_times") + 0.5).cast("int"))
-        .where("_n > 0")
+        .groupBy(name.alias("name"))
+        .agg(
+            (F.sum("taken") / (F.count(F.lit(1)) * F.greatest(F.max("size"), F.lit(1)))).alias("times"),
+            F.min_by("slots", "first_slot").alias("slots"),
+        )
+        .select("name", "slots", F.explode(F.sequence(F.lit(0), F.floor(F.col("times") + 0.5).cast("int"))).alias("copy"))
+        .where("copy > 0")
+        .select("name", "copy", F.coalesce(F.get("slots", F.col("copy") - 1), F.array_max("slots")).alias("slot"))
     )
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    named = docs.withColumns(key | {"_size": size})
-    return named.join(copies, [*key, "_size"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    own = F.concat_ws(":", id_and(F.col("doc_id"), _digest()), source)
+    rows = docs.select(F.struct("*").alias("row"), own.alias("name")).join(copies, "name")
+    return rows.repartitionByRange("slot", "name").sortWithinPartitions("slot", "name", "copy").select("row.*")
