@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from postlake.llm.common import stored
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); root is the component's smallest node.
 
     Rounds of large-star and small-star steps turn each component into a star of
     its smallest node. Both steps only aggregate minima by node, so a node with very
-    many neighbours is no larger group than others. Each round is written to the
-    shared folder, which cuts the lineage.
+    many neighbours is no larger group than others. Rounds, of which there are about the
+    logarithm of the longest path, go on until nothing changes; each is written to the
+    shared folder, which cuts the lineage. Null ends are not allowed; no edges give no rows.
     """
     now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    for _ in range(most_rounds):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: each node ties its larger neighbours to its smallest neighbour, or itself
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -31,7 +32,5 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         now = after
         if a == b:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

@@ -1,10 +1,10 @@
 """Similarity self-join of documents by the Jaccard index of their n-gram sets.
 
 Documents with equal sets are one class, which takes part once. MinHash signatures are
-cut into bands; classes that share a band's hash are candidates. Candidates are
-gathered into clusters, and within a cluster every two classes of compatible sizes are
-compared on their full sets, block by block, so no pair is ever a row: what leaves a
-block is a count of links per class and a spanning forest of them.
+cut into bands; classes that share a band's hash, a bucket, are candidates. The candidates of a
+bucket are compared on their full sets, block by block, so no pair is ever a row: what leaves a
+block is a count of links per class and a spanning forest of them. A pair that shares several
+buckets counts in the first of them.
 """
 
 from __future__ import annotations
@@ -15,15 +15,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlake.llm.common import ids, stored, texts
+from postlake.llm.common import chosen, id_and, ids, stored, texts
 from postlake.llm.components import components
 
 U = np.uint64
-#: Classes, and n-grams, that a block holds about.
-BLOCK_ROWS, BLOCK_GRAMS = 192, 400_000
+#: Classes, and n-grams, that a side of a block holds about.
+BLOCK_ROWS, BLOCK_GRAMS = 256, 400_000
 
 
 def bands_for(threshold: float, recall: float, most_hashes: int = 128) -> tuple[int, int]:
@@ -82,12 +82,17 @@ def _digest(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
+def _print(text: Column) -> Column:
+    """With its id, what a class's text is found by again; see `_linked` for the check of it."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def signed(docs: DataFrame, n: int, bands: int, rows: int, digest: bool = False) -> DataFrame:
-    """doc_id, set (its n-gram set's name), grams (its size), band hashes and, if asked for, the text's digest.
+    """doc_id, print, set (its n-gram set's name), grams (its size), band hashes and, if asked for, the text's digest.
 
     Blank texts have no band hashes.
     """
-    more = [_digest(F.col("text")).alias("digest")] if digest else []
+    more = [_print(F.col("text")).alias("print")] + [_digest(F.col("text")).alias("digest")] * digest
     k = bands * rows
     seeds = _mix(np.arange(1, 2 * k + 1, dtype=U) * U(0x9E3779B97F4A7C15))
     a, b = seeds[:k] | U(1), seeds[k:]
@@ -112,11 +117,12 @@ def signed(docs: DataFrame, n: int, bands: int, rows: int, digest: bool = False)
                 out.append((_key(grams), len(grams), hashed.view(np.int64)))
             frame = pd.DataFrame(out, columns=["set", "grams", "bands"])
             frame.insert(0, "doc_id", ids(batch).array)
+            frame.insert(1, "print", batch["print"].array)
             if digest:
                 frame["digest"] = batch["digest"].array
             yield frame
 
-    return texts(docs, *more).mapInPandas(run, "doc_id long, set long, grams long, bands array<long>" + ", digest string" * digest)
+    return texts(docs, *more).mapInPandas(run, "doc_id long, print long, set long, grams long, bands array<long>" + ", digest string" * digest)
 
 
 def _similar(sets: list[np.ndarray], left: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -162,10 +168,18 @@ def _linked(rows: Iterator[pd.DataFrame], n: int, threshold: float) -> Iterator[
 
     def closed() -> pd.DataFrame | None:
         sides = sorted(members.items(), key=lambda x: (x[1][0], x[0]))
-        left = sum(side == 0 for _, (side, _) in sides) if block[1] else 0
+        left = sum(m[0] == 0 for _, m in sides) if block[1] else 0
         if len(sides) < 2 or block[1] and left in (0, len(sides)):
             return None
-        i, j = _similar([s for _, (_, s) in sides], left, threshold)
+        i, j = _similar([m[1] for _, m in sides], left, threshold)
+        # a pair counts in the first bucket that it shares
+        own = np.array([m[2] for _, m in sides])
+        kept = np.zeros(len(i), bool)
+        for at in range(0, len(i), 50_000):
+            x, y = own[i[at : at + 50_000]], own[j[at : at + 50_000]]
+            first = ((x == y) & (x != 0)).argmax(axis=1)
+            kept[at : at + 50_000] = x[np.arange(len(x)), first] == block[2]
+        i, j = i[kept], j[kept]
         if not len(i):
             return None
         names = np.array([k for k, _ in sides])
@@ -184,42 +198,61 @@ def _linked(rows: Iterator[pd.DataFrame], n: int, threshold: float) -> Iterator[
         at = np.flatnonzero(links)
         return pd.DataFrame({"set": names[at], "links": links[at], "to": names[[top(int(x)) for x in at]]})
 
+    columns = ("block", "two", "bucket", "side", "set", "own", "text")
     for batch in rows:
-        for b, two, side, name, text in zip(batch["block"], batch["two"], batch["side"], batch["set"], batch["text"], strict=True):
+        for b, two, bucket, side, name, own, text in zip(*(batch[c] for c in columns), strict=True):
             if block is not None and block[0] != b:
                 if (out := closed()) is not None:
                     yield out
                 members = {}
-            block = (b, two)
+            block = (b, two, bucket)
             if name not in members:
                 grams = grams_of(text.encode())
-                if _key(grams) == name:  # else a row with the same id and another text
-                    members[name] = (side, grams)
+                if _key(grams) == name:  # else a row with the same id and print, and another text
+                    members[name] = (side, grams, own)
     if block is not None and (out := closed()) is not None:
         yield out
 
 
-def _blocks(clustered: DataFrame, threshold: float) -> DataFrame:
-    """A row per class and block that it takes part in: set, member, block, two and side.
+def _buckets(sets: DataFrame) -> DataFrame:
+    """(set, bucket, n, g): the buckets of several sets that each set is in, their sets and n-grams.
+
+    Of buckets with the same sets one stays: equal numbers, ends and hashes of them name a bucket's sets.
+    """
+    every = sets.where("grams > 0").select("set", "grams", F.explode("bands").alias("bucket"))
+    per = every.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("grams").alias("g"), F.min("set").alias("low"), F.max("set").alias("high"),
+        F.bit_xor(F.xxhash64("set")).alias("h"), F.bit_xor(F.xxhash64("set", F.lit(7))).alias("i"),
+    ).where("n > 1")
+    # written, so that in the join a bucket with very many sets can be split over tasks
+    kept = stored(per.groupBy("n", "low", "high", "h", "i").agg(F.min(F.struct("bucket", "g")).alias("b")).select("b.bucket", "n", "b.g"), "buckets")
+    return every.select("set", "bucket").join(kept, "bucket")
+
+
+def _blocks(placed: DataFrame, threshold: float) -> DataFrame:
+    """A row per class and block that it takes part in: set, member, print, own, bucket, block, two and side.
 
-    A small cluster is one block. A larger one is cut by size, into cells whose bounds grow
+    A small bucket is one block. A larger one is cut by size, into cells whose bounds grow
     by 1 / threshold, so that links lie within a cell or between neighbouring ones, and
     cells into parts by hash; every two parts of a cell or of neighbours are a block.
     """
     cell = F.floor(F.log(F.col("grams").cast("double")) / -math.log(threshold) + 1e-9)
-    base = clustered.withColumn("cell", cell)
     parts = lambda n, grams: F.greatest(F.lit(1), F.ceil(n / BLOCK_ROWS), F.ceil(grams / BLOCK_GRAMS)).cast("int")
-    cells = base.groupBy("cluster", "cell").agg(F.count(F.lit(1)).alias("n"), F.sum("grams").alias("g"))
-    sizes = cells.groupBy("cluster").agg((parts(F.sum("n"), F.sum("g")) > 1).alias("large"))
-    cells = cells.select("cluster", "cell", parts(F.col("n"), F.col("g")).alias("parts"))
-    after = cells.select("cluster", (F.col("cell") - 1).alias("cell"), F.col("parts").alias("parts_above"))
-    before = cells.select("cluster", (F.col("cell") + 1).alias("cell"), F.col("parts").alias("parts_below"))
-    shape = cells.join(after, ["cluster", "cell"], "left").join(before, ["cluster", "cell"], "left").join(sizes, "cluster")
-    own = base.join(shape, ["cluster", "cell"])
+    whole = (F.col("n") <= BLOCK_ROWS) & (F.col("g") <= BLOCK_GRAMS)
+    keep = ["set", "member", "print", "own", "bucket"]
+    small = placed.where(whole).select(*keep, F.col("bucket").alias("block"), F.lit(False).alias("two"), F.lit(0).alias("side"))
+    base = placed.where(~whole).withColumn("cell", cell)
+    cells = base.groupBy("bucket", "cell").agg(parts(F.count(F.lit(1)), F.sum("grams")).alias("parts"))
+    cells = stored(cells, "cells")
+    after = cells.select("bucket", (F.col("cell") - 1).alias("cell"), F.col("parts").alias("parts_above"))
+    before = cells.select("bucket", (F.col("cell") + 1).alias("cell"), F.col("parts").alias("parts_below"))
+    # written, as the counts of buckets are, so that the next join can split a cell
+    shape = stored(cells.join(after, ["bucket", "cell"], "left").join(before, ["bucket", "cell"], "left"), "cell-shapes")
+    own = base.join(shape, ["bucket", "cell"])
     part = F.pmod(F.xxhash64("set", F.lit(5)), F.col("parts")).cast("int")
 
     def named(c: Column, p: Column, d: Column, q: Column, side: Column) -> Column:
-        return F.struct(F.xxhash64("cluster", c, p, d, q).alias("block"), (~((c == d) & (p == q))).alias("two"), side.alias("side"))
+        return F.struct(F.xxhash64("bucket", c, p, d, q).alias("block"), (~((c == d) & (p == q))).alias("two"), side.alias("side"))
 
     every = lambda n: F.sequence(F.lit(0), n - 1)
     c, me = F.col("cell"), F.col("_part")
@@ -227,20 +260,19 @@ def _blocks(clustered: DataFrame, threshold: float) -> DataFrame:
     same = F.transform(every(F.col("parts")), lambda q: named(c, F.least(me, q), c, F.greatest(me, q), F.when(me <= q, 0).otherwise(1)))
     above = F.when(F.col("parts_above").isNotNull(), F.transform(every(F.col("parts_above")), lambda q: named(c, me, c + 1, q, F.lit(0)))).otherwise(none)
     below = F.when(F.col("parts_below").isNotNull(), F.transform(every(F.col("parts_below")), lambda q: named(c - 1, q, c, me, F.lit(1)))).otherwise(none)
-    whole = F.array(F.struct(F.col("cluster").alias("block"), F.lit(False).alias("two"), F.lit(0).alias("side")))
-    places = F.when(F.col("large"), F.concat(same, above, below)).otherwise(whole)
-    return own.withColumn("_part", part).select("set", "member", F.explode(places).alias("p")).select("set", "member", "p.*")
+    large = own.withColumn("_part", part).select(*keep, F.explode(F.concat(same, above, below)).alias("p")).select(*keep, "p.*")
+    return small.unionByName(large)
 
 
-def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.995) -> DataFrame:
+def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id, n_links, set_id and set_size.
 
     set_id is the smallest doc_id of the documents with the same n-gram set, set_size
     counts them, and n_links counts the other sets with a Jaccard index of at
     least ``threshold``. class_id is the smallest doc_id of those reached over links.
     Null and blank texts have the empty set and no links; shorter texts than n words have one
-    n-gram. A null doc_id is never a class_id unless all of the class are null. Pairs at the threshold become candidates with
-    a probability of ``recall`` at least, more similar ones and those of a cluster more often.
+    n-gram. A null doc_id is never a class_id unless all of the class are null. An empty table gives no row.
+    Pairs at the threshold become candidates with a probability of ``recall`` at least, more similar ones more often.
     """
     table, named = _classes(docs, n, threshold, recall)
     return table.select("doc_id", "set").join(named, "set").select("doc_id", "class_id", "n_links", "set_id", "set_size")
@@ -250,20 +282,19 @@ def _classes(docs: DataFrame, n: int, threshold: float, recall: float, digest: b
     """The signatures, and a row per set: set, root (the set that names its class), class_id, n_links, set_id and set_size."""
     bands, rows = bands_for(threshold, recall)
     table = stored(signed(docs, n, bands, rows, digest), "signatures")
-    sets = table.groupBy("set").agg(
-        F.min("doc_id").alias("member"), F.count(F.lit(1)).alias("set_size"), F.max("grams").alias("grams"), F.first("bands").alias("bands")
-    )
-    sets = stored(sets, "sets")
-    buckets = sets.where("grams > 0").select("set", F.explode("bands").alias("bucket"))
-    centres = buckets.groupBy("bucket").agg(F.min("set").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = buckets.join(centres.select("bucket", "centre"), "bucket").where("set <> centre").select(F.col("set").alias("a"), F.col("centre").alias("b"))
-    clusters = components(stars).select(F.col("node").alias("set"), F.col("root").alias("cluster"))
-    clustered = stored(sets.select("set", "member", "grams").join(clusters, "set"), "clustered")
-    blocks = _blocks(clustered, threshold)
-    whole = docs.select(F.col("doc_id").alias("member"), F.coalesce("text", F.lit("")).alias("text"))
-    with_text = _null_safe(whole, blocks)
-    placed = with_text.repartition("block").sortWithinPartitions("block", "side", "set")
-    found = placed.mapInPandas(lambda it: _linked(it, n, threshold), "set long, links long, to long")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "print")).alias("least")
+    sets = table.groupBy("set").agg(least, F.count(F.lit(1)).alias("set_size"), F.max("grams").alias("grams"), F.first("bands").alias("bands"))
+    sets = stored(sets.select("set", F.col("least.doc_id").alias("member"), F.col("least.print").alias("print"), "set_size", "grams", "bands"), "sets")
+    # ``own``: a set's band hashes, those of buckets that stayed; a set is in as many as there are bands at most
+    mine = F.collect_set("bucket").over(Window.partitionBy("set"))
+    placed = _buckets(sets).withColumn("_mine", mine).join(sets.select("set", "member", "print", "grams", "bands"), "set")
+    own = F.transform("bands", lambda b: F.when(F.array_contains("_mine", b), b).otherwise(F.lit(0)))
+    placed = stored(placed.withColumn("own", own).drop("_mine", "bands"), "placed")
+    blocks = _blocks(placed, threshold)
+    whole = docs.select(F.col("doc_id").cast("long").alias("_id"), _print(F.col("text")).alias("_print"), F.coalesce("text", F.lit("")).alias("text"))
+    with_text = whole.join(blocks, F.col("_id").eqNullSafe(F.col("member")) & (F.col("_print") == F.col("print")))
+    dealt = with_text.select("block", "two", "bucket", "side", "set", "own", "text").repartition("block").sortWithinPartitions("block", "side", "set")
+    found = dealt.mapInPandas(lambda it: _linked(it, n, threshold), "set long, links long, to long")
     found = stored(found, "links")
     links = found.groupBy("set").agg(F.sum("links").alias("n_links"))
     roots = components(found.select(F.col("set").alias("a"), F.col("to").alias("b"))).select(F.col("node").alias("set"), "root")
@@ -273,24 +304,17 @@ def _classes(docs: DataFrame, n: int, threshold: float, recall: float, digest: b
     return table, named.join(classes, "root").select("set", "root", "class_id", n_links, F.col("member").alias("set_id"), "set_size")
 
 
-def _null_safe(whole: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Blocks with the text of their classes' members; a null id is matched like others."""
-    other = blocks.withColumnRenamed("member", "_member")
-    return whole.join(other, F.col("member").eqNullSafe(F.col("_member"))).select("block", "two", "side", "set", "text")
-
-
-def one_of_each(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.995) -> DataFrame:
+def one_of_each(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each class does: one with the class id.
 
     A document is an id and a text, so each class keeps its own, whatever ids are null or
     shared with other classes. Of a class's texts with that id, the one of the smallest set
     and digest stays; rows that repeat its id and text are reduced to one row. Blank texts are a class.
+    An empty table stays empty.
     """
     table, named = _classes(docs, n, threshold, recall, digest=True)
     rows = table.select("doc_id", "set", "digest").join(named.select("set", "root", "class_id"), "set")
     least = F.min(F.struct("set", "doc_id", "digest")).alias("least")
     keep = rows.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(least)
-    keep = keep.select(F.col("least.doc_id").alias("_id"), F.col("least.digest").alias("_kept"))
-    marked = docs.withColumn("_digest", _digest(F.col("text")))
-    key = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_kept"))
-    return marked.join(keep, key, "left_semi").dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+    name = id_and(F.col("doc_id").cast("long"), _digest(F.col("text")))
+    return chosen(docs, name, keep.select(id_and(F.col("least.doc_id"), F.col("least.digest")).alias("name")))
