@@ -25,11 +25,11 @@ from postlake.llm.common import SAMPLE_ROWS, held_out, ids, labelled_sample, tex
 # Cyrillic and Greek letters and the Latin ones that they look like.
 LOOKALIKES = dict(zip("аеорсухкіјѕԁһӏνοαετυικρω", "aeopcyxkijsdhlvoaetuikpw", strict=True))
 # Digits and signs that stand for letters within words.
-STANDS_FOR = dict(zip("013457@$", "oieastas", strict=True))
+STANDS_FOR = dict(zip("0123456789@$", "oizeasgtbgas", strict=True))
 
 _FOLD = str.maketrans(LOOKALIKES | {chr(0xFF41 + k): chr(97 + k) for k in range(26)})
 _DIGITS = str.maketrans(STANDS_FOR)
-_TOKEN = re.compile(r"[^\W_]+(?:[@$]+[^\W_]+)*")
+_TOKEN = re.compile(r"[@$]*[^\W_]+(?:[@$]+[^\W_]+)*[@$]*")
 _FOREIGN = re.compile("[Ͱ-ԯＡ-ｚ]")
 #: Beginnings of words of these lengths may be terms.
 STEMS = range(3, 9)
@@ -40,8 +40,12 @@ def fold(text: str) -> str:
     text = text.lower()
     if _FOREIGN.search(text):
         text = text.translate(_FOLD)
-    words = _TOKEN.findall(text)
-    return " " + " ".join([w if w.isalpha() or w.isdigit() else w.translate(_DIGITS) for w in words]) + " "
+    return " " + " ".join([w if w.isalpha() or w.isdigit() else _spelled(w) for w in _TOKEN.findall(text)]) + " "
+
+
+def _spelled(word: str) -> str:
+    """A word with the letters that digits and signs stand for; amounts and the like keep their digits."""
+    return word.translate(_DIGITS) if any(c.isalpha() for c in word) else word.strip("@$")
 
 
 @dataclass
@@ -115,13 +119,14 @@ def _evidence(a: int, b: int, n1: int, n0: int) -> tuple[float, float]:
     return weight, 2 * (a * math.log(a / e1) + (b * math.log(b / e0) if b else 0))
 
 
-def learn_lexicon(sample: DataFrame, least_odds: float = 8.0, least_g: float = 20.0, most_terms: int = 4000) -> Lexicon:
+def learn_lexicon(sample: DataFrame, least_odds: float = 8.0, least_g: float = 20.0) -> Lexicon:
     """Terms far more frequent in toxic documents than in clean ones, and their exceptions.
 
     Counting is done by Spark in two passes: candidates come from toxic documents, then
     those are counted in clean ones. Of a word and its beginnings, the longest that are found in
     nearly as many documents are taken; a longer one of about the same weight is needless then. A pair of words with a term in it that is found in clean
     documents at least five times as often as in toxic ones, a document each, is an exception.
+    What these thresholds let through comes to the driver, all of it: its size is bounded by the sample's words.
     """
     sizes = {int(r["label"] == 1): r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
@@ -129,7 +134,7 @@ def learn_lexicon(sample: DataFrame, least_odds: float = 8.0, least_g: float = 2
         return Lexicon({})
     least = max(3, n1 // 200)
     first = _counts(sample.where("label = 1"), lambda folded, _: _terms(folded)).where(F.col("toxic") >= least)
-    toxic = {r["term"]: r["toxic"] for r in first.orderBy(F.desc("toxic"), "term").limit(100_000).collect()}
+    toxic = {r["term"]: r["toxic"] for r in first.collect()}
     known = frozenset(toxic)
     clean = {r["term"]: r["clean"] for r in _counts(sample.where("label != 1"), lambda folded, _: _terms(folded) & known).collect()}
     # a term that a longer one nearly always continues says less precisely what that one says
@@ -140,12 +145,11 @@ def learn_lexicon(sample: DataFrame, least_odds: float = 8.0, least_g: float = 2
         shorter = [weights[term[:k]] for k in range(1 + STEMS[0], len(term)) if term[:k] in weights]
         if g >= least_g and weight >= math.log(least_odds) and all(weight > w + 0.7 for w in shorter):
             weights[term] = weight
-    best = dict(sorted(weights.items(), key=lambda x: (-x[1], x[0]))[:most_terms])
-    if not best:
+    if not weights:
         return Lexicon({})
-    terms = set(best)
+    terms = frozenset(weights)
     pairs = _counts(sample, lambda folded, _: _pairs(folded, terms)).where("clean >= 3 and clean * {0} >= 5 * toxic * {1}".format(n1, n0))
-    return Lexicon(best, sorted(r["term"] for r in pairs.orderBy(F.desc("clean"), "term").limit(most_terms).collect()))
+    return Lexicon(weights, sorted(r["term"] for r in pairs.collect()))
 
 
 @dataclass
@@ -192,8 +196,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score and predicted of every row, from its whole text.
 
-    Null and blank texts match nothing and get the score of that. Columns besides doc_id
-    and text are not read.
+    Null and blank texts match nothing and get the score of that. Repeated rows get the same score each; an
+    empty table gives no row. Columns besides doc_id and text are not read.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,7 +213,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that score below the threshold."""
+    """The rows of ``docs``, with all their columns, that score below the threshold; repeated rows share their fate."""
 
     @F.pandas_udf("boolean")
     def clean(found: pd.Series) -> pd.Series:
