@@ -23,8 +23,9 @@ CRLF = "\r\n"
 # Digits of base 32 as Spark writes them, and as RFC 4648 does.
 DIGITS, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Records in a file at most; a reader holds one file at a time.
-FILE_RECORDS = 12_000
+#: Bytes, before compression, that a file holds about; bytes of payloads that a reader gathers before it passes them on,
+#: and of a file that it inflates at once.
+FILE_BYTES, READ_BYTES, STEP_BYTES = 128 << 20, 16 << 20, 1 << 18
 
 RECORDS = (
     "record_id string, type string, concurrent_to string, refers_to string, target_uri string, date string, "
@@ -103,32 +104,64 @@ def records(pages: DataFrame, least_bytes: int = 0, date: str = "2024-01-01T00:0
 
 
 def write(pages: DataFrame, path: str, compression: str = "gzip", **options) -> None:
-    """Write archives under ``path``: Spark's text files whose line end is that of a WARC record."""
-    out = records(pages, **options).write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", FILE_RECORDS)
+    """Write archives under ``path``: Spark's text files whose line end is that of a WARC record.
+
+    A file ends after as many records as are FILE_BYTES at their mean size.
+    """
+    mean = pages.agg(F.avg(F.octet_length(F.coalesce("html", F.lit(""))))).first()[0] or 0
+    out = records(pages, **options).write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", 3 * max(1, int(FILE_BYTES / (mean + 1000))))
     out.option("compression", compression).text(path)
 
 
+def _inflated(data: bytes) -> Iterator[bytes]:
+    """A file's bytes, a step at a time; gzip members are inflated."""
+    view = memoryview(data)
+    if data[:2] != b"\x1f\x8b":
+        for at in range(0, len(view), STEP_BYTES):
+            yield bytes(view[at : at + STEP_BYTES])
+        return
+    member = zlib.decompressobj(31)
+    for at in range(0, len(view), STEP_BYTES):
+        part = bytes(view[at : at + STEP_BYTES])
+        while part:
+            if member.eof:
+                member = zlib.decompressobj(31)
+            yield member.decompress(part)
+            part = member.unused_data
+    if not member.eof:
+        raise ValueError("the last gzip member has no end")
+
+
 def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers, with lower-case names, and block of each record of a file; gzip members are inflated."""
-    if data[:2] == b"\x1f\x8b":
-        whole = []
-        while data:
-            member = zlib.decompressobj(31)
-            whole.append(member.decompress(data) + member.flush())
-            data = member.unused_data
-        data = b"".join(whole)
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].split(b"\r\n")
+    """Headers, with lower-case names, and block of each record of a file, of which one is held at a time."""
+    steps, buffer, at, done = _inflated(data), bytearray(), 0, 0
+
+    def upto(size: int) -> bool:
+        while len(buffer) < size:
+            more = next(steps, None)
+            if more is None:
+                return False
+            buffer.extend(more)
+        return True
+
+    while upto(at + 1):
+        looked = at
+        while (end := buffer.find(b"\r\n\r\n", looked)) < 0:
+            looked = max(at, len(buffer) - 3)
+            if not upto(len(buffer) + 1):
+                raise ValueError(f"the record at byte {done + at} has no headers' end")
+        version, *lines = bytes(buffer[at:end]).split(b"\r\n")
         if not version.startswith(b"WARC/"):
-            raise ValueError(f"no record at byte {at}")
+            raise ValueError(f"no record at byte {done + at}")
         headers = {k.strip().lower().decode(): v.strip().decode() for k, _, v in (x.partition(b":") for x in lines)}
         at = end + 4 + int(headers["content-length"])
-        if data[at : at + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record before byte {at} has another length")
-        yield headers, data[end + 4 : at]
+        if not upto(at + 4) or buffer[at : at + 4] != b"\r\n\r\n":
+            raise ValueError(f"the record before byte {done + at} has another length")
+        yield headers, bytes(buffer[end + 4 : at])
         at += 4
+        if at > 4 * STEP_BYTES:
+            del buffer[:at]
+            done, at = done + at, 0
 
 
 def read(spark, path: str, payloads: bool = True) -> DataFrame:
@@ -140,10 +173,11 @@ def read(spark, path: str, payloads: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in RECORDS.split(", ")]
+        frame = lambda rows: pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "payload_bytes": "Int64"})
         for batch in batches:
             for data in batch["content"]:
-                rows = []
-                for h, block in parsed(bytes(data)):
+                rows, held = [], 0
+                for h, block in parsed(data):
                     kind, page_id, size, payload = h["warc-type"], None, None, None
                     digest = h.get("warc-payload-digest", "").removeprefix("sha1:") or None
                     if kind == "response":
@@ -154,8 +188,11 @@ def read(spark, path: str, payloads: bool = True) -> DataFrame:
                     elif kind == "metadata" and block.startswith(b"pageId: "):
                         page_id = int(block[8:])
                     rows.append((h["warc-record-id"], kind, h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), h["warc-date"], digest, page_id, size, payload if payloads else None))
-                out = pd.DataFrame(rows, columns=names)
-                yield out.astype({"page_id": "Int64", "payload_bytes": "Int64"})
+                    held += len(payload or b"") if payloads else 0
+                    if held >= READ_BYTES or len(rows) >= 10_000:
+                        yield frame(rows)
+                        rows, held = [], 0
+                yield frame(rows)
 
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInPandas(run, RECORDS)
@@ -185,7 +222,11 @@ def assemble(found: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Write ``pages`` to archives in the shared folder, read them back and return a row per page."""
+    """Write ``pages`` to archives in the shared folder, read them back and return a row per page.
+
+    Null html is an empty payload; null page_ids stay null and never are what others refer to; repeated
+    rows are captures of their own; an empty table gives no row. Columns besides page_id, url and html are not read.
+    """
     spark = pages.sparkSession
     path = shared_path(spark, "warc")
     write(pages, path, least_bytes=least_bytes)
