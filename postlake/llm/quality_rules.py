@@ -36,14 +36,14 @@ class Rule:
 
 #: Shares are of the text's words unless the name says otherwise; a measure of null passes.
 RULES = (
-    Rule("mean_word_length", "word_chars / n_words", 2, 20),
-    Rule("symbols_to_words", "n_symbols / n_words", None, 0.4),
+    Rule("mean_word_length", "word_chars / n_words", 3, 10),
+    Rule("symbols_to_words", "n_symbols / n_words", None, 0.1),
     Rule("duplicate_line_share", "n_dup_lines / n_lines", None, 0.4),
-    Rule("exclamation_word_share", "n_exclaimed / n_words", None, 0.4),
-    Rule("stop_words", "if(n_words >= 100, n_stop, null)", 1, None),
+    Rule("exclamation_word_share", "n_exclaimed / n_words", None, 0.1),
+    Rule("stop_word_share", "if(n_words >= 30, n_stop / n_words, null)", 0.06, None),
     Rule("bullet_line_share", "n_bullets / n_lines", None, 0.9),
     Rule("ellipsis_line_share", "n_ellipsis / n_lines", None, 0.3),
-    Rule("longest_word", "longest_word", None, 1000),
+    Rule("words_over_1000_characters", "n_long_words", None, 0),
 )
 
 
@@ -74,7 +74,6 @@ def measured(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     with_words = docs.select("doc_id", text.alias("_text"), words(F.col("text")).alias("_words"))
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    stops = F.array(*[F.lit(x) for x in STOP_WORDS])
     n_in = lambda pattern: F.regexp_count("_text", F.lit(pattern))
     edge, end = r"(?<![^\x20\x09-\x0D])", r"(?![^\x20\x09-\x0D])"
     return with_repeats(with_words, "_words").withColumn("_lines", lines).select(
@@ -86,10 +85,10 @@ def measured(docs: DataFrame) -> DataFrame:
         "n_repeat_words",
         F.size("_lines").alias("n_lines"),
         n_in("!!" + end).alias("n_exclaimed"),
-        F.size(F.array_intersect(F.col("_words"), stops)).alias("n_stop"),
+        F.size(F.filter("_words", lambda x: x.isin(*STOP_WORDS))).alias("n_stop"),
         n_in(r"(?m)^[\x20\x09]*[-*•]").alias("n_bullets"),
         n_in(r"(?m)(\.\.\.|…)[\x20\x09]*$").alias("n_ellipsis"),
-        F.greatest(n_in(edge + r"[^\x20\x09-\x0D]{1001,}") * 1001, F.lit(0)).alias("longest_word"),
+        n_in(edge + r"[^\x20\x09-\x0D]{1001,}").alias("n_long_words"),
     )
 
 
@@ -108,7 +107,9 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, the measures, base_failed, failed_rules and kept for every row.
 
     The base fails texts of fewer than 10 words and those with more than a fifth
-    of their words in repeated windows; ``kept`` needs the base and all rules.
+    of their words in repeated windows; ``kept`` needs the base and all rules. Null and blank texts have no
+    words and fail the base; null ids stay null; repeated rows get the same verdict each; an empty table
+    gives no row. Columns besides doc_id and text are not read.
     """
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return (
