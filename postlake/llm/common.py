@@ -18,11 +18,15 @@ _LOCAL: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only a session that names none (tests in local mode) gets a temporary one.
+    A session in local mode that names none (as in tests) gets a temporary one; on a cluster, where
+    executors would write to disks of their own, that is an error.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
@@ -60,7 +64,8 @@ def ranked(df: DataFrame, group: list[str], order: list[str], rows: int, least:
 
     Rows of a group are dealt by hash over sub-buckets; each sub-bucket is
     numbered on its own and starts where the counts of the earlier ones end.
-    The table of counts has a row per group and sub-bucket.
+    The table of counts has a row per group and sub-bucket. ``order`` should tell equal rows apart by
+    a number that was written with them, as else they share a sub-bucket.
     """
     parts = max(least, -(-rows // target))
     df = df.withColumn("_part", F.pmod(F.xxhash64(*order, F.lit(17)), F.lit(parts)).cast("int"))
@@ -79,6 +84,21 @@ def ranked(df: DataFrame, group: list[str], order: list[str], rows: int, least:
     )
 
 
+def id_and(doc_id: Column, digest: Column) -> Column:
+    """A document's name, which no null in it makes null: its digest and its id."""
+    return F.concat_ws(":", digest, F.coalesce(doc_id.cast("string"), F.lit("null")))
+
+
+def chosen(docs: DataFrame, name: Column, names: DataFrame) -> DataFrame:
+    """One row of ``docs``, with all its columns, for each ``name`` that is in ``names`` (name).
+
+    Rows travel as one struct beside their name, so no column of theirs clashes; as the name alone is the
+    key of the semi join and of what drops repeats, whole texts are shuffled once.
+    """
+    rows = docs.select(F.struct("*").alias("row"), name.alias("name"))
+    return rows.join(names.select("name"), "name", "left_semi").dropDuplicates(["name"]).select("row.*")
+
+
 #: Labelled rows that a model is fitted on at most.
 SAMPLE_ROWS = 12_000
 

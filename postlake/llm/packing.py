@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from postlake.llm.common import ids, ranked, stored, texts
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"
 #: Chunks that a worker remembers, and the longest one that it remembers, in bytes.
 MEMO_CHUNKS, MEMO_BYTES = 1_000_000, 48
 _TOKENIZERS: dict[str, object] = {}
@@ -94,7 +94,7 @@ class _Encoder:
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """A row per piece: doc_id, piece, start, length and crc32 of its ids.
+    """A row per piece: doc_id, piece, start, length and crc32 of its ids, and a salt that tells equal rows apart.
 
     A null text counts as empty and is one piece that holds the end id alone.
     Only documents of more than ``capacity`` ids are cut; the last piece may be
@@ -103,7 +103,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     end, width = int(end_id).to_bytes(4, "little"), 4 * capacity
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _Encoder(tokenizer)
+        encoder, done = _Encoder(tokenizer), 0
         for batch in batches:
             rows = []
             for at_row, text in enumerate(batch["text"]):
@@ -113,6 +113,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
                     rows.append((at_row, k, at // 4, len(part) // 4, zlib.crc32(part)))
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             out["doc_id"] = ids(batch).take(out["doc_id"].to_numpy(int)).array
+            out["salt"] = np.arange(done, done + len(out))
+            done += len(out)
             yield out
 
     return texts(docs).mapInPandas(run, PIECES)
@@ -165,7 +167,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """Pack all documents; returns the columns of `pieces` and sequence_id and offset.
+    """Pack all documents; returns the columns of `pieces` but the salt, and sequence_id and offset.
 
     Nulls, blank and repeated texts are pieces like any other; equal rows get a
     slot each; an empty table packs into nothing.
@@ -181,7 +183,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0)
         for b in range(lo // block, (hi - 1) // block + 1)
     ]
     runs = spark.createDataFrame(rows, "length long, _block long, _lo long, _hi long, _first long, _each long, _offset long")
-    placed = ranked(table, ["length"], ["doc_id", "piece", "ids_crc32"], total).withColumn("_block", F.expr(f"rank div {block}"))
+    placed = ranked(table, ["length"], ["doc_id", "piece", "ids_crc32", "salt"], total).withColumn("_block", F.expr(f"rank div {block}"))
     at = F.col("rank") - F.col("_lo")
     return (
         placed.join(runs, ["length", "_block"])

@@ -174,8 +174,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score and predicted of every row, from its whole text.
 
-    Null and blank texts have features of zero and a score like others. Columns besides
-    doc_id and text are not read.
+    Null and blank texts have features of zero and a score like others. Repeated rows get the same score
+    each; an empty table gives no row. Columns besides doc_id and text are not read.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -18,7 +18,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,16 +66,26 @@ QUERIES = {
 
 _STOPS = ", ".join(f"'{x}'" for x in dict.fromkeys(quality_rules.STOP_WORDS))
 
+# the contract's patterns of the base and those of the other rules, with the group whose length counts
+_SECRETS = (
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 12, True),
+    ("access", "AKIA[A-Z0-9]+", 0, 18, True),
+    ("hex", "[0-9a-f]+", 0, 16, True),
+    ("pem", "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", 0, 1, False),
+    ("bearer", "eyJ[A-Za-z0-9_-]{8,}[.]eyJ[A-Za-z0-9_-]{8,}", 0, 1, False),
+    ("prefixed", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 1, False),
+)
+
 SQL = {
     "op2_source_mixing": r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k
+         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k, md5(coalesce(text, '')) AS h
   FROM documents),
 per AS (
   SELECT source, CAST(sum(size) AS DOUBLE) AS s, row_number() OVER (ORDER BY source ASC NULLS LAST) AS n FROM sized GROUP BY source),
 weighed AS (
-  SELECT source, s, CASE n % 3 WHEN 1 THEN 5.0::DOUBLE WHEN 2 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM per),
+  SELECT source, s, n, CASE n % 3 WHEN 1 THEN 5.0::DOUBLE WHEN 2 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM per),
 -- the level at which the capped sources are those whose cap lies below it
 levels AS (
   SELECT a.source,
@@ -85,14 +95,29 @@ levels AS (
   FROM weighed a, weighed b GROUP BY a.source, a.s, a.w),
 chosen AS (SELECT arg_min(water, cap_level) FILTER (water <= cap_level) AS water FROM levels),
 goals AS (
-  SELECT source, CAST(s AS BIGINT) AS source_size, least(2.0::DOUBLE * s, water * w) AS target FROM weighed, chosen),
+  SELECT source, CAST(s AS BIGINT) AS source_size, least(2.0::DOUBLE * s, water * w) AS target, n - 1 AS sid FROM weighed, chosen),
 laid AS (
-  SELECT d.doc_id, d.size, g.source_size, g.target, CAST(floor(g.target) AS BIGINT) AS goal,
-    CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
-  FROM sized d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target,
+  SELECT d.doc_id, d.size, g.sid, g.source_size, g.target, CAST(floor(g.target) AS BIGINT) AS goal, row_number() OVER () AS r,
+    CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size, d.h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM sized d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source),
+-- the schedule: the source whose share of the targets holds the golden-ratio point of a slot
+shares AS (
+  SELECT sid, CAST(ceil(target / 1024) AS BIGINT) AS need, sum(target) OVER (ORDER BY sid) / sum(target) OVER () AS upto,
+    (sum(target) OVER (ORDER BY sid) - target) / sum(target) OVER () AS since FROM goals WHERE target > 0),
+total AS (SELECT CAST(ceil(round(sum(target), 3) / 1024) AS BIGINT) AS n, (SELECT count(*) FROM goals) AS n_sources FROM goals),
+points AS (SELECT slot, slot * 0.6180339887498949::DOUBLE - floor(slot * 0.6180339887498949::DOUBLE) AS x FROM total, unnest(range(coalesce(n, 0))) AS q(slot)),
+drawn AS (SELECT slot, sid, need, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS rank FROM points, shares WHERE x >= since AND x < upto),
+got AS (SELECT s.sid, s.need, count(d.sid) AS n FROM shares s LEFT JOIN drawn d ON s.sid = d.sid GROUP BY s.sid, s.need),
+slots AS (
+  SELECT sid, rank, slot FROM drawn WHERE rank < need
+  UNION ALL SELECT sid, rank, total.n + (rank - got.n) * n_sources + sid FROM got, total, unnest(range(got.n, got.need)) AS q(rank)),
+spans AS (
+  SELECT r, sid, start + p * source_size AS f, least(start + p * source_size + size, goal) AS t FROM laid, (VALUES (0), (1)) AS q(p) WHERE size > 0),
+firsts AS (
+  SELECT r, CAST(min(slot) AS BIGINT) AS first_slot FROM spans JOIN slots ON spans.sid = slots.sid AND rank BETWEEN f // 1024 AND (t - 1) // 1024 WHERE f < t GROUP BY r)
+SELECT doc_id, size, source_size, target, first_slot,
   CAST(CASE WHEN size = 0 THEN 0 ELSE goal // source_size * size + greatest(0, least(goal % source_size - start, size)) END AS BIGINT) AS taken
-FROM laid
+FROM laid LEFT JOIN firsts USING (r)
 """,
     "op4_warc": r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
@@ -127,14 +152,14 @@ v AS (
   SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_repeat_words, len(lines) AS n_lines,
     n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
     len(list_filter(words, lambda x: ends_with(x, '!!'))) AS n_exclaimed,
-    len(list_intersect(words, [STOPS])) AS n_stop,
+    len(list_filter(words, lambda x: x IN (STOPS))) AS n_stop,
     len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^[\x20\x09]*[-*•]'))) AS n_bullets,
     len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09]*$'))) AS n_ellipsis,
     coalesce(list_max(list_transform(words, lambda x: length(x))), 0) AS longest
   FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND word_chars / n_words BETWEEN 2 AND 20 AND n_symbols / n_words <= 0.4 AND n_dup_lines / n_lines <= 0.4
-    AND n_exclaimed / n_words <= 0.4 AND (n_words < 100 OR n_stop >= 1) AND n_bullets / n_lines <= 0.9
+  NOT base_failed AND word_chars / n_words BETWEEN 3 AND 10 AND n_symbols / n_words <= 0.1 AND n_dup_lines / n_lines <= 0.4
+    AND n_exclaimed / n_words <= 0.1 AND (n_words < 30 OR n_stop / n_words >= 0.06) AND n_bullets / n_lines <= 0.9
     AND n_ellipsis / n_lines <= 0.3 AND longest <= 1000 AS kept
 FROM v
 """.replace("STOPS", _STOPS),
@@ -143,4 +168,29 @@ WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\
 g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
 """,
+    # matches and what lies between them give each match's place
+    "op10_secret_scan": r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+found AS (
+RULES),
+placed AS (
+  SELECT r, k, kind, base, len(m) AS n, least, part,
+    CAST(len(coalesce(list_aggregate(gaps[1:j], 'string_agg', ''), '')) + len(coalesce(list_aggregate(ms[1:j - 1], 'string_agg', ''), '')) AS BIGINT) AS a
+  FROM (SELECT *, unnest(ms) AS m, unnest(range(1, CAST(len(ms) + 1 AS BIGINT))) AS j, unnest(parts) AS part FROM found)),
+kept AS (SELECT *, kind || ':' || a || ':' || (a + n) AS span FROM placed WHERE len(part) >= least),
+per AS (
+  SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(span, ',' ORDER BY a, k) FILTER (base) AS own, string_agg(span, ',' ORDER BY a, k) AS spans
+  FROM kept GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(own, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN per USING (r)
+""".replace(
+        "RULES",
+        " UNION ALL ".join(
+            f"SELECT r, {k} AS k, '{kind}' AS kind, {base} AS base, {least} AS least, regexp_extract_all(text, '{p}') AS ms,"
+            f" regexp_extract_all(text, '{p}', {group}) AS parts, string_split_regex(text, '{p}') AS gaps FROM t"
+            for k, (kind, p, group, least, base) in enumerate(_SECRETS)
+        ),
+    ),
 }

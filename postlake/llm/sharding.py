@@ -59,7 +59,7 @@ def shard(docs: DataFrame, shards: int = 24, nodes: int = 128) -> DataFrame:
     """Assign every row of (doc_id, text) to a shard; the law is `rows`.
 
     size is the UTF-8 length plus 8; a null text has none and counts as empty.
-    Null ids hash like a value; equal rows take neighbouring ranks. Other columns are
+    Null ids hash like a value; repeated rows get a slot each; an empty table gives no row. Other columns are
     not read. grown_shard is null, as the law is not `key`.
     """
     spark = docs.sparkSession
@@ -75,6 +75,7 @@ def shard(docs: DataFrame, shards: int = 24, nodes: int = 128) -> DataFrame:
         (F.octet_length(raw) + 8).cast("long").alias("size"),
         F.crc32(raw).alias("text_crc32"),
         arc(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("arc"),
+        F.monotonically_increasing_id().alias("salt"),
     )
     table = stored(keyed, "shard-keys")
     counts = {r["arc"]: r["n"] for r in table.groupBy("arc").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -86,7 +87,7 @@ def shard(docs: DataFrame, shards: int = 24, nodes: int = 128) -> DataFrame:
         for b in range(lo // block, (hi - 1) // block + 1)
     ]
     runs = spark.createDataFrame(rows, "arc int, _block long, _lo long, _hi long, shard int, _slot long")
-    placed = ranked(table, ["arc"], ["doc_id", "text_crc32", "size"], total // 32, least=8).withColumn("_block", F.expr(f"rank div {block}"))
+    placed = ranked(table, ["arc"], ["doc_id", "text_crc32", "size", "salt"], total // 32, least=8).withColumn("_block", F.expr(f"rank div {block}"))
     return (
         placed.join(runs, ["arc", "_block"])
         .where((F.col("rank") >= F.col("_lo")) & (F.col("rank") < F.col("_hi")))

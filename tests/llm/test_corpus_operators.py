@@ -5,7 +5,6 @@ import hashlib
 import random
 import re
 import tempfile
-import uuid
 import zlib
 from collections import Counter, defaultdict
 
@@ -16,7 +15,10 @@ from pyspark.sql import functions as F
 from postlake.llm import common, exact_dedup, mixing, ngram_join, packing, quality_gam, quality_rules, queries, secrets, sharding, toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-EXTRA = ("size", "rank", "key", "set", "arc", "bucket", "taken", "begin", "_part", "score", "h")
+EXTRA = (
+    "size", "rank", "key", "set", "arc", "bucket", "taken", "begin", "_part", "score", "h", "row", "name", "copy", "slot", "salt", "print",
+    "_id", "_digest", "_n", "_size", "_source", "_kept", "digest", "member", "own", "block", "keep_id", "batch", "text_sha256",
+)
 
 
 def messy_rows():
@@ -84,9 +86,34 @@ def test_empty_table(spark, labels, tokenizer, name):
     assert operators(labels.limit(0), tokenizer)[name](spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_filters_keep_columns(docs, labels):
-    for found in (exact_dedup.deduplicated(docs), ngram_join.one_of_each(docs), mixing.mixed_documents(docs), toxicity.without_toxic(docs, toxicity.train(docs, labels))):
-        assert found.columns == docs.columns and found.count() > 0
+def filters(docs, labels):
+    model = toxicity.train(docs, labels)
+    return {
+        "dedup": exact_dedup.deduplicated,
+        "join": ngram_join.one_of_each,
+        "mix": mixing.mixed_documents,
+        "toxicity": lambda d: toxicity.without_toxic(d, model),
+    }
+
+
+@pytest.mark.parametrize("name", ["dedup", "join", "mix", "toxicity"])
+def test_filters_keep_columns(spark, docs, labels, name):
+    keep = filters(docs, labels)[name]
+    plain = keep(docs)
+    assert plain.columns == docs.columns
+    more = keep(docs.withColumns({c: F.lit(7) for c in EXTRA}))
+    assert more.columns == [*docs.columns, *EXTRA] and all(r[c] == 7 for r in more.collect() for c in EXTRA)
+    assert Counter(map(tuple, more.select(*docs.columns).collect())) == Counter(map(tuple, plain.collect())) and plain.count() > 0
+    empty = keep(spark.createDataFrame([], SCHEMA))
+    assert empty.columns == docs.columns and empty.count() == 0
+
+
+def test_filters_take_whole_rows_of_nulls(spark, docs, labels):
+    rows = spark.createDataFrame([(None,) * 5, (None,) * 5, (None, "a b c", None, None, None), (1, None, None, None, None)], SCHEMA)
+    kept = {name: Counter((r["doc_id"], r["text"]) for r in f(rows).collect()) for name, f in filters(docs, labels).items()}
+    assert kept["toxicity"] == {(None, None): 2, (None, "a b c"): 1, (1, None): 1}
+    assert kept["dedup"] == kept["join"] == {(None, "a b c"): 1, (1, None): 1}
+    assert set(kept["mix"]) == {(None, "a b c")}
 
 
 def test_packing(docs, tokenizer):
@@ -138,7 +165,7 @@ def test_packing_plan_is_best_fit_decreasing():
 
 def test_mixing_and_rules_and_dedup_equal_sql(same, docs):
     folder = docs.inputFiles()[0].removeprefix("file:").rsplit("/", 2)[0]
-    for name in ("op2_source_mixing", "op7_quality_rules", "op9_exact_dedup"):
+    for name in ("op2_source_mixing", "op7_quality_rules", "op9_exact_dedup", "op10_secret_scan"):
         sql = queries.SQL[name]
         if name == "op9_exact_dedup":
             sql = sql.replace("doc_id = keep_id", "doc_id IS NOT DISTINCT FROM keep_id")
@@ -156,6 +183,20 @@ def test_mixing_limits(docs):
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(5), block=16).collect()))
 
 
+def test_mix_follows_the_schedule(spark):
+    rows = [(k, " ".join(f"w{k}" for _ in range(20)), None, f"s{k % 3}", None) for k in range(900)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    goals = {r["source"]: r["target"] for r in mixing.mix(docs, block=20).select("source", "target").distinct().collect()}
+    whole = sum(goals.values())
+    kept = [r["source"] for r in mixing.mixed_documents(docs, block=20).collect()]
+    first = [r["source"] for r in mixing.mix(docs, block=20).where("first_slot is not null").orderBy("first_slot").collect()]
+    # any stretch of the mix has each source in about its share, whatever its place
+    for at in range(0, len(kept) - 60, 60):
+        n = Counter(kept[at : at + 60])
+        assert all(abs(n[s] - 60 * t / whole) <= 4 for s, t in goals.items()), (at, n)
+    assert set(first[:12]) == set(goals)
+
+
 def test_sharding(docs):
     got = sharding.shard(docs, shards=24, nodes=16).collect()
     slots = defaultdict(list)
@@ -173,13 +214,57 @@ def test_sharding_plan_moves_clockwise():
     assert [r[3] for r in runs] == list(dict.fromkeys(owners.tolist())) and [r[2] - r[1] for r in runs] == [25] * 4
 
 
+def test_sharding_equals_a_walk_of_the_ring(spark):
+    """Each key, round by round, tries the next node clockwise of it; within an arc keys go by rank."""
+    rows = [(k, f"t{k}", None, None, None) for k in range(3000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r["doc_id"]: r["shard"] for r in sharding.shard(docs, shards=7, nodes=5).collect()}
+    positions, owners = sharding.ring(7, 5)
+    arcs = defaultdict(list)
+    for r in docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("h")).collect():
+        arcs[int(np.searchsorted(positions, r["h"])) % len(positions)].append(r["doc_id"])
+    room = [3000 // 7 + (s < 3000 % 7) for s in range(7)]
+    want, waiting = Counter(), {a: len(k) for a, k in arcs.items()}
+    for step in range(len(owners)):
+        for a in sorted(waiting):
+            while waiting[a] and room[s := owners[(a + step) % len(owners)]]:
+                waiting[a], room[s] = waiting[a] - 1, room[s] - 1
+                want[a, int(s)] += 1
+    assert not any(waiting.values())
+    assert Counter((a, got[k]) for a, keys in arcs.items() for k in keys) == want
+
+
+def test_one_more_shard_moves_few_rows(spark):
+    docs = spark.createDataFrame([(k, "x", None, None, None) for k in range(6000)], SCHEMA)
+    before, after = ({r["doc_id"]: r["shard"] for r in sharding.shard(docs, shards=n).collect()} for n in (24, 25))
+    assert sum(before[k] != after[k] for k in before) < 0.12 * len(before)
+
+
 def test_digest_index_over_batches(spark):
-    index = exact_dedup.DigestIndex(spark, f"digests_{uuid.uuid4().hex}", buckets=4)
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/digests"
+    index = exact_dedup.DigestIndex(spark, path, buckets=4)
     first = index.add(spark.createDataFrame([(5, "a  b"), (3, "a b"), (9, None)], "doc_id long, text string")).collect()
     assert {r["doc_id"]: (r["keep_id"], r["kept"], r["group_size"]) for r in first} == {5: (3, False, 2), 3: (3, True, 2), 9: (9, True, 1)}
-    second = index.add(spark.createDataFrame([(1, "a\tb"), (2, "new"), (3, "")], "doc_id long, text string")).collect()
-    assert {r["doc_id"]: (r["keep_id"], r["kept"]) for r in second} == {1: (3, False), 2: (2, True), 3: (9, False)}
+    again = index.add(spark.createDataFrame([(5, "a  b"), (3, "a b"), (9, None)], "doc_id long, text string")).collect()
+    assert sorted(again) == sorted(first) and index.read().count() == 2
+    spark.sql(f"DROP TABLE {index.name}")  # a session that has never seen the index
+    index = exact_dedup.DigestIndex(spark, path, buckets=4)
+    rows = spark.createDataFrame([(1, "a\tb"), (2, "new"), (3, ""), (4, "new"), (3, "a b")], "doc_id long, text string")
+    second = index.add(rows, "second")
+    plan = second._jdf.queryExecution().toString()
+    want = {(1, 3, False), (2, 2, True), (3, 9, False), (4, 2, False), (3, 3, False)}
+    assert {(r["doc_id"], r["keep_id"], r["kept"]) for r in second.collect()} == want and "text_sha256" in plan
     assert index.read().count() == 3
+    assert [r["doc_id"] for r in exact_dedup.deduplicated(rows, index, "second").collect()] == [2]
+    assert index.add(rows.limit(0), "third").count() == 0 and index.read().count() == 3
+
+
+def test_digest_index_needs_no_shuffle_of_its_own(spark):
+    index = exact_dedup.DigestIndex(spark, tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/digests", buckets=4)
+    index.add(spark.createDataFrame([(k, f"t{k}") for k in range(50)], "doc_id long, text string")).collect()
+    new = spark.createDataFrame([("x",)], "text_sha256 string")
+    plan = new.join(index.read().hint("merge"), "text_sha256", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
 
 
 def near_rows():
@@ -195,7 +280,7 @@ def near_rows():
 
 
 def test_join_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 40)  # many blocks
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 12)  # many blocks
     rows = near_rows()
     got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     sets = defaultdict(list)
@@ -243,24 +328,38 @@ def test_bands_reach_recall():
         assert 1 - (1 - t**r) ** b >= 0.99 and b * r <= 128
 
 
+# the contract's patterns of the base, and those of the method's own rules, with the group whose length counts
+SECRETS = [
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    ("access", r"AKIA[A-Z0-9]+", 0, 18),
+    ("hex", r"[0-9a-f]+", 0, 16),
+    ("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", 0, 1),
+    ("bearer", r"eyJ[A-Za-z0-9_-]{8,}[.]eyJ[A-Za-z0-9_-]{8,}", 0, 1),
+    ("prefixed", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
+]
+
+
 def brute_spans(text):
-    found = []
-    for k, rule in enumerate(secrets.RULES):
-        found += [(m.start(), k, m.end()) for m in re.finditer(rule.pattern, text) if len(m.group(rule.group)) >= rule.least]
-    return sorted(found)
+    found = [(m.start(), k, m.end()) for k, (_, p, group, least) in enumerate(SECRETS) for m in re.finditer(p, text, re.ASCII) if len(m.group(group)) >= least]
+    return [(SECRETS[k][0], a, b) for a, k, b in sorted(found)]
 
 
 def test_secrets(spark):
     rng = random.Random(1)
-    parts = ["password", "Token", "api_key", "APIKEY", "secret", "=", ":", "'", '"', " ", "AKIA", "ABCDEF0123456789", "0123456789abcdef", "dead", "\n", "é",
-             "-----BEGIN RSA PRIVATE KEY-----", "eyJabcdefghij.eyJabcdefghi", "ghp_" + "a1" * 18, ".", "/", "passwd", "zzzzzzzzzzzz"]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(3000)] + ["a" * 70_000 + " " + "f" * 16, ""]
-    machine = secrets.compiled(tuple(r.sure for r in secrets.RULES))
-    hit = secrets.scan(machine, [t.encode() for t in texts])
-    assert [(secrets.spans(t) if h else []) for t, h in zip(texts, hit, strict=True)] == [brute_spans(t) for t in texts]
+    parts = ["password", "Token", "api_key", "APIKEY", "secret", "=", ":", "'", '"', " ", "AKIA", "ABCDEF0123456789", "0123456789abcdef", "dead", "\n", "é", ",", "\x00", "𝛼",
+             "-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN ", "PRIVATE KEY-----", "eyJ", "eyJabcdefghij.eyJabcdefghi", "ghp_" + "a1" * 18, ".", "/", "passwd", "zzzzzzzzzzzz"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(4000)] + ["a" * 70_000 + " " + "f" * 16, "", None, "eyJ" * 30_000, "secret" + " " * 20_000, "token=" * 9000]
+    texts += [texts[0], texts[0]]
+    got = secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        want = brute_spans(texts[r["doc_id"]] or "")
+        named = [f"{k}:{a}:{b}" for k, a, b in want]
+        base = [x for x in named if x.split(":")[0] in ("assign", "access", "hex")]
+        assert r["spans"] == ",".join(named) and r["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in ("assign", "access", "hex")] == [sum(x[0] == k for x in want) for k in ("assign", "access", "hex")]
     row = secrets.find_secrets(spark.createDataFrame([(1, "token = 'abcdefghijklmnop' é deadbeefdeadbeef0")], "doc_id long, text string")).first()
-    assert (row["n_assign"], row["n_access"], row["n_hex"]) == (1, 0, 1) and row["spans"] == "assign:0:25,hex:29:46"
-    assert row["base_sha256"] == hashlib.sha256(row["spans"].encode()).hexdigest()
+    assert row["spans"] == "assign:0:25,hex:29:46"
 
 
 def test_warc(spark):
@@ -284,6 +383,22 @@ def test_warc_captures_are_whole(spark):
     assert row["request"]["target_uri"] == "http://a/b" and row["metadata"]["page_id"] == 1 and bytes(row["response"]["payload"]) == b"x"
 
 
+@pytest.mark.parametrize("step", [1, 7, 1 << 18])
+def test_warc_files_are_read_in_steps(monkeypatch, step):
+    import gzip
+
+    monkeypatch.setattr(warc, "STEP_BYTES", step)
+    blocks = [b"x" * k + b"\r\n\r\nWARC/1.1\r\n" * (k % 3) for k in (0, 5, 900, 1)]
+    record = lambda b: b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(b), b)
+    plain = b"".join(map(record, blocks))
+    for data in (plain, gzip.compress(plain), b"".join(gzip.compress(record(b)) for b in blocks)):
+        assert [b for _, b in warc.parsed(data)] == blocks
+    for broken in (plain[:-1], plain[3:], gzip.compress(plain)[:-9]):
+        with pytest.raises((ValueError, zlib.error)):
+            list(warc.parsed(broken))
+    assert list(warc.parsed(b"")) == []
+
+
 def test_repeated_words(spark):
     rng = random.Random(3)
     lists = [[rng.choice("abc") for _ in range(rng.randrange(40))] for _ in range(150)] + [[f"w{k}" for k in range(9000)], ["x"] * 9000, [], ["a"] * 5, ["a"] * 6]
@@ -296,6 +411,7 @@ def test_repeated_words(spark):
 
 def test_folding_and_exceptions():
     assert toxicity.fold("1d10t ІDIOT 2024") == " idiot idiot 2024 "
+    assert toxicity.fold("$tupid a$$ $5 5@ 8ad") == " stupid ass 5 5 bad "
     machine = toxicity.Lexicon({" trash ": 2.0, " bad": 1.0, " badly ": 3.0}, [" trash can "]).automaton()
     assert toxicity.hits(machine, toxicity.fold("trash trash can badly badder")) == [2.0, 3.0, 1.0]
 
@@ -308,6 +424,18 @@ def test_models_on_held_out_documents(spark, name, label):
     assert sum(a == b for a, b in rows) / len(rows) > 0.93
 
 
+def test_quality_models_agree_however_rows_come(docs, labels):
+    a, b = (quality_gam.train(d, y) for d, y in ((docs, labels), (docs.repartition(7), labels.repartition(3))))
+    assert a.base == b.base and all(np.array_equal(x, y) for x, y in zip(a.single, b.single, strict=True)) and a.pairs.keys() == b.pairs.keys()
+    # a score is the sum of the row's cells of the tables
+    texts = [t or "" for _, t, *_ in messy_rows()]
+    x = np.array([quality_gam.features(t) for t in texts])
+    for row, got in zip(x, a.score(x), strict=True):
+        k = [sum(v >= c for c in cuts) for v, cuts in zip(row, a.cuts, strict=True)]
+        total = a.base + sum(t[i] for t, i in zip(a.single, k, strict=True)) + sum(t[a.coarse[i][k[i]], a.coarse[j][k[j]]] for (i, j), t in a.pairs.items())
+        assert abs(1 / (1 + np.exp(-total)) - got) < 1e-12
+
+
 def test_labelled_sample_drops_true_copies_only(spark):
     head = "Licence: this text may be read, kept and passed on by all who find it, under the terms named here. "
     ids = [k for k in range(60) if zlib.crc32(str(k).encode()) % 4 != 2]
