@@ -131,9 +131,9 @@ def fuzzy_duplicates(incoming: DataFrame, history: DataFrame, threshold: float =
     return best(every[0].unionByName(every[1]).unionByName(every[2]))
 
 
-def best_per_url(rows: DataFrame) -> DataFrame:
-    """One row per lower-case URL: the best score, nulls last, then the largest id; empty URLs all stay."""
+def best_per_url(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row per ``keys`` and lower-case URL: the best score, nulls last, then the largest id; empty URLs all stay."""
     url = F.lower(F.trim(F.coalesce("url", F.lit(""))))
-    order = Window.partitionBy(url).orderBy(F.desc_nulls_last("score"), F.desc("posting_seq"))
+    order = Window.partitionBy(*keys, url).orderBy(F.desc_nulls_last("score"), F.desc("posting_seq"))
     kept = rows.where(url != "").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
     return kept.unionByName(rows.where(url == ""))

@@ -20,11 +20,30 @@ def _list(name: str) -> Column:
     return F.coalesce(F.col(name), F.array().cast("array<string>"))
 
 
-def role_score() -> Column:
+_POINTS = [(["python"], 40), (["django"], 25), (["rest", "api"], 15), (["sql"], 10), (["git", "docker", "linux"], 10)]
+
+
+def with_signals(postings: DataFrame) -> DataFrame:
+    """Add what the scores find in a posting alone, so that its texts are searched once and not once a profile."""
     title, desc = _low("title"), _low("description")
+    blob = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")), F.array_join(_list("requirements"), " ")))
+    return postings.withColumns({"_desc": desc, "_skill_blob": blob}).withColumns(
+        {
+            "_tech_role": any_of(title, rules.TECH_ROLES) | any_of(F.concat_ws(" ", title, F.col("_desc")), ["python", "django", "software", "desenvolvedor"]),
+            "_points": reduce(lambda a, b: a + b, [F.when(any_of(F.col("_skill_blob"), w), n).otherwise(0) for w, n in _POINTS]),
+        }
+    )
+
+
+def _signalled(rows: DataFrame) -> DataFrame:
+    return rows if "_skill_blob" in rows.columns else with_signals(rows)
+
+
+def role_score() -> Column:
+    title, desc = _low("title"), F.col("_desc")
     given = F.concat(_list("desired_roles"), _list("roles"))
     wanted = F.transform(F.filter(given, lambda r: r != ""), F.lower)
-    tech = any_of(title, rules.TECH_ROLES) | any_of(F.concat_ws(" ", title, desc), ["python", "django", "software", "desenvolvedor"])
+    tech = F.col("_tech_role")
     return (
         F.when(F.size(given) == 0, 65)
         .when(F.exists(wanted, lambda r: F.contains(title, r)), 100)
@@ -39,10 +58,9 @@ def role_score() -> Column:
 
 def skills_score() -> Column:
     target = F.array_distinct(F.concat(listed("skills"), listed("preferred_keywords")))
-    blob = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")), F.array_join(_list("requirements"), " ")))
-    points = [(["python"], 40), (["django"], 25), (["rest", "api"], 15), (["sql"], 10), (["git", "docker", "linux"], 10)]
+    blob = F.col("_skill_blob")
     others = F.size(F.filter(target, lambda s: F.contains(blob, s) & ~s.isin("python", "django")))
-    total = reduce(lambda a, b: a + b, [F.when(any_of(blob, w), n).otherwise(0) for w, n in points]) + F.least(F.lit(20), others * 5)
+    total = F.col("_points") + F.least(F.lit(20), others * 5)
     needed = listed("requirements")
     met = (F.size(needed) > 0) & (F.size(F.array_except(needed, target)) == 0)
     return F.when(F.size(target) == 0, 60).otherwise(F.least(F.lit(100), F.when(met, F.greatest(total, F.lit(100))).otherwise(total)))
@@ -102,7 +120,7 @@ def rank(pairs: DataFrame, as_of: Column) -> DataFrame:
     The weighted sum is rounded half to even. Entry-level profiles see senior postings at 50 at
     most, and on-site ones outside the places asked for score 60 at most.
     """
-    scored = pairs.withColumns(
+    scored = _signalled(pairs).withColumns(
         {"role_score": role_score(), "skills_score": skills_score(), "seniority_score": seniority_score(), "location_score": location_score(), "recency_score": recency_score(as_of)}
     )
     total = reduce(lambda a, b: a + b, [F.lit(w) * F.col(f"{k}_score") for k, w in rules.WEIGHTS.items()])

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlake.functions import feed_text as T
-from postlake.operators import accounts, changes, dedup, freshness, ranking, resumes, views
+from postlake.operators import accounts, changes, dedup, freshness, ranking, resumes, validation, views
 from postlake.plans import oracle as O
-from postlake.plans.queries import _C6, pairs, query, versions
+from postlake.plans.queries import _C6, _VALID, pairs, query, versions
 from postlake.sources import adapters as A
 
 NOW = O.NOW
@@ -127,10 +127,12 @@ def a4(spark: SparkSession, d: str) -> DataFrame:
     return accounts.notification_log(derived(spark, d, _ATTEMPTS, "events")).agg(F.count_if(F.col("status") == "sent").alias("sent"))
 
 
-@query("j7_posting_match", f"WITH {O.PAIRS} SELECT p.posting_seq, r.score FROM p LEFT JOIN (SELECT * FROM {O.ranked('pairs')} WHERE profile_id = 1 AND posting_seq % 2 = 0) r ON p.posting_seq = r.posting_seq")
+@query("j7_posting_match", f"""WITH {O.PAIRS}, m AS (SELECT posting_seq, profile_id, score FROM {O.ranked('pairs')} WHERE {_VALID} = 'valid')
+SELECT p.posting_seq, m.profile_id, m.score FROM p LEFT JOIN m ON p.posting_seq = m.posting_seq""")
 def j7(spark: SparkSession, d: str) -> DataFrame:
-    scores = ranking.rank(pairs(spark, d).where("profile_id = 1 and posting_seq % 2 = 0"), A.as_of()).select("posting_seq", "score")
-    return A.postings(spark, d).select("posting_seq").join(scores, "posting_seq", "left")
+    rows = validation.validate(pairs(spark, d)).where("is_valid")
+    matches = ranking.rank(rows, A.as_of()).select("posting_seq", "profile_id", "score")
+    return A.postings(spark, d).select("posting_seq").join(matches, "posting_seq", "left")
 
 
 @query("j8_favourite_postings", f"{_M4}, {O.POSTINGS} SELECT fav.profile_id, posting_seq, note, title FROM fav JOIN p USING (posting_seq)")

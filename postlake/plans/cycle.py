@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from postlake.operators import dedup, freshness, ranking, validation
 from postlake.plans.stages import staged
+from postlake.sources.adapters import small
 
 
 def run_batch(incoming: DataFrame, history: DataFrame, profiles: DataFrame, as_of: Column, max_days: int = 60) -> DataFrame:
     """(posting_seq, profile_id, outcome, reason, score) of each incoming posting for each profile.
 
     Outcomes: ghost, dup_in_batch, dup_history, invalid, new. In the batch the first posting of a
-    content hash stays. History must have the columns of `dedup.with_keys`. Profiles are few: that side is broadcast.
+    content hash stays. History must have the columns of `dedup.with_keys`. Profiles are broadcast up to a checked number.
     """
     rows = dedup.with_keys(freshness.freshness(incoming, as_of, max_days))
     fresh = rows.where("not is_ghost")
@@ -27,7 +28,8 @@ def run_batch(incoming: DataFrame, history: DataFrame, profiles: DataFrame, as_o
     fuzzy = dedup.fuzzy_duplicates(exact.where("_known is null"), history).withColumnRenamed("duplicate_of", "_like")
     judged = exact.join(fuzzy, "posting_seq", "left").withColumn("_old", F.col("_known").isNotNull() | F.col("_like").isNotNull())
     judged = staged(judged, "cycle-judged")
-    scored = ranking.rank(validation.validate(judged.where("not _old").crossJoin(F.broadcast(profiles))), as_of)
+    unseen = ranking.with_signals(validation.with_signals(judged.where("not _old")))
+    scored = ranking.rank(validation.validate(unseen.crossJoin(small(profiles))), as_of)
     out = lambda df, outcome, reason: df.select("posting_seq", F.lit(None).cast("int").alias("profile_id"), F.lit(outcome).alias("outcome"), reason.alias("reason"), F.lit(None).cast("int").alias("score"))
     judged_rows = scored.select("posting_seq", "profile_id", F.when(F.col("is_valid"), "new").otherwise("invalid").alias("outcome"), F.col("discard_reason").alias("reason"), F.when(F.col("is_valid"), F.col("score")).alias("score"))
     return (
@@ -43,5 +45,5 @@ def top_new(postings: DataFrame, as_of: Column, n: int = 20) -> DataFrame:
     fresh = freshness.freshness(postings, as_of).where("not is_ghost")
     first = dedup.first_per(fresh.withColumn("content_hash", dedup.text.content_hash(*[F.col(c) for c in ("title", "company", "location", "url", "external_id")])), "content_hash")
     table = {k: v for k, v in validation.rule_table().items() if k in ("v1", "v2", "v3", "v4")}
-    sound = first.where(F.coalesce(*table.values()).isNull()).withColumn("recency_score", ranking.recency_score(as_of))
+    sound = validation.with_signals(first).where(F.coalesce(*table.values()).isNull()).withColumn("recency_score", ranking.recency_score(as_of))
     return sound.orderBy(F.desc("recency_score"), F.desc("posting_seq")).limit(n).select("posting_seq", "title", "company", "content_hash", "recency_score")

@@ -169,7 +169,7 @@ def r12(spark: SparkSession, d: str) -> DataFrame:
 def m7(spark: SparkSession, d: str) -> DataFrame:
     own = A.postings(spark, d).select("posting_seq", (F.col("posting_seq") % 4 + 1).cast("int").alias("profile_id"))
     band = F.when(F.col("profile_seniority").isin("junior", "estagio"), "entry").otherwise("experienced")
-    return own.join(F.broadcast(A.profiles(spark)), "profile_id").select("posting_seq", "profile_id", band.alias("band"), F.slice("skills", 1, 10).alias("keywords"))
+    return own.join(A.small(A.profiles(spark)), "profile_id").select("posting_seq", "profile_id", band.alias("band"), F.slice("skills", 1, 10).alias("keywords"))
 
 
 @query("s9_rss_right_split", f"WITH {O.POSTINGS} SELECT url, title, company FROM p WHERE company <> ''")

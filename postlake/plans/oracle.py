@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from postlake.functions import rules as R
 from postlake.operators import validation as V
 from postlake.sources.adapters import AS_OF, earlier_sql, postings_sql, profiles_sql
@@ -27,6 +29,7 @@ def has(c: str, pattern: str) -> str:
 
 def edges(pattern: str) -> str:
     """Word edges that also hold next to letters with accents, as the other engine's patterns do."""
+    pattern = re.sub(r"\|\\b(\w+)\\b", r"|\1", pattern)  # the group around it has edges of its own
     return pattern.replace(r"\b", r"(?:^|$|[^\p{L}\p{N}_])") if any(ord(c) > 127 for c in pattern) or "Unicode" in pattern else pattern
 
 
@@ -149,6 +152,7 @@ def v_rules() -> dict[str, str]:
     firm = first(low("excluded_companies"), "contains(lower(trim(company)), x) OR contains(x, lower(trim(company)))")
     foreign = f"({R.FOREIGN})"
     return {
+        "v0": "CASE WHEN list_contains(excluded_postings, posting_seq) THEN 'user_excluded_job' END",
         "v1": "CASE WHEN length(trim(title)) < 3 THEN 'missing_or_invalid_title' WHEN NOT regexp_matches(url, '^https?://') THEN 'invalid_url' WHEN trim(company) = '' THEN 'missing_company_name' END",
         "v2": f"CASE WHEN {ex} THEN 'example_or_mock_job' END",
         "v3": "CASE " + " ".join(f"WHEN {reg(BLOB, p)} THEN {q('spam_pattern_detected: ' + p)}" for p in R.SPAM) + " END",

@@ -80,8 +80,9 @@ def f2(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Every posting with every profile; profiles are a handful of literal rows."""
-    return freshness.freshness(A.postings(spark, d), A.as_of()).crossJoin(F.broadcast(A.profiles(spark)))
+    """Every posting, with what rules and scores find in it alone, with every profile."""
+    fresh = freshness.freshness(A.postings(spark, d), A.as_of())
+    return ranking.with_signals(validation.with_signals(fresh)).crossJoin(A.small(A.profiles(spark)))
 
 
 def _rule(name: str, sql: str) -> None:
@@ -179,10 +180,10 @@ def d1(spark: SparkSession, d: str) -> DataFrame:
     return dedup.first_per(dedup.with_keys(A.postings(spark, d)).select("posting_seq", "content_hash"), "content_hash")
 
 
-@query("d6_best_per_url", f"""WITH {O.PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY lower(trim(url)) ORDER BY score DESC NULLS LAST, posting_seq DESC) AS n FROM {O.ranked("(SELECT * FROM pairs WHERE profile_id = 3)")})
-SELECT posting_seq, score FROM r WHERE n = 1""")
+@query("d6_best_per_url", f"""WITH {O.PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY profile_id, lower(trim(url)) ORDER BY score DESC NULLS LAST, posting_seq DESC) AS n FROM {O.ranked('pairs')})
+SELECT profile_id, posting_seq, score FROM r WHERE n = 1""")
 def d6(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.best_per_url(ranking.rank(pairs(spark, d).where("profile_id = 3"), A.as_of())).select("posting_seq", "score")
+    return dedup.best_per_url(ranking.rank(pairs(spark, d), A.as_of()), "profile_id").select("profile_id", "posting_seq", "score")
 
 
 @query("j1_not_known", f"""WITH {O.KEYED} SELECT posting_seq FROM k WHERE posting_seq % 2 = 1
@@ -266,7 +267,7 @@ _CHANNELS = [(1, "chat", True, 60), (1, "mail", False, 60), (2, "chat", True, No
 SELECT r.profile_id, r.posting_seq, ch.channel, r.score FROM {O.ranked('pairs')} r JOIN ch USING (profile_id) WHERE r.score >= ch.minimum_score AND NOT (ch.channel = 'chat' AND r.posting_seq % 4 = 0)""")
 def m10(spark: SparkSession, d: str) -> DataFrame:
     rows = ranking.rank(pairs(spark, d), A.as_of()).select("profile_id", "posting_seq", "score")
-    channels = F.broadcast(spark.createDataFrame(_CHANNELS, "profile_id int, channel string, enabled boolean, minimum_score int"))
+    channels = A.small(spark.createDataFrame(_CHANNELS, "profile_id int, channel string, enabled boolean, minimum_score int"))
     log = rows.where("posting_seq % 2 = 0").select("profile_id", "posting_seq", F.lit("chat").alias("channel"), F.when(F.col("posting_seq") % 4 == 0, "sent").otherwise("failed").alias("status"))
     return maintenance.outbox(rows, channels, log)
 

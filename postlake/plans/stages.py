@@ -13,10 +13,13 @@ _LOCAL: dict[str, str] = {}
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a stage to the folder of ``spark.checkpoint.dir``, which executors share, and read it again.
 
-    A session that names none (tests in local mode) gets a temporary folder.
+    A session in local mode that names none (as in tests) gets a temporary folder; on a cluster that is an error.
     """
     spark = df.sparkSession
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not base and master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not base:
         base = _LOCAL.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         _LOCAL[spark.sparkContext.applicationId] = base

@@ -46,7 +46,7 @@ SELECT doc_id AS posting_seq,
   {_pool(MODES, f"doc_id % {len(MODES)}")} AS work_mode,
   {_pool(LEVELS, f"doc_id % {len(LEVELS)}")} AS seniority,
   {_pool(TYPES, f"doc_id % {len(TYPES)}")} AS employment_type,
-  concat({_pool(PHRASES, f"doc_id % {len(PHRASES)}")}, ' ', substr(coalesce(text, ''), 1, 400)) AS description,
+  concat({_pool(PHRASES, f"doc_id % {len(PHRASES)}")}, ' ', coalesce(text, '')) AS description,
   {_pool(SKILLS, f"doc_id % {len(SKILLS)}")} AS skills_text,
   CASE WHEN doc_id % 4 = 0 THEN NULL ELSE CAST(1000 + doc_id % 6000 AS DOUBLE) END AS salary_min,
   CASE WHEN doc_id % 4 = 0 THEN NULL ELSE CAST(2000 + doc_id % 9000 AS DOUBLE) END AS salary_max,
@@ -71,17 +71,17 @@ FROM ({postings}) p WHERE posting_seq % 4 <> 3
 PROFILES = [
     dict(profile_id=1, roles=["Desenvolvedor Python"], skills=["Python", "Django", "SQL"], profile_seniority="junior", desired_roles=["Estágio em TI", "Desenvolvedor"],
          preferred_keywords=["api"], mandatory_keywords=[], excluded_keywords=["vendedora", "java"], excluded_companies=["Banco Zeta"], work_modes=["remote", "hybrid"],
-         locations=["São Paulo, SP", "Remoto"], employment_types=["estagio", "clt"], seniority_levels=["estagio", "junior"], minimum_salary=1500.0, maximum_salary=None),
+         locations=["São Paulo, SP", "Remoto"], employment_types=["estagio", "clt"], seniority_levels=["estagio", "junior"], minimum_salary=1500.0, maximum_salary=None, excluded_postings=[1, 5, 22, 104]),
     dict(profile_id=2, roles=["Frontend Developer"], skills=["React", "Docker"], profile_seniority="mid", desired_roles=["UX Designer"], preferred_keywords=[],
          mandatory_keywords=["react", "docker"], excluded_keywords=[], excluded_companies=["acme"], work_modes=[], locations=["Curitiba", "Brasil"],
-         employment_types=["pj"], seniority_levels=["mid", "senior"], minimum_salary=None, maximum_salary=5000.0),
+         employment_types=["pj"], seniority_levels=["mid", "senior"], minimum_salary=None, maximum_salary=5000.0, excluded_postings=[]),
     dict(profile_id=3, roles=["Analista de Dados"], skills=["Python", "SQL", "Linux"], profile_seniority="senior", desired_roles=["dados"], preferred_keywords=["cloud"],
          mandatory_keywords=[], excluded_keywords=["renda extra"], excluded_companies=[], work_modes=["onsite"], locations=["Santiago, Chile"], employment_types=[],
-         seniority_levels=["senior"], minimum_salary=4000.0, maximum_salary=9000.0),
+         seniority_levels=["senior"], minimum_salary=4000.0, maximum_salary=9000.0, excluded_postings=[3]),
     dict(profile_id=4, roles=[], skills=[], profile_seniority="", desired_roles=[], preferred_keywords=[], mandatory_keywords=[], excluded_keywords=[], excluded_companies=[],
-         work_modes=[], locations=[], employment_types=[], seniority_levels=[], minimum_salary=None, maximum_salary=None),
+         work_modes=[], locations=[], employment_types=[], seniority_levels=[], minimum_salary=None, maximum_salary=None, excluded_postings=[]),
 ]
-_TYPES = {"profile_id": "int", "profile_seniority": "string", "minimum_salary": "double", "maximum_salary": "double"}
+_TYPES = {"profile_id": "int", "profile_seniority": "string", "minimum_salary": "double", "maximum_salary": "double", "excluded_postings": "array<bigint>"}
 
 
 def as_of() -> Column:
@@ -103,11 +103,20 @@ def earlier_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profiles(spark: SparkSession) -> DataFrame:
-    """The profiles with their preferences: as many rows as PROFILES, so joins may broadcast them."""
+    """The profiles with their preferences: as many rows as PROFILES."""
     schema = ", ".join(f"{k} {_TYPES.get(k, 'array<string>')}" for k in PROFILES[0])
     return spark.createDataFrame([tuple(p.values()) for p in PROFILES], schema)
 
 
+#: Tables of profiles of up to this many rows (a few kilobytes each) are broadcast.
+BROADCAST_PROFILES = 10_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_PROFILES) -> DataFrame:
+    """The table, to be broadcast if it has at most ``rows`` rows; a larger one joins as Spark sees fit."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def postings_sql() -> str:
     inner = _POSTINGS.format(documents="documents")
     return f"SELECT * EXCLUDE (skills_text), list_filter(string_split(skills_text, ','), lambda x: x <> '') AS requirements FROM ({inner}) q"
@@ -119,6 +128,8 @@ def earlier_sql() -> str:
 
 def profiles_sql() -> str:
     def lit(k: str, v) -> str:
+        if k == "excluded_postings":
+            return f"CAST({v} AS BIGINT[])"
         if isinstance(v, list):
             return "CAST([" + ", ".join(f"'{x}'" for x in v) + "] AS VARCHAR[])"
         return "NULL::DOUBLE" if v is None else f"'{v}'" if isinstance(v, str) else f"{v}::DOUBLE" if _TYPES[k] == "double" else str(v)
