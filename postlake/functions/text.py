@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html.entities
+import re
 import unicodedata
 from functools import reduce
 
@@ -10,9 +12,48 @@ from pyspark.sql import functions as F
 
 from postlake.functions import rules
 
-# letters of Latin-1 and Latin Extended-A that are a base letter with marks
-_MARKED = {chr(k): unicodedata.normalize("NFKD", chr(k)) for k in range(0xC0, 0x180)}
-_MARKED = {k: v[0] for k, v in _MARKED.items() if len(v) > 1 and all(unicodedata.combining(c) for c in v[1:])}
+
+
+def _class(codes: list[int]) -> str:
+    """A pattern's class of characters, as ranges."""
+    ranges: list[list[int]] = []
+    for c in codes:
+        if ranges and c == ranges[-1][1] + 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+
+
+def _decomposed() -> tuple[dict[str, str], dict[str, str], str]:
+    """From the Unicode tables: characters that decompose to one character, to several or beyond the BMP, and marks.
+
+    Syllables of Hangul are left whole: their parts would be equal where they are.
+    """
+    one, more, marks = {}, {}, []
+    for k in range(0x80, 0x30000):
+        if 0xAC00 <= k < 0xE000:
+            continue
+        c = chr(k)
+        if unicodedata.combining(c):
+            marks.append(k)
+            continue
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if plain != c:
+            (one if len(plain) == 1 and k < 0x10000 and ord(plain) < 0x10000 else more)[c] = plain
+    return one, more, _class(marks)
+
+
+_ONE, _MORE, _MARKS = _decomposed()
+_MORE_CLASS = _class([ord(c) for c in _MORE])
+_ENTITIES = {k.removesuffix(";"): v for k, v in html.entities.html5.items() if k.endswith(";")}
+_BREAK = "\x1f"
+
+
+def _lookup(table: dict[str, str], key: Column) -> Column:
+    """The table's value, as two literals, so that plans stay small."""
+    both = [F.split(F.lit(_BREAK.join(x)), _BREAK) for x in (table.keys(), table.values())]
+    return F.try_element_at(F.map_from_arrays(*both), key)
 
 
 def _text(c: Column) -> Column:
@@ -20,8 +61,12 @@ def _text(c: Column) -> Column:
 
 
 def strip_accents(c: Column) -> Column:
-    """Letters of the Latin-1 and Extended-A blocks without their marks; loose combining marks are dropped."""
-    return F.regexp_replace(F.translate(_text(c), "".join(_MARKED), "".join(_MARKED.values())), r"\p{M}+", "")
+    """Text in its compatible decomposition without combining marks."""
+    text = F.translate(_text(c), "".join(_ONE), "".join(_ONE.values()))
+    # what is still not ASCII is rare: ligatures, fractions and loose marks, for which a text is taken apart
+    apart = F.array_join(F.transform(F.split(text, ""), lambda x: F.coalesce(_lookup(_MORE, x), x)), "")
+    whole = F.regexp_replace(F.when(text.rlike(_MORE_CLASS), apart).otherwise(text), _MARKS, "")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), whole).otherwise(text)
 
 
 def normalize_text(c: Column) -> Column:
@@ -58,6 +103,20 @@ def any_of(c: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in words])
 
 
+def anchors(pattern: str) -> list[str]:
+    """For each alternative of a pattern, the longest run of letters that all its matches hold."""
+    found = []
+    for branch in re.split(r"\|(?=\\b)", pattern):
+        bare = re.sub(r"\\.|\([^)]*\)\??|\[[^]]*\]", " ", re.sub(r"[a-z][?*]", " ", re.sub(r"\\[a-zA-Z]", " ", branch)))
+        found.append(max(re.findall("[a-z]+", bare), key=len))
+    return found
+
+
+def says(low: Column, pattern: str) -> Column:
+    """Whether a text in lower case matches; the pattern, which is slow, is tried only where its longest words occur."""
+    return any_of(low, anchors(pattern)) & low.rlike("(?U)" + pattern)
+
+
 def normalize_location(c: Column) -> Column:
     loc = strip_accents(normalize_text(c))
     short = reduce(lambda x, s: F.regexp_replace(x, rf"\b({s[0]}|{s[1]})\b", s[1]), rules.STATES, loc)
@@ -92,13 +151,29 @@ def city_part(c: Column, separators: str = "[,/-]") -> Column:
     return F.trim(F.element_at(F.split(_text(c), separators), 1))
 
 
+def unescape_html(c: Column) -> Column:
+    """Text with HTML's named and numbered entities, closed by a semicolon, as characters; unknown ones stay."""
+    text = _text(c)
+
+    def one(x: Column) -> Column:
+        name, rest = F.regexp_extract(x, "^&(#?[A-Za-z0-9]+);", 1), F.regexp_replace(x, "^&#?[A-Za-z0-9]+;", "")
+        base = F.when(name.rlike("^#[xX][0-9a-fA-F]{1,6}$"), F.conv(F.substring(name, 3, 6), 16, 10)).when(name.rlike("^#[0-9]{1,7}$"), F.substring(name, 2, 7))
+        code = base.cast("long")
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        number = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        found = F.when(F.startswith(name, F.lit("#")), number).when(name != "", _lookup(_ENTITIES, name))
+        return F.when(found.isNotNull(), F.concat(found, rest)).otherwise(x)
+
+    return F.when(text.rlike("&#?[A-Za-z0-9]+;"), F.array_join(F.transform(F.split(text, "(?=&)"), one), "")).otherwise(text)
+
+
 def clean_html(c: Column, limit: int = 2000) -> Column:
-    """Text of HTML: tags as spaces, common entities, collapsed white space, at most ``limit`` characters."""
-    text = F.regexp_replace(_text(c), "<[^>]+>", " ")
-    # Entities; the ampersand last, lest it make new ones.
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return F.substring(F.trim(F.regexp_replace(text, r"[\s ]+", " ")), 1, limit)
+    """Text of HTML: entities as characters, tags as spaces, collapsed white space, at most ``limit`` characters.
+
+    Entities are read before tags are dropped and once more after it, as feeds escape whole fragments.
+    """
+    text = unescape_html(F.regexp_replace(unescape_html(c), "<[^>]+>", " "))
+    return F.substring(F.trim(F.regexp_replace(text, r"[\s\x{A0}]+", " ")), 1, limit)
 
 
 def parse_salary(c: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlake.functions import text
+from postlake.plans.stages import staged
 
 
 def with_keys(postings: DataFrame) -> DataFrame:
@@ -71,25 +72,53 @@ def token_sort_ratio(a: Column, b: Column, similarity: str = "indel") -> Column:
     return ratio(a, b)
 
 
+def _sorted_words(c: Column) -> Column:
+    return F.array_join(F.array_sort(F.split(c, " +")), " ")
+
+
+def _grams(c: Column) -> Column:
+    positions = F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1)))
+    return F.array_distinct(F.transform(positions, lambda k: F.substring(c, k, F.lit(3))))
+
+
 def company_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs (a, b) of matching company keys: equal, one within the other, or nearly equal words.
+    """Pairs (a, b) of matching company keys: equal, one within the other, or nearly equal sorted words.
 
-    Only distinct names are compared. Candidates share a gram of three characters, as names
-    that contain each other or have nearly equal words do; names shorter than that match only as equals.
+    Only distinct names are compared, and candidates come from rare grams of three characters alone: of a name that
+    another holds, its rarest gram is in the other; of two texts of sorted words with a ratio of 90 or more, at most
+    0.55 of the length's grams differ, so they share one among so many, and one more, of the rarest of each. Texts
+    too short for that have the ratio only if equal. So no match is lost, and frequent grams pair few names.
     """
-    names = lambda df: df.where("company_key <> ''").select("company_key").distinct()
-
-    def grams(df: DataFrame, name: str) -> DataFrame:
-        positions = F.sequence(F.lit(1), F.greatest(F.length("company_key") - 2, F.lit(1)))
-        every = F.array_distinct(F.transform(positions, lambda k: F.substring(F.col("company_key"), k, F.lit(3))))
-        return df.select(F.col("company_key").alias(name), F.explode(every).alias("gram"))
 
-    both = grams(names(left), "a").join(grams(names(right), "b"), "gram").select("a", "b").distinct()
-    within = (F.length("a") >= 4) & (F.length("b") >= 4) & (F.contains("a", "b") | F.contains("b", "a"))
-    possible = 200 * F.least(F.length("a"), F.length("b")) >= 90 * (F.length("a") + F.length("b"))
-    sure = both.where((F.col("a") == F.col("b")) | within)
-    rest = both.where((F.col("a") != F.col("b")) & ~within & possible).where(token_sort_ratio(F.col("a"), F.col("b")) >= 90)
-    return sure.unionByName(rest)
+    def named(df: DataFrame) -> DataFrame:
+        names = df.where("company_key <> ''").select(F.col("company_key").alias("name")).distinct()
+        # written, as names are read several times
+        return staged(names.withColumn("words", _sorted_words(F.col("name"))).withColumns({"grams": _grams(F.col("name")), "word_grams": _grams(F.col("words"))}), "company-names")
+
+    a, b = named(left), named(right)
+
+    def rarest(df: DataFrame, grams: str, much: Column) -> DataFrame:
+        """(name, words, gram): the ``much`` rarest grams of each name; a name has few, so its list is short."""
+        every = a.select(F.explode(grams).alias("gram")).unionByName(b.select(F.explode(grams).alias("gram")))
+        counts = every.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+        listed = df.select("name", "words", F.explode(grams).alias("gram")).join(counts, "gram").groupBy("name", "words")
+        order = F.array_sort(F.collect_list(F.struct("n", "gram")))
+        return listed.agg(order.alias("order")).select("name", "words", F.explode(F.slice("order", 1, much)).alias("o")).select("name", "words", "o.gram")
+
+    def held(inner: DataFrame, outer: DataFrame) -> DataFrame:
+        """(inner, outer): names of four characters or more that lie within others."""
+        rare = rarest(inner.where("length(name) >= 4"), "grams", F.lit(1)).select(F.col("name").alias("inner"), "gram")
+        every = outer.where("length(name) >= 4").select(F.col("name").alias("outer"), F.explode("grams").alias("gram"))
+        return rare.join(every, "gram").where(F.contains("outer", "inner")).select("inner", "outer")
+
+    prefix = (F.floor(F.length("words") * 0.55) + 1).cast("int")
+    one, two = (rarest(df, "word_grams", prefix).toDF(x, f"{x}_words", "gram") for df, x in ((a, "a"), (b, "b")))
+    possible = 200 * F.least(F.length("a_words"), F.length("b_words")) >= 90 * (F.length("a_words") + F.length("b_words"))
+    near = one.join(two, "gram").where(possible & (F.col("a_words") != F.col("b_words"))).select("a", "b").distinct()
+    near = near.where(token_sort_ratio(F.col("a"), F.col("b")) >= 90)
+    same = a.select(F.col("name").alias("a"), "words").join(b.select(F.col("name").alias("b"), "words"), "words").select("a", "b")
+    within = held(a, b).toDF("a", "b").unionByName(held(b, a).toDF("b", "a").select("a", "b"))
+    return same.unionByName(within).unionByName(near).distinct()
 
 
 def fuzzy_duplicates(incoming: DataFrame, history: DataFrame, threshold: float = 0.88) -> DataFrame:
@@ -104,6 +133,7 @@ def fuzzy_duplicates(incoming: DataFrame, history: DataFrame, threshold: float =
         F.col("posting_seq").alias("duplicate_of"), F.col("source").alias("h_source"), F.col("external_id").alias("h_external_id"), F.col("url_key").alias("h_url"),
         F.col("company_key").alias("h_company"), F.col("title_key").alias("h_title"), F.col("location_key").alias("h_location"), F.lower("work_mode").alias("h_mode"),
     )
+    mine, theirs = staged(mine, "fuzzy-incoming"), staged(theirs, "fuzzy-history")  # keys are read several times
     best = lambda df: df.groupBy("posting_seq").agg(F.max("duplicate_of").alias("duplicate_of"))
     by_url = mine.where("url_key <> ''").join(theirs.groupBy(F.col("h_url").alias("url_key")).agg(F.max("duplicate_of").alias("duplicate_of")), "url_key")
     ids = theirs.groupBy(F.col("h_source").alias("source"), F.col("h_external_id").alias("external_id")).agg(F.max("duplicate_of").alias("duplicate_of"))

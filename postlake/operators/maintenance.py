@@ -51,8 +51,25 @@ def outbox(scores: DataFrame, channels: DataFrame, sent: DataFrame, default_mini
     return due.join(sent.where("status = 'sent'").select(*key).distinct(), key, "left_anti").select(*key, "score")
 
 
+def _after(first: Column, shift: Column, low: Column, high: Column) -> Column:
+    """Two clamped shifts, one after the other, as one: x + shift kept within low and high."""
+    within = lambda x: F.least(F.greatest(x, low), high)
+    return F.struct((first["shift"] + shift).alias("shift"), within(first["low"] + shift).alias("low"), within(first["high"] + shift).alias("high"))
+
+
 def feedback_score(events: DataFrame) -> DataFrame:
-    """Scores after feedback: +5 or -10 for each event in order, kept within 0 and 100 after each."""
-    steps = F.array_sort(F.collect_list(F.struct("ts", "event_id", F.when(F.col("is_positive"), 5).otherwise(-10).alias("delta"))))
-    score = F.aggregate(steps, F.first("score"), lambda s, e: F.greatest(F.lit(0), F.least(F.lit(100), s + e["delta"])))
-    return events.groupBy("profile_id", "posting_seq").agg(score.alias("score"), F.count(F.lit(1)).alias("n_events"))
+    """Scores after feedback: +5 or -10 for each event in order, kept within 0 and 100 after each.
+
+    Shifts that are clamped make up one such shift, so the events of an hour are folded first and
+    then a posting's hours: no list grows with all of its events.
+    """
+    delta = F.when(F.col("is_positive"), 5).otherwise(-10)
+    none = F.struct(F.lit(0).alias("shift"), F.lit(0).alias("low"), F.lit(100).alias("high"))
+    key = ["profile_id", "posting_seq"]
+    steps = F.array_sort(F.collect_list(F.struct("ts", "event_id", delta.alias("delta"))))
+    hours = events.groupBy(*key, F.date_trunc("hour", "ts").alias("hour")).agg(
+        F.aggregate(steps, none, lambda s, e: _after(s, e["delta"], F.lit(0), F.lit(100))).alias("f"), F.count(F.lit(1)).alias("n"), F.first("score").alias("score")
+    )
+    folded = F.aggregate(F.array_sort(F.collect_list(F.struct("hour", "f"))), none, lambda s, h: _after(s, h["f"]["shift"], h["f"]["low"], h["f"]["high"]))
+    whole = hours.groupBy(*key).agg(folded.alias("f"), F.first("score").alias("score"), F.sum("n").alias("n_events"))
+    return whole.select(*key, F.least(F.greatest(F.col("score") + F.col("f.shift"), F.col("f.low")), F.col("f.high")).alias("score"), "n_events")

@@ -51,7 +51,14 @@ _scalar("n20_city_part", "city", lambda: text.city_part(F.col("location")), "tri
 _scalar("n21_escape_html", "safe", lambda: text.escape_html(F.col("description")), "replace(replace(replace(description, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')")
 
 
-@query("n10_clean_html")
+# the entities that the pages hold, apart from those that start another one
+_UNESCAPED = "{0}"
+for _name, _char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", chr(34)), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", chr(0xA0)), ("&#39;", "''"), ("&amp;", "&")):
+    _UNESCAPED = f"replace({_UNESCAPED}, '{_name}', '{_char}')"
+_N10 = _UNESCAPED.replace("{0}", f"regexp_replace({_UNESCAPED.replace('{0}', 'html')}, '<[^>]+>', ' ', 'g')")
+
+
+@query("n10_clean_html", f"SELECT page_id, substr(trim(regexp_replace(coalesce({_N10}, ''), '[\\s\u00a0]+', ' ', 'g')), 1, 2000) AS plain FROM pages")
 def n10(spark: SparkSession, d: str) -> DataFrame:
     return A.table(spark, d, "pages").select("page_id", text.clean_html(F.col("html")).alias("plain"))
 
@@ -299,13 +306,13 @@ def t10(spark: SparkSession, d: str) -> DataFrame:
 
 @query("t5_source_health", """WITH RECURSIVE e AS (SELECT concat('src', user_id % 13) AS source, event_id, ts, event_type <> 'error' AS ok,
   row_number() OVER (PARTITION BY user_id % 13 ORDER BY ts, event_id) AS n FROM events),
-s AS (SELECT source, event_id, n, ok, 'CLOSED' AS state, CASE WHEN ok THEN 0 ELSE 1 END AS failures, CAST(NULL AS TIMESTAMP) AS opened FROM e WHERE n = 1
-  UNION ALL SELECT source, event_id, n, ok,
-    CASE WHEN ok THEN 'CLOSED' WHEN half OR failures + 1 >= 3 THEN 'OPEN' ELSE state END,
-    CASE WHEN ok THEN 0 ELSE failures + 1 END,
-    CASE WHEN ok THEN NULL WHEN half OR failures + 1 >= 3 THEN ts ELSE opened END
-  FROM (SELECT e.*, s.state, s.failures, s.opened, s.state = 'OPEN' AND e.ts - s.opened >= INTERVAL 300 SECOND AS half FROM e JOIN s ON e.source = s.source AND e.n = s.n + 1) x)
-SELECT source, event_id, ok, state, failures FROM s""")
+s AS (SELECT source, event_id, n, ok, 'CLOSED' AS tried_in, 'CLOSED' AS state, CASE WHEN ok THEN 0 ELSE 1 END AS failures, CAST(NULL AS TIMESTAMP) AS until FROM e WHERE n = 1
+  UNION ALL SELECT source, event_id, n, ok, tried_in,
+    CASE WHEN tried_in = 'OPEN' THEN 'OPEN' WHEN ok THEN 'CLOSED' WHEN tried_in = 'HALF_OPEN' OR failures + 1 >= 3 THEN 'OPEN' ELSE tried_in END,
+    CASE WHEN tried_in = 'OPEN' THEN failures WHEN ok THEN 0 ELSE failures + 1 END,
+    CASE WHEN tried_in = 'OPEN' THEN until WHEN ok THEN NULL WHEN tried_in = 'HALF_OPEN' OR failures + 1 >= 3 THEN ts + INTERVAL 300 SECOND END
+  FROM (SELECT e.*, s.failures, s.until, CASE WHEN s.state = 'OPEN' AND e.ts >= s.until THEN 'HALF_OPEN' ELSE s.state END AS tried_in FROM e JOIN s ON e.source = s.source AND e.n = s.n + 1) x)
+SELECT source, event_id, ok, tried_in, state, failures FROM s""")
 def t5(spark: SparkSession, d: str) -> DataFrame:
     return streams.source_health(attempts(spark, d))
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HEALTH = "source string, event_id long, ok boolean, state string, failures int"
+HEALTH = "source string, event_id long, ok boolean, tried_in string, state string, failures int"
 
 
 def new_postings(stream: DataFrame, delay: str = "7 days") -> DataFrame:
@@ -36,24 +36,26 @@ def digests(rows: DataFrame, window: str = "1 day", delay: str = "1 day") -> Dat
     )
 
 
-def step(state: str, failures: int, opened: float, ok: bool, now: float, threshold: int, recovery: float) -> tuple[str, int, float]:
-    """One attempt of the breaker: its state after it, failures so far and when it opened.
+def step(state: str, failures: int, until: float, ok: bool, now: float, threshold: int, recovery: float) -> tuple[str, str, int, float]:
+    """One attempt at a source: the state in which it was made, then state, failures and end of the rest after it.
 
-    An open breaker whose rest has passed is half open at the next attempt; success closes it, and
-    failure, in half open or at the threshold, opens it.
+    While an open breaker rests, attempts are refused and change nothing. The first one after the rest is made half
+    open; success closes the breaker, and failure, half open or at the threshold, opens it.
     """
-    if state == "OPEN" and now - opened >= recovery:
+    if state == "OPEN":
+        if now < until:
+            return state, state, failures, until
         state = "HALF_OPEN"
     if ok:
-        return "CLOSED", 0, 0.0
+        return state, "CLOSED", 0, 0.0
     failures += 1
     if state == "HALF_OPEN" or failures >= threshold:
-        return "OPEN", failures, now
-    return state, failures, opened
+        return state, "OPEN", failures, now + recovery
+    return state, state, failures, until
 
 
 def source_health(events: DataFrame, threshold: int = 3, recovery: float = 300.0) -> DataFrame:
-    """The breaker's state after each attempt (source, event_id, ts, ok), in order of time and id.
+    """The breaker's states at and after each attempt (source, event_id, ts, ok), in order of time and id.
 
     The attempts of a source are walked in order across batches; sources are dealt over
     tasks by hash and sorted by Spark, so no source is held whole.
@@ -66,8 +68,8 @@ def source_health(events: DataFrame, threshold: int = 3, recovery: float = 300.0
             for s, e, t, ok in zip(batch["source"], batch["event_id"], batch["t"], batch["ok"], strict=True):
                 if s != source:
                     source, now = s, ("CLOSED", 0, 0.0)
-                now = step(*now, ok, t, threshold, recovery)
-                rows.append((s, e, ok, now[0], now[1]))
+                tried, *now = step(*now, ok, t, threshold, recovery)
+                rows.append((s, e, ok, tried, now[0], now[1]))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in HEALTH.split(", ")])
 
     timed = events.select("source", "event_id", (F.unix_micros("ts") / 1e6).alias("t"), "ok")

@@ -101,12 +101,59 @@ def test_feedback(spark):
 
 
 def test_breaker():
-    s = streams.step("CLOSED", 0, 0.0, False, 0.0, 2, 60)
+    s = streams.step("CLOSED", 0, 0.0, False, 0.0, 2, 60)[1:]
     assert s[0] == "CLOSED"
-    s = streams.step(*s, False, 1.0, 2, 60)
+    s = streams.step(*s, False, 1.0, 2, 60)[1:]
     assert s[0] == "OPEN"
-    assert streams.step(*s, True, 90.0, 2, 60) == ("CLOSED", 0, 0.0)
-    assert streams.step(*s, False, 90.0, 2, 60)[0] == "OPEN"
+    assert streams.step(*s, True, 30.0, 2, 60) == ("OPEN", "OPEN", 2, 61.0)  # refused while it rests
+    assert streams.step(*s, True, 90.0, 2, 60) == ("HALF_OPEN", "CLOSED", 0, 0.0)
+    assert streams.step(*s, False, 90.0, 2, 60) == ("HALF_OPEN", "OPEN", 3, 150.0)
+
+
+def test_rest_of_the_breaker_matters(spark):
+    rows = [("s", k, dt.datetime(2024, 1, 1, 0, 0, 10 * k), k > 2) for k in range(5)]
+    df = spark.createDataFrame(rows, "source string, event_id long, ts timestamp, ok boolean")
+    found = {r: [x["state"] for x in sorted(streams.source_health(df, recovery=r).collect(), key=lambda x: x["event_id"])] for r in (5.0, 300.0)}
+    assert found == {5.0: ["CLOSED", "CLOSED", "OPEN", "CLOSED", "CLOSED"], 300.0: ["CLOSED", "CLOSED", "OPEN", "OPEN", "OPEN"]}
+
+
+def test_company_pairs_equal_brute_force(spark):
+    rng = random.Random(9)
+    words = ["ab", "cd", "3m", "br", "alpha", "alphas", "beta", "betta", "gamma", "sol", "x", "industrias", "industria", "aaaaaa", "aaaaab"]
+    names = sorted({" ".join(rng.choice(words) for _ in range(rng.randrange(1, 4))) for _ in range(220)} | {"ab cd", "cd ab", "3m br", "br 3m", ""})
+    left, right = (spark.createDataFrame([(n,) for n in names if hash_of(n) % 3 != k], "company_key string") for k in (0, 1))
+    got = {tuple(r) for r in dedup.company_pairs(left, right).collect()}
+    ratio = lambda x, y: dedup._indel(*(" ".join(sorted(z.split())) for z in (x, y)))
+    match = lambda x, y: x == y or (len(x) >= 4 and len(y) >= 4 and (x in y or y in x)) or ratio(x, y) >= 90
+    want = {(x, y) for x in names if x and hash_of(x) % 3 != 0 for y in names if y and hash_of(y) % 3 != 1 and match(x, y)}
+    assert got == want and ("ab cd", "cd ab") in {tuple(r) for r in dedup.company_pairs(left.unionByName(right), right.unionByName(left)).collect()}
+
+
+def hash_of(name):
+    return sum(map(ord, name))
+
+
+def test_decomposition_and_entities(spark):
+    import html
+    import unicodedata
+
+    texts = ["Ação São ế ǎ", "ﬁm ½ ™ №", "𝐀𝛼 x", "e\u0301", "plain", "", "Ⅷ ㎏ …", "हिन्दी"]
+    for t in texts:
+        want = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+        assert one(spark, text.strip_accents(F.lit(t))) == want
+    for t in ("a &amp; b &lt;p&gt; &eacute;&#233;&#xE9; &nosuch; & &;", "&amp;lt;", "&#128512;&copy;", "x"):
+        assert one(spark, text.unescape_html(F.lit(t))) == html.unescape(t)
+    assert one(spark, text.clean_html(F.lit("&lt;p&gt;a&nbsp;&amp;amp; b&lt;/p&gt;"))) == "a & b"
+
+
+def test_feedback_in_any_number_of_hours(spark):
+    rng = random.Random(3)
+    rows = [(k, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=rng.randrange(9000)), 1, k % 3, rng.random() < 0.6, 70) for k in range(400)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, profile_id int, posting_seq long, is_positive boolean, score int")
+    want = {}
+    for _, _, _, p, good, _ in sorted(rows, key=lambda r: (r[1], r[0])):
+        want[p] = max(0, min(100, want.get(p, 70) + (5 if good else -10)))
+    assert {r["posting_seq"]: r["score"] for r in maintenance.feedback_score(df).collect()} == want
 
 
 def test_run_batch_has_one_outcome_each(spark):
