@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from postlake.functions import rules
 from postlake.functions.text import any_of
-from postlake.operators.validation import listed
+from postlake.operators.validation import first_that, listed
 
 
 def _low(name: str) -> Column:
@@ -20,6 +20,9 @@ def _list(name: str) -> Column:
     return F.coalesce(F.col(name), F.array().cast("array<string>"))
 
 
+# Terms of titles in technology and of internships there, and points for skills.
+TITLE_TERMS = ["desenvolvedor", "developer", "software", "backend", "devops", "engenheiro de software", "programador"]
+TECH_INTERN = ["ti", "dev", "software", "computação", "sistemas", "tecnologia"]
 _POINTS = [(["python"], 40), (["django"], 25), (["rest", "api"], 15), (["sql"], 10), (["git", "docker", "linux"], 10)]
 
 
@@ -48,8 +51,8 @@ def role_score() -> Column:
         F.when(F.size(given) == 0, 65)
         .when(F.exists(wanted, lambda r: F.contains(title, r)), 100)
         .when(any_of(title, ["python", "django"]), 96)
-        .when(any_of(title, ["estagio", "estágio"]) & any_of(title, ["ti", "dev", "software", "computação", "sistemas", "tecnologia"]), 95)
-        .when(any_of(title, ["desenvolvedor", "developer", "software", "backend", "devops", "engenheiro de software", "programador"]), 88)
+        .when(any_of(title, ["estagio", "estágio"]) & any_of(title, TECH_INTERN), 95)
+        .when(any_of(title, TITLE_TERMS), 88)
         .when(F.exists(wanted, lambda r: F.contains(desc, r)), 72)
         .when(~tech, 0)
         .otherwise(45)
@@ -71,10 +74,16 @@ def _rank(level: Column) -> Column:
     return F.coalesce(F.try_element_at(table, level), F.lit(2))
 
 
+def _entry() -> Column:
+    """Whether the profile looks for entry-level positions."""
+    own = F.trim(F.lower(F.coalesce(F.nullif(F.col("profile_seniority"), F.lit("")), F.lit("junior"))))
+    levels = F.transform(_list("seniority_levels"), F.lower)
+    return own.isin("junior", "estagio", "intern") | ((F.size(levels) > 0) & ~F.exists(levels, lambda s: s.isin("senior", "pleno", "mid", "lead")))
+
+
 def seniority_score() -> Column:
     level, own, title = F.trim(_low("seniority")), F.trim(F.lower(F.coalesce(F.nullif(F.col("profile_seniority"), F.lit("")), F.lit("junior")))), _low("title")
-    levels = F.transform(_list("seniority_levels"), F.lower)
-    entry = own.isin("junior", "estagio", "intern") | ((F.size(levels) > 0) & ~F.exists(levels, lambda s: s.isin("senior", "pleno", "mid", "lead")))
+    entry = _entry()
     gap = F.abs(_rank(level) - _rank(own))
     by_gap = F.when(gap == 0, 100).when(gap == 1, 75).when(gap == 2, 40).otherwise(15)
     return F.when(
@@ -131,3 +140,75 @@ def rank(pairs: DataFrame, as_of: Column) -> DataFrame:
     far = specific & _low("work_mode").isin("onsite", "presencial") & ~_near(_low("location"), ",")
     braked = F.when(own.isin("junior", "estagio", "intern") & senior, F.least(F.lit(50), score)).otherwise(score)
     return scored.withColumn("score", F.when(far, F.least(F.lit(60), braked)).otherwise(braked)).withColumn("salary_score", F.col("recency_score"))
+
+
+def _joined(*parts: Column | str) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def _role_reason() -> Column:
+    title, given = _low("title"), F.filter(F.concat(_list("desired_roles"), _list("roles")), lambda r: r != "")
+    hit = first_that(given, lambda r: F.contains(title, F.lower(r)))
+    scope = first_that(given, lambda r: F.contains(F.col("_desc"), F.lower(r)))
+    terms = F.filter(F.array(*map(F.lit, TITLE_TERMS)), lambda t: F.contains(title, t))
+    return (
+        F.when(F.size(F.concat(_list("desired_roles"), _list("roles"))) == 0, "Cargo compatível com perfil geral")
+        .when(hit.isNotNull(), _joined("🎯 Cargo exato '", hit, "' no título"))
+        .when(any_of(title, ["python", "django"]), "🐍 Vaga com foco direto em Python/Django no título")
+        .when(any_of(title, ["estagio", "estágio"]) & any_of(title, TECH_INTERN), "🎓 Oportunidade de Estágio na área de Tecnologia")
+        .when(F.size(terms) > 0, _joined("💻 Cargo de Engenharia/Desenvolvimento: ", F.array_join(terms, ", ")))
+        .when(scope.isNotNull(), _joined("Cargo '", scope, "' citado no escopo da vaga"))
+        .when(~F.col("_tech_role"), "Título não pertence à área de Tecnologia/Software")
+        .otherwise("Título não coincide diretamente com os cargos desejados")
+    )
+
+
+def _skill_reasons() -> Column:
+    target, blob, needed = F.array_distinct(F.concat(listed("skills"), listed("preferred_keywords"))), F.col("_skill_blob"), listed("requirements")
+    hits = F.array_sort(F.filter(target, lambda s: F.contains(blob, s)))
+    main = any_of(blob, ["python", "django"])
+    found = F.array_compact(
+        F.array(
+            F.when(any_of(blob, ["python"]), "🐍 Requisito essencial atendido: Python"),
+            F.when(any_of(blob, ["django"]), "⚡ Framework desejado atendido: Django"),
+            F.when((F.size(needed) > 0) & (F.size(F.array_except(needed, target)) == 0), "🎯 Todos os requisitos técnicos da vaga atendidos"),
+            F.when((F.size(hits) > 0) & ~main, _joined("Tecnologias encontradas: ", F.array_join(F.slice(hits, 1, 4), ", "))),
+            F.when(F.size(hits) == 0, "Nenhuma das tecnologias preferidas identificada"),
+        )
+    )
+    return F.when(F.size(target) == 0, F.array(F.lit("Sem lista de tecnologias específicas"))).otherwise(found)
+
+
+def _seniority_reason() -> Column:
+    level, title = F.trim(_low("seniority")), _low("title")
+    other = _joined("Nível de senioridade (", F.when(level == "", "não especificado").otherwise(level), ")")
+    return F.when(
+        _entry(),
+        F.when(any_of(title, rules.SENIOR_WORDS), "Nível Sênior/Lead (acima da faixa inicial)")
+        .when(level.isin(rules.SENIOR_LEVELS), "Nível Sênior (acima da faixa inicial)")
+        .when(any_of(level, ["estagio", "intern", "trainee"]) | any_of(title, ["estágio", "estagio"]), "🎓 Nível Estágio ideal para seu momento acadêmico")
+        .when(F.contains(level, F.lit("junior")) | any_of(title, ["júnior", "junior", "trainee"]), "🌱 Nível Júnior perfeitamente compatível")
+        .when(level.isin("pleno", "mid") | F.contains(title, F.lit("pleno")), "Nível Pleno (exige experiência intermediária)")
+        .when(level == "", "Nível aberto / acessível para início de carreira")
+        .otherwise(other),
+    ).otherwise(other)
+
+
+def _location_reason() -> Column:
+    places, mode, place = listed("locations"), _low("work_mode"), _low("location")
+    specific, shown = F.size(F.filter(places, lambda p: ~p.isin(rules.ANYWHERE))) > 0, F.coalesce("location", F.lit(""))
+    return (
+        F.when(F.size(places) == 0, "Localização flexível")
+        .when(_near(place, "[,-]"), _joined("📍 Oportunidade na sua localização prioritária (", shown, ")"))
+        .when(mode.isin("remote", "remoto") | F.contains(place, F.lit("remoto")), "🌐 Oportunidade 100% Remota")
+        .when(any_of(place, rules.ABROAD), _joined("⚠️ Presencial no exterior (", shown, ")"))
+        .when(mode.isin("onsite", "presencial") & specific, _joined("Presencial fora da sua região (", shown, ")"))
+        .when(F.exists(places, lambda p: F.contains(place, p)), _joined("Localização compatível: ", shown))
+        .otherwise("Localização ampla")
+    )
+
+
+def reasoned(pairs: DataFrame) -> DataFrame:
+    """Add ``reasoning``: the first six reasons, of role, skills, seniority and location in that order."""
+    every = F.concat(F.array(_role_reason()), _skill_reasons(), F.array(_seniority_reason(), _location_reason()))
+    return _signalled(pairs).withColumn("reasoning", F.slice(every, 1, 6))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postlake.functions import text
-from postlake.operators import dedup, outcomes, ranking
+from postlake.operators import dedup, freshness, outcomes, ranking
 from postlake.operators.views import top_per
 from postlake.plans import cycle
 from postlake.plans import oracle as O
@@ -179,3 +179,110 @@ def s9(spark: SparkSession, d: str) -> DataFrame:
     raw = A.postings(spark, d).where("company <> ''").select("source", F.concat(F.lit("<rss><channel><item>"), item, F.lit("</item></channel></rss>")).alias("payload"))
     return feeds.split_last(feeds.parse_rss(raw)).select("url", "title", "company")
 
+
+# Cards as boards send them, in SQL that Spark and other engines read alike.
+_CARD = """SELECT source, concat('<html><ul><li class="vaga odd">', CASE WHEN posting_seq % 10 = 9 THEN '<b>no link</b>' ELSE concat('<a class="x link-detalhes-vaga" href="',
+  CASE WHEN posting_seq % 2 = 0 THEN 'https://www.vagas.com.br' ELSE '' END, '/vagas/', CASE WHEN posting_seq % 3 = 0 THEN '' ELSE 'v' END, CAST(posting_seq AS STRING), '/x">', title, '</a>') END,
+  CASE WHEN company = '' THEN '' ELSE concat('<span class="emprVaga">', company, '</span>') END,
+  CASE WHEN location = '' THEN '' ELSE concat('<span class="vaga-local">', location, '</span>') END, '</li></ul></html>') AS payload FROM {p}"""
+_RESULT = """SELECT source, concat('<table><td class="a resultContent"><a class="jcs-JobTitle" href="/j', CAST(posting_seq AS STRING), '">', title, '</a><span class="companyName">', company,
+  '</span><div class="companyLocation">', location, '</div>', CASE WHEN posting_seq % 3 = 0 THEN concat('<p>R$ 1.', CAST(200 + posting_seq % 700 AS STRING), ',50 - R$ 3.000,00</p>') ELSE '' END, '</td></table>') AS payload FROM {p}"""
+_LISTED = """SELECT source, concat('<ul><li><a class="base-card__full-link" href="https://b/jobs/view/', CAST(posting_seq AS STRING), '">go</a><h3 class="base-search-card__title">', title,
+  '</h3><h4 class="base-search-card__subtitle">', company, '</h4><span class="job-search-card__location">', location, '</span>',
+  CASE WHEN posting_seq % 4 = 0 THEN '' ELSE concat('<time datetime="2024-01-', CAST(10 + posting_seq % 20 AS STRING), '">x</time>') END, '</li></ul>') AS payload FROM {p}"""
+
+
+def _cards(spark: SparkSession, d: str, sql: str, name: str) -> DataFrame:
+    return feeds.parse_cards(spark.sql(sql, p=A.postings(spark, d)), feeds.CARDS[name])
+
+
+def _between(tag: str, missing: str = "''") -> str:
+    """SQL of the trimmed text within a tag of a payload."""
+    return rf"coalesce(nullif(trim(regexp_replace(regexp_extract(payload, '{tag}([^<]*)<', 1), '\s+', ' ', 'g')), ''), {missing})"
+
+
+@query("s10_cards", f"""WITH {O.POSTINGS}, b AS ({_LISTED.format(p='p')}) SELECT source, regexp_extract(payload, 'href="([^"]*)"', 1) AS url, {_between('__title">')} AS title,
+  {_between('__subtitle">', "'Empresa Confidencial'")} AS company, {_between('card__location">', "'Brasil'")} AS location, TRY_CAST(nullif(regexp_extract(payload, 'datetime="([^"]*)"', 1), '') AS TIMESTAMP) AS published_at
+FROM b""")
+def s10_cards(spark: SparkSession, d: str) -> DataFrame:
+    return _cards(spark, d, _LISTED, "listed").select("source", "url", "title", "company", "location", F.col("published_at").cast("timestamp_ntz").alias("published_at"))
+
+
+_S11 = f"""WITH {O.POSTINGS}, b AS ({_CARD.format(p='p')}), u AS (SELECT *, regexp_extract(payload, 'href="([^"]*)"', 1) AS href FROM b),
+c AS (SELECT *, CASE WHEN starts_with(href, 'http') THEN href ELSE 'https://www.vagas.com.br' || href END AS url FROM u WHERE href <> '')"""
+
+
+@query("s11_coded_cards", f"""{_S11} SELECT source, url, coalesce(nullif(regexp_extract(url, '/v([0-9]+)/', 1), ''), url) AS external_id, {_between('/x">')} AS title,
+  {_between('emprVaga">', "'Confidencial'")} AS company, {_between('vaga-local">', "'Brasil'")} AS location FROM c""")
+def s11(spark: SparkSession, d: str) -> DataFrame:
+    return _cards(spark, d, _CARD, "coded").select("source", "url", "external_id", "title", "company", "location")
+
+
+def _relative(sql: str) -> str:
+    for old, new in (("vaga odd", "react-job-listing"), ("vagas.com.br", "glassdoor.com.br"), ("emprVaga", "EmployerName"), ("vaga-local", "location")):
+        sql = sql.replace(old, new)
+    return sql
+
+
+@query("s12_relative_cards", f"""{_relative(_S11)} SELECT source, url, {_between('/x">')} AS title,
+  {_between('EmployerName">', "'Empresa Confidencial'")} AS company, {_between('location">', "'Brasil'")} AS location FROM c""")
+def s12(spark: SparkSession, d: str) -> DataFrame:
+    return _cards(spark, d, _relative(_CARD), "relative").select("source", "url", "title", "company", "location")
+
+
+_AMOUNT = r"CAST(replace(replace(regexp_extract_all(payload, 'R\$ ([0-9.,]+)', 1)[{0}], '.', ''), ',', '.') AS DOUBLE)"
+
+
+@query("s13_salaried_cards", f"""WITH {O.POSTINGS}, b AS ({_RESULT.format(p='p')}) SELECT 'https://br.indeed.com' || regexp_extract(payload, 'href="([^"]*)"', 1) AS url, {_between('companyName">', "'Empresa Não Informada'")} AS company,
+  {_AMOUNT.format(1)} AS salary_min, {_AMOUNT.format(2)} AS salary_max,
+  CASE WHEN contains(lower(payload), 'remoto') THEN 'remote' WHEN contains(lower(payload), 'híbrido') THEN 'hybrid' ELSE 'onsite' END AS work_mode FROM b""")
+def s13(spark: SparkSession, d: str) -> DataFrame:
+    return _cards(spark, d, _RESULT, "salaried").select("url", "company", "salary_min", "salary_max", "work_mode")
+
+
+_ITEM = {
+    "id": "posting_seq % 400", "jobTitle": "title", "companyName": "company", "url": "url", "jobGeo": "location", "jobExcerpt": "concat('<b>', title, '</b> x')",
+    "salaryMin": "salary_min", "salaryMax": "if(posting_seq % 5 = 0, 0.0, salary_max)", "salaryCurrency": "if(posting_seq % 3 = 0, 'EUR', null)",
+}
+
+
+@query("s3_salaried_feed", f"""WITH {O.POSTINGS}, f AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY posting_seq % 400 ORDER BY posting_seq) = 1)
+SELECT CAST(posting_seq % 400 AS VARCHAR) AS external_id, trim(title) AS title, coalesce(nullif(company, ''), 'Empresa Remota (Jobicy)') AS company, coalesce(nullif(location, ''), 'USA / Worldwide') AS location,
+  salary_min, CASE WHEN posting_seq % 5 <> 0 THEN salary_max END AS salary_max, CASE WHEN posting_seq % 3 = 0 THEN 'EUR' ELSE 'USD' END AS currency FROM f""")
+def s3(spark: SparkSession, d: str) -> DataFrame:
+    item = F.struct(*[F.expr(e).alias(n) for n, e in _ITEM.items()])
+    raw = A.postings(spark, d).select("source", "posting_seq", F.to_json(F.struct(F.array(item).alias("jobs"))).alias("payload"))
+    # a payload holds one item here, so the first payload of an id holds its first item
+    first = raw.groupBy((F.col("posting_seq") % 400).alias("k")).agg(F.min_by(F.struct("source", "payload"), "posting_seq").alias("r")).select("r.*")
+    return feeds.parse_json_feed(first, feeds.FEEDS["salaried"]).select("external_id", "title", "company", "location", "salary_min", "salary_max", "currency")
+
+
+_GATED = "lower(title || ' ' || array_to_string(requirements, ' '))"
+
+
+@query("f4_relevance_gate", f"WITH {O.POSTINGS} SELECT posting_seq FROM p WHERE {O.anyof(_GATED, ['desenvolvedor', 'python', 'django', 'backend'])}")
+def f4(spark: SparkSession, d: str) -> DataFrame:
+    return feeds.relevant(A.postings(spark, d).withColumnRenamed("requirements", "tags"), ["Desenvolvedor"]).select("posting_seq")
+
+
+@query("u1_union", f"WITH {O.POSTINGS} SELECT source, title, company, NULL AS note FROM p UNION ALL SELECT 'mirror', title, company, 'seen' FROM p WHERE company <> ''")
+def u1(spark: SparkSession, d: str) -> DataFrame:
+    rows = A.postings(spark, d).select("source", "title", "company")
+    return rows.unionByName(rows.where("company <> ''").withColumns({"source": F.lit("mirror"), "note": F.lit("seen")}), allowMissingColumns=True)
+
+
+@query("w7_recent_history", f"WITH {O.POSTINGS}, {O.FRESH} SELECT posting_seq, source FROM f WHERE status = 'active' ORDER BY discovered_at DESC, posting_seq DESC LIMIT 300")
+def w7(spark: SparkSession, d: str) -> DataFrame:
+    fresh = freshness.freshness(A.postings(spark, d), A.as_of()).where("status = 'active'")
+    return fresh.orderBy(F.desc("discovered_at"), F.desc("posting_seq")).limit(300).select("posting_seq", "source")
+
+
+@query("j17_feedback_match", f"""WITH {O.PAIRS}, m AS (SELECT posting_seq, profile_id, score FROM {O.ranked('pairs')}),
+e AS (SELECT CAST(user_id % 4 + 1 AS INT) AS profile_id, event_id % 97 AS posting_seq, arg_max(event_type = 'purchase', event_id) AS is_positive FROM events GROUP BY 1, 2)
+SELECT e.profile_id, e.posting_seq, m.score, greatest(0, least(100, m.score + CASE WHEN is_positive THEN 5 ELSE -10 END)) AS adjusted FROM e JOIN m ON e.profile_id = m.profile_id AND e.posting_seq = m.posting_seq""")
+def j17(spark: SparkSession, d: str) -> DataFrame:
+    matches = ranking.rank(pairs(spark, d), A.as_of()).select("profile_id", "posting_seq", "score")
+    e = A.table(spark, d, "events").select((F.col("user_id") % 4 + 1).cast("int").alias("profile_id"), (F.col("event_id") % 97).alias("posting_seq"), "event_id", (F.col("event_type") == "purchase").alias("good"))
+    last = e.groupBy("profile_id", "posting_seq").agg(F.max_by("good", "event_id").alias("good"))
+    adjusted = F.greatest(F.lit(0), F.least(F.lit(100), F.col("score") + F.when(F.col("good"), 5).otherwise(-10)))
+    return last.join(matches, ["profile_id", "posting_seq"]).select("profile_id", "posting_seq", "score", adjusted.alias("adjusted"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from postlake.functions import rules as R
+from postlake.operators import ranking as RK
 from postlake.operators import validation as V
 from postlake.sources.adapters import AS_OF, earlier_sql, postings_sql, profiles_sql
 
@@ -219,6 +220,48 @@ def r_scores() -> dict[str, str]:
     }
 
 
+def reasoning() -> str:
+    """The list of reasons, by the same ladders."""
+    t, d, given = "lower(title)", "lower(description)", "list_filter(list_concat(desired_roles, roles), lambda x: x <> '')"
+    need, target = low("requirements"), f"list_distinct(list_concat({low('skills')}, {low('preferred_keywords')}))"
+    blob = "lower(concat_ws(' ', title, description, array_to_string(requirements, ' ')))"
+    hits = f"list_sort(list_filter({target}, lambda x: contains({blob}, x)))"
+    terms = f"list_filter({lst(RK.TITLE_TERMS)}, lambda x: contains({t}, x))"
+    own = "(CASE WHEN profile_seniority = '' THEN 'junior' ELSE profile_seniority END)"
+    entry = f"({own} IN ('junior', 'estagio', 'intern') OR (len(seniority_levels) > 0 AND NOT {some('seniority_levels', "lower(x) IN ('senior', 'pleno', 'mid', 'lead')")}))"
+    places, place = low("locations"), "lower(location)"
+    specific = f"list_filter({places}, lambda x: x NOT IN ({', '.join(map(q, R.ANYWHERE))}))"
+    near = some(specific, f"contains({place}, x) OR (length(trim(string_split_regex(x, '[,-]')[1])) >= 3 AND contains({place}, trim(string_split_regex(x, '[,-]')[1])))")
+    in_title, in_text = (f"contains({x}, lower(x))" for x in (t, d))
+    quoted = lambda before, what, after: f"concat({q(before)}, {what}, {q(after)})"
+    role = f"""CASE WHEN len(list_concat(desired_roles, roles)) = 0 THEN 'Cargo compatível com perfil geral'
+ WHEN {some(given, in_title)} THEN {quoted("🎯 Cargo exato '", first(given, in_title), "' no título")}
+ WHEN {anyof(t, ['python', 'django'])} THEN '🐍 Vaga com foco direto em Python/Django no título'
+ WHEN {anyof(t, ['estagio', 'estágio'])} AND {anyof(t, RK.TECH_INTERN)} THEN '🎓 Oportunidade de Estágio na área de Tecnologia'
+ WHEN len({terms}) > 0 THEN concat('💻 Cargo de Engenharia/Desenvolvimento: ', array_to_string({terms}, ', '))
+ WHEN {some(given, in_text)} THEN {quoted("Cargo '", first(given, in_text), "' citado no escopo da vaga")}
+ WHEN NOT ({anyof(t, R.TECH_ROLES)} OR {anyof(f"concat_ws(' ', {t}, {d})", ['python', 'django', 'software', 'desenvolvedor'])}) THEN 'Título não pertence à área de Tecnologia/Software'
+ ELSE 'Título não coincide diretamente com os cargos desejados' END"""
+    skills = f"""CASE WHEN len({target}) = 0 THEN ['Sem lista de tecnologias específicas'] ELSE list_filter([
+ CASE WHEN contains({blob}, 'python') THEN '🐍 Requisito essencial atendido: Python' END, CASE WHEN contains({blob}, 'django') THEN '⚡ Framework desejado atendido: Django' END,
+ CASE WHEN len({need}) > 0 AND list_has_all({target}, {need}) THEN '🎯 Todos os requisitos técnicos da vaga atendidos' END,
+ CASE WHEN len({hits}) > 0 AND NOT {anyof(blob, ['python', 'django'])} THEN concat('Tecnologias encontradas: ', array_to_string({hits}[1:4], ', ')) END,
+ CASE WHEN len({hits}) = 0 THEN 'Nenhuma das tecnologias preferidas identificada' END], lambda x: x IS NOT NULL) END"""
+    other = "concat('Nível de senioridade (', CASE WHEN seniority = '' THEN 'não especificado' ELSE seniority END, ')')"
+    level = f"""CASE WHEN NOT {entry} THEN {other} WHEN {anyof(t, R.SENIOR_WORDS)} THEN 'Nível Sênior/Lead (acima da faixa inicial)'
+ WHEN seniority IN ({', '.join(map(q, R.SENIOR_LEVELS))}) THEN 'Nível Sênior (acima da faixa inicial)'
+ WHEN {anyof('seniority', ['estagio', 'intern', 'trainee'])} OR {anyof(t, ['estágio', 'estagio'])} THEN '🎓 Nível Estágio ideal para seu momento acadêmico'
+ WHEN contains(seniority, 'junior') OR {anyof(t, ['júnior', 'junior', 'trainee'])} THEN '🌱 Nível Júnior perfeitamente compatível'
+ WHEN seniority IN ('pleno', 'mid') OR contains({t}, 'pleno') THEN 'Nível Pleno (exige experiência intermediária)'
+ WHEN seniority = '' THEN 'Nível aberto / acessível para início de carreira' ELSE {other} END"""
+    where = f"""CASE WHEN len(locations) = 0 THEN 'Localização flexível' WHEN {near} THEN concat('📍 Oportunidade na sua localização prioritária (', location, ')')
+ WHEN lower(work_mode) IN ('remote', 'remoto') OR contains({place}, 'remoto') THEN '🌐 Oportunidade 100% Remota'
+ WHEN {anyof(place, R.ABROAD)} THEN concat('⚠️ Presencial no exterior (', location, ')')
+ WHEN lower(work_mode) IN ('onsite', 'presencial') AND len({specific}) > 0 THEN concat('Presencial fora da sua região (', location, ')')
+ WHEN {some(places, f'contains({place}, x)')} THEN concat('Localização compatível: ', location) ELSE 'Localização ampla' END"""
+    return f"list_concat(list_concat([{role}], {skills}), [{level}, {where}])[1:6]"
+
+
 def ranked(source: str) -> str:
     cols = ", ".join(f"{e} AS {n}" for n, e in r_scores().items())
     total = "(0.3::DOUBLE * role_score + 0.3::DOUBLE * skills_score + 0.2::DOUBLE * seniority_score + 0.15::DOUBLE * location_score + 0.05::DOUBLE * recency_score)"

@@ -127,6 +127,11 @@ def r10(spark: SparkSession, d: str) -> DataFrame:
     return ranking.rank(pairs(spark, d), A.as_of()).select("posting_seq", "profile_id", *_SCORES, "salary_score", "score")
 
 
+@query("r9_reasoning", f"WITH {O.PAIRS} SELECT posting_seq, profile_id, {O.reasoning()} AS reasoning FROM pairs")
+def r9(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.reasoned(pairs(spark, d)).select("posting_seq", "profile_id", "reasoning")
+
+
 def _score(name: str, column: str, make: Callable) -> None:
     query(name, f"WITH {O.PAIRS} SELECT posting_seq, profile_id, {O.r_scores()[column]} AS {column} FROM pairs")(
         lambda spark, d: pairs(spark, d).select("posting_seq", "profile_id", make().alias(column))

@@ -5,8 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from postlake.operators import dedup, maintenance
+from postlake.plans import cycle
+from postlake.plans.stages import staged
 
 HEALTH = "source string, event_id long, ok boolean, tried_in string, state string, failures int"
 
@@ -74,3 +79,34 @@ def source_health(events: DataFrame, threshold: int = 3, recovery: float = 300.0
 
     timed = events.select("source", "event_id", (F.unix_micros("ts") / 1e6).alias("t"), "ok")
     return timed.repartition("source").sortWithinPartitions("source", "t", "event_id").mapInPandas(run, HEALTH)
+
+
+def continuous_cycle(
+    stream: DataFrame, history: DataFrame, profiles: DataFrame, channels: DataFrame, as_of: Column, store: str, *, checkpoint: str, max_days: int = 60, **trigger
+) -> StreamingQuery:
+    """Run the search cycle on each micro-batch of postings, and fill the outbox once for what is new.
+
+    Under ``store`` there are tables outcomes, history and outbox, with a folder a micro-batch. A batch sees the history
+    and the outbox of the batches before it alone and overwrites its own folders, so one that is run again after a
+    failure gives the same rows and sends nothing twice. ``history``, with the columns of `dedup.with_keys`, is
+    what is known before the first batch. What history takes are postings that were new for some profile.
+    """
+    spark = stream.sparkSession
+    known = dedup.with_keys(stream).columns
+    history.select(*known).write.mode("ignore").parquet(f"{store}/history/batch=-1")
+    sent = "profile_id int, posting_seq long, channel string, score int"
+    spark.createDataFrame([], sent).write.mode("ignore").parquet(f"{store}/outbox/batch=-1")
+    columns = history.select(*known).schema
+
+    def run(rows: DataFrame, batch: int) -> None:
+        read = lambda name, schema: spark.read.schema(schema).parquet(f"{store}/{name}").where(F.col("batch") < batch).drop("batch")
+        put = lambda df, name: df.write.mode("overwrite").parquet(f"{store}/{name}/batch={batch}")
+        rows = staged(rows, "cycle-incoming")
+        before = spark.read.parquet(f"{store}/history").where(F.col("batch") < batch).select(*[F.col(f.name).cast(f.dataType) for f in columns])
+        put(cycle.run_batch(rows, before, profiles, as_of, max_days), "outcomes")
+        new = spark.read.parquet(f"{store}/outcomes/batch={batch}").where("outcome = 'new'")
+        put(dedup.with_keys(rows).join(new.select("posting_seq").distinct(), "posting_seq", "left_semi").select(*known), "history")
+        log = read("outbox", sent + ", batch long").withColumn("status", F.lit("sent"))
+        put(maintenance.outbox(new.select("profile_id", "posting_seq", "score"), channels, log), "outbox")
+
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
