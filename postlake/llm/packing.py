@@ -93,6 +93,16 @@ class _Encoder:
         return ids
 
 
+_ENCODERS: dict[str, _Encoder] = {}
+
+
+def _encoder(path: str) -> _Encoder:
+    """The worker's encoder, whose memory outlives a task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = _Encoder(path)
+    return _ENCODERS[path]
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """A row per piece: doc_id, piece, start, length and crc32 of its ids, and a salt that tells equal rows apart.
 
@@ -103,7 +113,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     end, width = int(end_id).to_bytes(4, "little"), 4 * capacity
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, done = _Encoder(tokenizer), 0
+        encoder, done = _encoder(tokenizer), 0
         for batch in batches:
             rows = []
             for at_row, text in enumerate(batch["text"]):
