@@ -321,3 +321,54 @@ def merged(own: DataFrame, external: DataFrame, key: str) -> DataFrame:
         "languages": F.when(F.size(none("_languages")) > 0, F.col("_languages")).otherwise(F.col("languages")),
     }
     return rows.select(key, *[c.alias(n) for n, c in filled.items()])
+
+
+# Uploads that are let in, and the largest one.
+EXTENSIONS = [".pdf", ".docx", ".doc", ".txt", ".rtf", ".md"]
+TYPES = [
+    "application/pdf", "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "application/msword", "text/plain", "text/markdown",
+    "text/x-markdown", "application/rtf", "text/rtf", "text/x-python", "application/octet-stream",
+]
+LARGEST = 10 * 1024 * 1024
+# Groups and control words of RTF.
+RTF_GROUP = r"\{\*?\\[^{}]+(?:\{[^{}]*\})*\}"
+RTF_WORD = r"\\[a-zA-Z]+-?[0-9]* ?"
+
+
+def refusal(filename: Column, content_type: Column, length: Column, largest: int = LARGEST) -> Column:
+    """Why an upload is refused, or null: it is empty (as is one of unknown length), too large, or of another kind; the type counts only without an extension."""
+    extension = F.regexp_extract(F.lower(F.coalesce(filename, F.lit(""))), r"[^./][^/]*(\.[^./]*)\z", 1)
+    return (
+        F.when(F.coalesce(length, F.lit(0)) == 0, "empty")
+        .when(length > largest, "too_large")
+        .when((extension != "") & ~extension.isin(EXTENSIONS), "extension")
+        .when((extension == "") & ~F.coalesce(content_type, F.lit("")).isin(TYPES), "type")
+    )
+
+
+def rtf_text(c: Column) -> Column:
+    """The words of an RTF source, a space between them."""
+    text = F.regexp_replace(F.regexp_replace(c, RTF_GROUP, ""), RTF_WORD, " ")
+    for mark in ("\\", "{", "}"):
+        text = F.replace(text, F.lit("\\" + mark), F.lit(mark))
+    return _strip(F.regexp_replace(F.regexp_replace(text, "[{}]", ""), r"[\s\x0B\p{Z}]+", " "))
+
+
+def read_files(files: DataFrame) -> DataFrame:
+    """(path, text, status) of files with path and content, as Spark's binaryFile reader gives them.
+
+    Extensions tell the kind, else leading bytes. Text is UTF-8, or Latin-1 where it isn't valid. Status is read, empty
+    (null content too), or unsupported for kinds that need a codec (PDF and DOCX), whose text is null.
+    """
+    content = F.coalesce("content", F.lit("").cast("binary"))
+    extension = F.regexp_extract(F.lower(F.coalesce("path", F.lit(""))), r"[^./][^/]*(\.[^./]*)\z", 1)
+    head = F.hex(F.substring(content, 1, 5))
+    kind = (
+        F.when(extension == ".rtf", "rtf").when(extension.isin(".txt", ".md", ".text"), "text").when(extension.isin(".pdf", ".docx"), "codec")
+        .when(head.startswith("25504446") | head.startswith("504B0304"), "codec").when(head == "7B5C727466", "rtf").otherwise("text")
+    )
+    valid = F.try_validate_utf8(content.cast("string"))
+    text = F.when(kind == "rtf", rtf_text(F.replace(F.make_valid_utf8(content.cast("string")), F.lit("�"), F.lit(""))))
+    text = text.when(kind == "text", clean_text(_strip(F.coalesce(valid, F.decode(content, "ISO-8859-1")))))
+    rows = files.select("path", text.alias("text"))
+    return rows.withColumn("status", F.when(F.col("text").isNull(), "unsupported").when(F.col("text") == "", "empty").otherwise("read"))

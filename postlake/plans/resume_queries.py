@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postlake.operators import resumes as X
 from postlake.plans import oracle as O
+from postlake.plans.account_queries import _CLEAN
 from postlake.plans.queries import query
 from postlake.sources import adapters as A
 
@@ -191,3 +192,33 @@ _JOINED = lambda a, b: f"list_concat({a}, list_filter({b}, lambda x: NOT list_co
 def x12(spark: SparkSession, d: str) -> DataFrame:
     external = spark.sql(_EXTERNAL.format(list="array", documents="{documents}"), documents=A.table(spark, d, "documents"))
     return X.merged(_profiles(spark, d).select("doc_id", *_FIELDS), external, "doc_id")
+
+
+_FILES = """SELECT page_id, CASE CAST(page_id % 8 AS INT) WHEN 0 THEN 'CV.PDF' WHEN 1 THEN 'cv.v2.docx' WHEN 2 THEN 'cv' WHEN 3 THEN '.txt' WHEN 4 THEN 'my.dir/cv' WHEN 5 THEN 'cv.exe' WHEN 6 THEN 'cv.' ELSE 'cv.md' END AS filename,
+  CASE WHEN page_id % 3 = 0 THEN 'text/plain' ELSE 'image/png' END AS content_type, CASE WHEN page_id % 11 = 0 THEN 0 ELSE CAST(coalesce(length(html), 0) AS BIGINT) * (page_id % 13) * (page_id % 13) * 100 END AS length FROM {pages}"""
+
+
+@query("s17_upload_gate", f"""SELECT page_id, CASE WHEN length = 0 THEN 'empty' WHEN length > 10485760 THEN 'too_large' WHEN ext <> '' THEN CASE WHEN ext IN ({', '.join(map(O.q, X.EXTENSIONS))}) THEN NULL ELSE 'extension' END
+  WHEN content_type NOT IN ({', '.join(map(O.q, X.TYPES))}) THEN 'type' END AS reason
+FROM (SELECT *, CASE WHEN contains(base, '.') THEN '.' || split_part(base, '.', -1) ELSE '' END AS ext FROM (SELECT *, ltrim(split_part(lower(filename), '/', -1), '.') AS base FROM ({_FILES.format(pages='pages')}) f))""")
+def s17(spark: SparkSession, d: str) -> DataFrame:
+    files = spark.sql(_FILES, pages=A.table(spark, d, "pages"))
+    return files.select("page_id", X.refusal(F.col("filename"), F.col("content_type"), F.col("length")).alias("reason"))
+
+
+_RTF = O.rx(O.rx(r"'{\rtf1{\fonttbl{\f0 Arial;}}\b ' || coalesce(text, '') || '\par \{end\}}'", X.RTF_GROUP), X.RTF_WORD, " ")
+for _mark in ("\\", "{", "}"):
+    _RTF = f"replace({_RTF}, '\\{_mark}', '{_mark}')"
+_RTF = strip(O.rx(O.rx(_RTF, "[{}]"), SPACES, " "))
+
+
+@query("s16_read_files", f"""SELECT path, sha256(text) AS digest, CASE WHEN text IS NULL THEN 'unsupported' WHEN text = '' THEN 'empty' ELSE 'read' END AS status FROM (SELECT doc_id || CASE doc_id % 5 WHEN 1 THEN '.rtf' WHEN 2 THEN '.txt' WHEN 3 THEN '.pdf' ELSE '' END AS path,
+  CASE doc_id % 5 WHEN 0 THEN 'Formação ' || doc_id WHEN 3 THEN NULL WHEN 2 THEN {_CLEAN.replace("coalesce(text, '')", strip("coalesce(text, '')"))} ELSE {_RTF} END AS text FROM documents)""")
+def s16(spark: SparkSession, d: str) -> DataFrame:
+    seq, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    rtf = F.concat(F.lit(r"{\rtf1{\fonttbl{\f0 Arial;}}\b "), text, F.lit(r"\par \{end\}}"))
+    at = seq % 5
+    content = F.when(at == 0, F.encode(F.concat(F.lit("Formação "), seq.cast("string")), "ISO-8859-1")).when(at == 2, F.encode(text, "UTF-8")).when(at == 3, F.lit("%PDF").cast("binary")).otherwise(F.encode(rtf, "UTF-8"))
+    ending = F.when(at == 1, ".rtf").when(at == 2, ".txt").when(at == 3, ".pdf").otherwise("")
+    files = A.table(spark, d, "documents").select(F.concat(seq.cast("string"), ending).alias("path"), content.alias("content"))
+    return X.read_files(files).select("path", F.sha2("text", 256).alias("digest"), "status")

@@ -46,3 +46,14 @@ def test_profile(spark):
     assert (r[1].years_experience, r[1].seniority, r[1].skills, r[1].summary) == (0, "junior", [], "")
     none = X.profiles(spark.createDataFrame([], "id int, text string"), 2024)
     assert none.count() == 0
+
+
+def test_files_and_uploads(spark):
+    files = [("a.TXT", "olá".encode()), ("b", "olá".encode("latin-1")), ("c.rtf", rb"{\rtf1 x}"), ("d", rb"{\rtf y \b z"), ("e", b"PK\x03\x04"), ("f.md", None), (None, b" \n ")]
+    got = {r.path: (r.text, r.status) for r in X.read_files(spark.createDataFrame(files, "path string, content binary")).collect()}
+    assert got == {
+        "a.TXT": ("olá", "read"), "b": ("olá", "read"), "c.rtf": ("", "empty"), "d": ("y z", "read"), "e": (None, "unsupported"), "f.md": ("", "empty"), None: ("", "empty"),
+    }
+    uploads = [("a.pdf", "", 1), ("a.exe", "text/plain", 1), (None, "text/plain", 1), ("", None, 1), (".txt", "x", 1), ("a.md", "", 0), ("a.md", "", None), ("a.md", "", 10 * 2**20 + 1)]
+    rows = spark.createDataFrame(uploads, "f string, t string, n long").select(X.refusal(F.col("f"), F.col("t"), F.col("n")).alias("r")).collect()
+    assert [r.r for r in rows] == [None, "extension", None, "type", "type", "empty", "empty", "too_large"]
