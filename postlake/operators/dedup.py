@@ -121,42 +121,51 @@ def company_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return same.unionByName(within).unionByName(near).distinct()
 
 
+#: columns that say what kind of posting a row of history is, in the order of those of incoming rows
+HISTORY_KIND = ("h_company", "h_title", "h_location", "h_mode")
+
+
+def slim(postings: DataFrame) -> DataFrame:
+    """The columns that matching reads; a missing work mode counts as empty."""
+    mode = F.lower(F.coalesce("work_mode", F.lit(""))).alias("mode")
+    return postings.select("posting_seq", "source", "external_id", "url_key", "company_key", "title_key", "location_key", mode)
+
+
+def similar_kinds(mine: DataFrame, theirs: DataFrame, companies: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of kinds with matching companies, compatible places and similar titles, with all columns of both.
+
+    ``companies`` holds the pairs (a, b) of matching names. Titles are compared once per distinct pair of keys.
+    """
+    place = (
+        (F.col("location_key") == "") | (F.col("h_location") == "") | (F.col("location_key") == "remoto") | (F.col("h_location") == "remoto")
+        | (F.col("mode") == "remote") | (F.col("h_mode") == "remote") | F.contains("location_key", "h_location") | F.contains("h_location", "location_key")
+    )
+    companies = companies.toDF("company_key", "h_company")
+    close = 200 * F.least(F.length("title_key"), F.length("h_title")) >= 100 * threshold * (F.length("title_key") + F.length("h_title"))
+    near = mine.join(companies, "company_key").join(theirs, "h_company").where(place & close)
+    same = near.where("title_key = h_title")
+    titles = near.where("title_key <> h_title").select("title_key", "h_title").distinct()
+    alike = titles.where(token_sort_ratio(F.col("title_key"), F.col("h_title")) >= 100 * threshold)
+    return same.unionByName(near.join(alike, ["title_key", "h_title"]).select(same.columns))
+
+
 def fuzzy_duplicates(incoming: DataFrame, history: DataFrame, threshold: float = 0.88) -> DataFrame:
     """(posting_seq, duplicate_of): for each incoming posting the matching one of history with the largest id.
 
     Both sides have the columns of `with_keys` and work_mode. A match is an equal URL, or the same
-    source and external id, or matching companies with compatible places and similar titles. Titles are
-    compared once per distinct pair of keys.
+    source and external id, or matching companies with compatible places and similar titles.
     """
-    mine = incoming.select("posting_seq", "source", "external_id", "url_key", "company_key", "title_key", "location_key", F.lower("work_mode").alias("mode"))
-    theirs = history.select(
-        F.col("posting_seq").alias("duplicate_of"), F.col("source").alias("h_source"), F.col("external_id").alias("h_external_id"), F.col("url_key").alias("h_url"),
-        F.col("company_key").alias("h_company"), F.col("title_key").alias("h_title"), F.col("location_key").alias("h_location"), F.lower("work_mode").alias("h_mode"),
-    )
-    mine, theirs = staged(mine, "fuzzy-incoming"), staged(theirs, "fuzzy-history")  # keys are read several times
+    names = ("duplicate_of", "h_source", "h_external_id", "h_url", *HISTORY_KIND)
+    mine, theirs = staged(slim(incoming), "fuzzy-incoming"), staged(slim(history).toDF(*names), "fuzzy-history")  # keys are read several times
     best = lambda df: df.groupBy("posting_seq").agg(F.max("duplicate_of").alias("duplicate_of"))
     by_url = mine.where("url_key <> ''").join(theirs.groupBy(F.col("h_url").alias("url_key")).agg(F.max("duplicate_of").alias("duplicate_of")), "url_key")
     ids = theirs.groupBy(F.col("h_source").alias("source"), F.col("h_external_id").alias("external_id")).agg(F.max("duplicate_of").alias("duplicate_of"))
     by_id = mine.where("external_id <> '' and source <> ''").join(ids, ["source", "external_id"])
     # of history postings alike in company, title, place and mode, only the latest can win
-    kinds = theirs.groupBy("h_company", "h_title", "h_location", "h_mode").agg(F.max("duplicate_of").alias("duplicate_of"))
-    mine_kinds = mine.select("company_key", "title_key", "location_key", "mode").distinct()
-    place = (
-        (F.col("location_key") == "") | (F.col("h_location") == "") | (F.col("location_key") == "remoto") | (F.col("h_location") == "remoto")
-        | (F.col("mode") == "remote") | (F.col("h_mode") == "remote") | F.contains("location_key", "h_location") | F.contains("h_location", "location_key")
-    )
-    pairs = company_pairs(mine, theirs.withColumnRenamed("h_company", "company_key"))
-    near = (
-        mine_kinds.join(pairs, F.col("company_key") == F.col("a"))
-        .join(kinds, F.col("b") == F.col("h_company"))
-        .where(place & (200 * F.least(F.length("title_key"), F.length("h_title")) >= 100 * threshold * (F.length("title_key") + F.length("h_title"))))
-    )
-    same = near.where("title_key = h_title")
-    titles = near.where("title_key <> h_title").select("title_key", "h_title").distinct()
-    alike = titles.where(token_sort_ratio(F.col("title_key"), F.col("h_title")) >= 100 * threshold)
-    similar = near.join(alike, ["title_key", "h_title"])
+    kinds = theirs.groupBy(*HISTORY_KIND).agg(F.max("duplicate_of").alias("duplicate_of"))
     kind = ["company_key", "title_key", "location_key", "mode"]
-    by_kind = same.select(*kind, "duplicate_of").unionByName(similar.select(*kind, "duplicate_of")).groupBy(*kind).agg(F.max("duplicate_of").alias("duplicate_of"))
+    pairs = company_pairs(mine, theirs.withColumnRenamed("h_company", "company_key"))
+    by_kind = similar_kinds(mine.select(*kind).distinct(), kinds, pairs, threshold).groupBy(*kind).agg(F.max("duplicate_of").alias("duplicate_of"))
     every = [df.select("posting_seq", "duplicate_of") for df in (by_url, by_id, mine.join(by_kind, kind))]
     return best(every[0].unionByName(every[1]).unionByName(every[2]))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlake.functions import text
-from postlake.operators import changes, dedup, freshness, maintenance, ranking, validation, views
+from postlake.operators import changes, clusters, dedup, freshness, maintenance, ranking, validation, views
 from postlake.plans import cycle
 from postlake.plans import oracle as O
 from postlake.sources import adapters as A
@@ -192,6 +192,22 @@ def d1(spark: SparkSession, d: str) -> DataFrame:
     return dedup.first_per(dedup.with_keys(A.postings(spark, d)).select("posting_seq", "content_hash"), "content_hash")
 
 
+# rows one by one, each with the keys that those before it left behind
+@query("d1_admitted", f"""WITH RECURSIVE {O.POSTINGS}, t AS MATERIALIZED (SELECT posting_seq, row_number() OVER (ORDER BY posting_seq) AS i,
+  dense_rank() OVER (ORDER BY h) AS h, dense_rank() OVER (ORDER BY d) AS d FROM (SELECT posting_seq, {O.chash()} AS h, {O.key()} AS d FROM p)),
+s(i, posting_seq, stays, hs, ds) AS (SELECT 0::BIGINT, NULL::BIGINT, false, []::BIGINT[], []::BIGINT[] UNION ALL
+  SELECT i, posting_seq, fresh, CASE WHEN fresh THEN list_append(hs, h) ELSE hs END, CASE WHEN fresh THEN list_append(ds, d) ELSE ds END
+  FROM (SELECT t.*, hs, ds, NOT (list_contains(hs, h) OR list_contains(ds, d)) AS fresh FROM s JOIN t ON t.i = s.i + 1))
+SELECT posting_seq FROM s WHERE stays""")
+def d1_admitted(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.admitted(dedup.with_keys(A.postings(spark, d)))
+
+
+@query("d4_duplicate_clusters")
+def d4(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.duplicate_clusters(dedup.with_keys(A.postings(spark, d)))
+
+
 @query("d6_best_per_url", f"""WITH {O.PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY profile_id, lower(trim(url)) ORDER BY score DESC NULLS LAST, posting_seq DESC) AS n FROM {O.ranked('pairs')})
 SELECT profile_id, posting_seq, score FROM r WHERE n = 1""")
 def d6(spark: SparkSession, d: str) -> DataFrame:
