@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postlake.llm import exact_dedup, mixing, ngram_join, packing, quality_gam, quality_rules, secrets, sharding, toxicity, warc
+from postlake.llm import (
+    exact_dedup, language_id, lexical_search, mixing, ngram_join, packing, quality_gam, quality_rules, secrets, sharding, toxicity, warc, whitening,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,11 +58,25 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.train(docs))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_source_mixing, op3_quality_classifier, op4_warc, op5_sharding,
         op6_ngram_jaccard_join, op7_quality_rules, op8_toxicity, op9_exact_dedup, op10_secret_scan,
+        op11_embedding_whitening, op12_ranked_search, op13_language_id,
     )
 }
 
@@ -76,7 +92,21 @@ _SECRETS = (
     ("prefixed", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 1, False),
 )
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"
+
 SQL = {
+    "op12_ranked_search": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ws FROM documents),
+i AS (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS ws FROM benchmark),
+q AS (SELECT i, term, count(*) AS times FROM (SELECT i, unnest(ws) AS term FROM i) GROUP BY i, term),
+total AS (SELECT count(*) AS n_docs, CAST(sum(len(ws)) AS BIGINT) AS n_terms FROM d WHERE len(ws) > 0),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY r, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), total),
+g AS (SELECT r, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(ws) * n_docs) // n_terms))) AS gain FROM p JOIN w USING (term) JOIN d USING (r), total),
+s AS (SELECT i, r, CAST(sum(times * gain) AS BIGINT) AS score FROM q JOIN g USING (term) GROUP BY i, r)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score
+FROM (SELECT i, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank FROM s JOIN d USING (r) WHERE score > 0) JOIN i USING (i) WHERE rank <= 20
+""",
     "op2_source_mixing": r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
