@@ -41,8 +41,8 @@ class DigestIndex:
         """Append rows of digests that the index lacks: a file a bucket."""
         new.select("text_sha256", "keep_id", "batch").repartition(self.buckets, "text_sha256").write.insertInto(self.name)
 
-    def add(self, docs: DataFrame, batch: str = "first") -> DataFrame:
-        """Deduplicate a batch and append its new digests.
+    def add(self, docs: DataFrame, batch: str) -> DataFrame:
+        """Deduplicate a batch, which needs a name of its own, and append its new digests.
 
         Returns doc_id, keep_id, group_size, kept and text_sha256 for every row of
         the batch. keep_id is the smallest doc_id of the batch's equal texts, or what
@@ -50,7 +50,8 @@ class DigestIndex:
         Null texts count as empty. Rows that repeat the kept id and text are all
         marked kept; a null id is kept only in a group of null ids. An empty batch gives no row
         and appends none. Adding a batch again under its name, after a failure or not, appends nothing
-        twice and gives the same rows.
+        twice and gives the same rows; so under a name that was used before, a row with the id and text of one kept then
+        is that one, and kept. One batch is added at a time: appends take no lock.
         """
         rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("text_sha256")), "digests")
         groups = rows.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
@@ -63,13 +64,18 @@ class DigestIndex:
         return rows.join(found, "text_sha256").select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
-def dedup(docs: DataFrame, index: DigestIndex | None = None, batch: str = "first") -> DataFrame:
-    """All documents as one batch against ``index``, by default a new one in the shared folder; see `DigestIndex.add`."""
+def dedup(docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None) -> DataFrame:
+    """All documents as one batch against ``index``, by default a new one in the shared folder; see `DigestIndex.add`.
+
+    With an index of the caller's, the batch must have a name.
+    """
+    if index is not None and batch is None:
+        raise ValueError("a batch for an index that other batches use needs a name of its own")
     index = index or DigestIndex(docs.sparkSession, shared_path(docs.sparkSession, "digest-index"))
-    return index.add(docs, batch)
+    return index.add(docs, batch or "first")
 
 
-def deduplicated(docs: DataFrame, index: DigestIndex | None = None, batch: str = "first") -> DataFrame:
+def deduplicated(docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None) -> DataFrame:
     """The rows that stay, one of each group of equal texts that the index didn't hold before, with the columns of ``docs``.
 
     Of rows that repeat the kept id and text one stays, of groups whose ids are all null too. An empty table stays empty.

@@ -79,7 +79,15 @@ def hits(machine, folded: str) -> list[float]:
             found[end - n + 1] = weight
         else:
             spared.append((end - n + 1, end))
-    return [w for at, w in found.items() if not any(a <= at < b for a, b in spared)]
+    spared.sort()
+    hidden, k, reach = set(), 0, 0
+    for at in sorted(found):  # the furthest end of the phrases that begin before a term tells whether one holds it
+        while k < len(spared) and spared[k][0] <= at:
+            reach = max(reach, spared[k][1])
+            k += 1
+        if at < reach:
+            hidden.add(at)
+    return [w for at, w in found.items() if at not in hidden]
 
 
 def features(machine, folded: str) -> tuple[float, float, float]:
@@ -213,7 +221,10 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that score below the threshold; repeated rows share their fate."""
+    """The rows of ``docs``, with all their columns, that score below the threshold; repeated rows share their fate.
+
+    Null and blank texts score as in `score`, without a match, and stay unless that alone reaches the threshold. An empty table stays empty.
+    """
 
     @F.pandas_udf("boolean")
     def clean(found: pd.Series) -> pd.Series:

@@ -168,7 +168,8 @@ def read(spark, path: str, payloads: bool = True) -> DataFrame:
     """A row per record of the archives under ``path``; see RECORDS.
 
     ``payloads``: whether to return them; sizes and digests are of the payloads read
-    in either case. A payload that doesn't have the digest of its record raises an error.
+    in either case. A payload that doesn't have the digest of its record raises an error. Records that repeat come as
+    often as they were written; a folder without archives gives no rows.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -203,7 +204,8 @@ def assemble(found: DataFrame) -> DataFrame:
 
     Records are joined on WARC-Concurrent-To; the request or the metadata of a capture
     may be missing (null). In ``response``, a revisit has the size of the payload that it refers to,
-    and origin_page_id is that response's page.
+    and origin_page_id is that response's page. Each response or revisit record makes a row, so captures that were
+    written twice come twice, each with either's request and metadata; no records give no rows.
     """
     part = ["record_id", "target_uri", "date"]
     own = found.where(F.col("type").isin("response", "revisit"))

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from postlake.llm import common, exact_dedup, mixing, ngram_join, packing, quality_gam, quality_rules, queries, secrets, sharding, toxicity, warc
+from postlake.llm import common, exact_dedup, language_id, mixing, ngram_join, packing, quality_gam, quality_rules, queries, secrets, sharding, toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 EXTRA = (
@@ -67,10 +67,11 @@ def operators(labels, tokenizer):
         "toxicity": lambda d: toxicity.score(d, toxicity.train(d, labels)),
         "dedup": exact_dedup.dedup,
         "secrets": secrets.find_secrets,
+        "language": lambda d: language_id.predict(d, language_id.train(d)),
     }
 
 
-NAMES = ["pack", "mix", "gam", "shard", "join", "rules", "toxicity", "dedup", "secrets"]
+NAMES = ["pack", "mix", "gam", "shard", "join", "rules", "toxicity", "dedup", "secrets", "language"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -243,9 +244,9 @@ def test_one_more_shard_moves_few_rows(spark):
 def test_digest_index_over_batches(spark):
     path = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/digests"
     index = exact_dedup.DigestIndex(spark, path, buckets=4)
-    first = index.add(spark.createDataFrame([(5, "a  b"), (3, "a b"), (9, None)], "doc_id long, text string")).collect()
+    first = index.add(spark.createDataFrame([(5, "a  b"), (3, "a b"), (9, None)], "doc_id long, text string"), "first").collect()
     assert {r["doc_id"]: (r["keep_id"], r["kept"], r["group_size"]) for r in first} == {5: (3, False, 2), 3: (3, True, 2), 9: (9, True, 1)}
-    again = index.add(spark.createDataFrame([(5, "a  b"), (3, "a b"), (9, None)], "doc_id long, text string")).collect()
+    again = index.add(spark.createDataFrame([(5, "a  b"), (3, "a b"), (9, None)], "doc_id long, text string"), "first").collect()
     assert sorted(again) == sorted(first) and index.read().count() == 2
     spark.sql(f"DROP TABLE {index.name}")  # a session that has never seen the index
     index = exact_dedup.DigestIndex(spark, path, buckets=4)
@@ -259,9 +260,22 @@ def test_digest_index_over_batches(spark):
     assert index.add(rows.limit(0), "third").count() == 0 and index.read().count() == 3
 
 
+def test_batches_need_names_of_their_own(spark):
+    index = exact_dedup.DigestIndex(spark, tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/digests", buckets=4)
+    rows = lambda *x: spark.createDataFrame(x, "doc_id long, text string")
+    for f in (exact_dedup.dedup, exact_dedup.deduplicated):
+        with pytest.raises(ValueError):
+            f(rows((1, "aa")), index)
+    assert [r["doc_id"] for r in exact_dedup.deduplicated(rows((1, "aa"), (2, "bb")), index, "a").orderBy("doc_id").collect()] == [1, 2]
+    assert [r["doc_id"] for r in exact_dedup.deduplicated(rows((1, "aa"), (3, "bb"), (4, "cc")), index, "b").collect()] == [4]
+    # other rows under a name that was used: what that batch kept is kept again, and what is new is added
+    again = {r["doc_id"]: r["kept"] for r in index.add(rows((1, "aa"), (5, "bb"), (6, "dd")), "a").collect()}
+    assert again == {1: True, 5: False, 6: True} and index.read().count() == 4
+
+
 def test_digest_index_needs_no_shuffle_of_its_own(spark):
     index = exact_dedup.DigestIndex(spark, tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/digests", buckets=4)
-    index.add(spark.createDataFrame([(k, f"t{k}") for k in range(50)], "doc_id long, text string")).collect()
+    index.add(spark.createDataFrame([(k, f"t{k}") for k in range(50)], "doc_id long, text string"), "first").collect()
     new = spark.createDataFrame([("x",)], "text_sha256 string")
     plan = new.join(index.read().hint("merge"), "text_sha256", "left_anti")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
@@ -416,6 +430,50 @@ def test_folding_and_exceptions():
     assert toxicity.hits(machine, toxicity.fold("trash trash can badly badder")) == [2.0, 3.0, 1.0]
 
 
+def test_exceptions_in_a_very_long_text():
+    import time
+
+    machine = toxicity.Lexicon({" trash ": 2.0, " bad ": 1.0}, [" trash can ", " so bad it "]).automaton()
+    folded = " " + "trash can trash bad so bad it " * 200_000
+    began = time.time()
+    found = toxicity.hits(machine, folded)
+    assert Counter(found) == {2.0: 200_000, 1.0: 200_000} and time.time() - began < 20
+
+
+def plain_features(text):
+    """The features of the quality model, one by one."""
+    words = [w for w in re.split("[ \t-\r]+", text) if w]
+    if not words:
+        return [0.0] * 14
+    raw, n = text.encode(), len(words)
+    chars = sum(len(w.encode()) for w in words)
+    count = lambda s: sum(c in s for c in text)
+    lines = [x for x in text.split("\n") if x.strip(" \t\r\v\f")]
+    assert chars == len(re.sub(rb"[ \t-\r]", b"", raw))
+    return [
+        np.log(n), chars / n, len(set(words)) / n, sum(a == b for a, b in zip(words, words[1:])) / n, max(Counter(words).values()) / n,
+        len(set(zip(words, words[1:]))) / max(1, n - 1), count("#*$%&<>") / n, count("!") / n, count("|") / n,
+        count("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / chars, count("0123456789") / chars, count(".,;:?") / n,
+        1 - len(set(lines)) / max(1, len(lines)), n / max(1, len(lines)),
+    ]
+
+
+def test_quality_scores_equal_brute_force(spark, labels, docs):
+    """Each row's score by hand: plain features, bins by comparison with each edge, and the sum of its cells."""
+    model = quality_gam.train(docs, labels)
+    long = "word! Other | 7 words.\n" * 40_000
+    rows = [*((k, t) for k, t, *_ in messy_rows()), (500, long)]
+    got = quality_gam.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), model).collect()
+    want = Counter()
+    for k, text in rows:
+        bins = [sum(v >= c for c in cuts) for v, cuts in zip(plain_features(text or ""), model.cuts, strict=True)]
+        total = model.base + sum(t[b] for t, b in zip(model.single, bins, strict=True))
+        total += sum(t[model.coarse[i][bins[i]], model.coarse[j][bins[j]]] for (i, j), t in model.pairs.items())
+        score = 1 / (1 + np.exp(-total))
+        want[k, k is not None and zlib.crc32(str(k).encode()) % 4 == 2, round(float(score), 9), int(score >= 0.7)] += 1
+    assert Counter((r["doc_id"], r["held_out"], round(r["score"], 9), r["predicted"]) for r in got) == want
+
+
 @pytest.mark.parametrize("name, label", [("op3_quality_classifier", "quality"), ("op8_toxicity", "toxic")])
 def test_models_on_held_out_documents(spark, name, label):
     d = "/root/testdata/sf0.01"
