@@ -5,6 +5,7 @@ from __future__ import annotations
 import html.entities
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -28,7 +29,7 @@ def _class(codes: list[int]) -> str:
 def _decomposed() -> tuple[dict[str, str], dict[str, str], str]:
     """From the Unicode tables: characters that decompose to one character, to several or beyond the BMP, and marks.
 
-    Syllables of Hangul are left whole: their parts would be equal where they are.
+    Syllables of Hangul are left out: they decompose by arithmetic, see `_syllable`.
     """
     one, more, marks = {}, {}, []
     for k in range(0x80, 0x30000):
@@ -48,6 +49,8 @@ _ONE, _MORE, _MARKS = _decomposed()
 _MORE_CLASS = _class([ord(c) for c in _MORE])
 _ENTITIES = {k.removesuffix(";"): v for k, v in html.entities.html5.items() if k.endswith(";")}
 _BREAK = "\x1f"
+#: Characters that are neither of a word, in any script, nor white space.
+NO_WORD = r"[^\p{L}\p{N}_\s]"
 
 
 def _lookup(table: dict[str, str], key: Column) -> Column:
@@ -60,17 +63,42 @@ def _text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value computed once however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _syllable(x: Column) -> Column:
+    """A syllable of Hangul as its leading consonant, vowel and, where it has one, trailing consonant."""
+    at = F.ascii(x) - 0xAC00
+    jamo = lambda first, n, k: F.element_at(F.array(*[F.lit(chr(first + j)) for j in range(n)]), k.cast("int") + 1)
+    tail = F.when(at % 28 == 0, "").otherwise(jamo(0x11A7, 28, at % 28))
+    return F.concat(jamo(0x1100, 19, F.floor(at / 588)), jamo(0x1161, 21, F.floor(at % 588 / 28)), tail)
+
+
+_HANGUL = r"[\x{AC00}-\x{D7A3}]"
+
+
+def _plain(c: Column) -> Column:
+    """A text that isn't ASCII in its compatible decomposition without combining marks."""
+
+    def apart(text: Column) -> Column:
+        one = lambda x: F.when(x.rlike(_HANGUL), _syllable(x)).otherwise(F.coalesce(_lookup(_MORE, x), x))
+        return F.array_join(F.transform(F.split(text, ""), one), "")
+
+    # what isn't in the table of single characters is rare, and only then a text is taken apart
+    rare = _MORE_CLASS[:-1] + _HANGUL[1:]
+    split = let(F.translate(c, "".join(_ONE), "".join(_ONE.values())), lambda text: F.when(text.rlike(rare), apart(text)).otherwise(text))
+    return F.regexp_replace(split, _MARKS, "")
+
+
 def strip_accents(c: Column) -> Column:
     """Text in its compatible decomposition without combining marks."""
-    text = F.translate(_text(c), "".join(_ONE), "".join(_ONE.values()))
-    # what is still not ASCII is rare: ligatures, fractions and loose marks, for which a text is taken apart
-    apart = F.array_join(F.transform(F.split(text, ""), lambda x: F.coalesce(_lookup(_MORE, x), x)), "")
-    whole = F.regexp_replace(F.when(text.rlike(_MORE_CLASS), apart).otherwise(text), _MARKS, "")
-    return F.when(text.rlike(r"[^\x00-\x7F]"), whole).otherwise(text)
+    return let(_text(c), lambda text: F.when(text.rlike(r"[^\x00-\x7F]"), _plain(text)).otherwise(text))
 
 
 def normalize_text(c: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(_text(c), r"(?U)\s+", " ")))
+    return F.lower(F.trim(F.regexp_replace(_text(c), r"(?U)[\s\x1C-\x1F]+", " ")))
 
 
 def normalize_url(c: Column) -> Column:
@@ -80,13 +108,13 @@ def normalize_url(c: Column) -> Column:
 
 def normalize_company(c: Column) -> Column:
     base = strip_accents(normalize_text(c))
-    bare = reduce(lambda x, word: F.regexp_replace(x, rf"\b{word}\b", ""), rules.COMPANY_SUFFIXES, base)
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"[^\w\s]", ""), r"\s+", " "))
+    bare = reduce(lambda x, word: F.regexp_replace(x, rf"(?U)\b{word}\b", ""), rules.COMPANY_SUFFIXES, base)
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, NO_WORD, ""), r"\s+", " "))
 
 
 def _title_words(c: Column) -> Column:
-    base = reduce(lambda x, r: F.regexp_replace(x, *r), rules.TITLE_SYNONYMS, strip_accents(normalize_text(c)))
-    words = F.split(F.regexp_replace(base, r"[^\w\s]", " "), r"\s+")
+    base = reduce(lambda x, r: F.regexp_replace(x, "(?U)" + r[0], r[1]), rules.TITLE_SYNONYMS, strip_accents(normalize_text(c)))
+    words = F.split(F.regexp_replace(base, NO_WORD, " "), r"\s+")
     return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(rules.TITLE_STOP_WORDS))
 
 
@@ -118,13 +146,15 @@ def says(low: Column, pattern: str) -> Column:
 
 
 def normalize_location(c: Column) -> Column:
-    loc = strip_accents(normalize_text(c))
-    short = reduce(lambda x, s: F.regexp_replace(x, rf"\b({s[0]}|{s[1]})\b", s[1]), rules.STATES, loc)
-    return (
-        F.when(any_of(loc, rules.REMOTE_WORDS), "remoto")
-        .when(any_of(loc, rules.HYBRID_WORDS), "hibrido")
-        .otherwise(F.trim(F.regexp_replace(short, r"[^\w\s]", "")))
-    )
+    def place(loc: Column) -> Column:
+        short = reduce(lambda x, s: F.regexp_replace(x, rf"(?U)\b({s[0]}|{s[1]})\b", s[1]), rules.STATES, loc)
+        return (
+            F.when(any_of(loc, rules.REMOTE_WORDS), "remoto")
+            .when(any_of(loc, rules.HYBRID_WORDS), "hibrido")
+            .otherwise(F.trim(F.regexp_replace(short, NO_WORD, "")))
+        )
+
+    return let(strip_accents(normalize_text(c)), place)
 
 
 def dedup_key(title: Column, company: Column, location: Column) -> Column:
@@ -144,7 +174,7 @@ def content_hash(title: Column, company: Column, location: Column, url: Column,
 def infer_seniority(title: Column, description: Column) -> Column:
     """The first level, in the rules' order, that title or first 500 characters of the description name."""
     text = F.lower(strip_accents(F.concat_ws(" ", _text(title), F.substring(_text(description), 1, 500))))
-    return F.coalesce(*[F.when(text.rlike(p), level) for level, p in rules.SENIORITY], F.lit(""))
+    return let(text, lambda x: F.coalesce(*[F.when(x.rlike("(?U)" + p), level) for level, p in rules.SENIORITY], F.lit("")))
 
 
 def city_part(c: Column, separators: str = "[,/-]") -> Column:
@@ -186,7 +216,11 @@ def parse_salary(c: Column) -> Column:
 
 
 def escape_html(c: Column) -> Column:
-    out = _text(c)
-    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
-        out = F.replace(out, F.lit(char), F.lit(name))
-    return out
+    """Text that is safe within HTML and its attributes."""
+    signs = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;"))
+    return reduce(lambda x, s: F.replace(x, F.lit(s[0]), F.lit(s[1])), signs, _text(c))
+
+
+def truncate(c: Column, longest: int = 4000) -> Column:
+    """Text of at most ``longest`` characters, of which the last ones tell where something is cut off."""
+    return let(_text(c), lambda x: F.when(F.length(x) <= longest, x).otherwise(F.concat(F.substring(x, 1, longest - 15), F.lit("... [truncado]"))))

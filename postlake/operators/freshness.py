@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlake.functions import rules
-from postlake.functions.text import says
+from postlake.functions.text import let, says
 
 
 def days_old(published: Column, as_of: Column) -> Column:
@@ -20,8 +20,7 @@ def age_reason(published: Column, as_of: Column, max_days: int = 60) -> Column:
 
 
 def closure_reason(text: Column) -> Column:
-    low = F.lower(text)
-    return F.coalesce(*[F.when(says(low, p), F.lit(f"closure_signal: {p}")) for p in rules.CLOSURE])
+    return let(F.lower(text), lambda low: F.coalesce(*[F.when(says(low, p), F.lit(f"closure_signal: {p}")) for p in rules.CLOSURE]))
 
 
 def freshness(postings: DataFrame, as_of: Column, max_days: int = 60) -> DataFrame:

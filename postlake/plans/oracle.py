@@ -34,12 +34,24 @@ def edges(pattern: str) -> str:
     return pattern.replace(r"\b", r"(?:^|$|[^\p{L}\p{N}_])") if any(ord(c) > 127 for c in pattern) or "Unicode" in pattern else pattern
 
 
+LETTER = r"[\p{L}\p{N}_]"
+
+
+def wx(c: str, pattern: str, to: str = "") -> str:
+    """Replace a pattern, of which both ends are edges of words, wherever it is a whole word in any script; twice, as matches share what lies between them."""
+    core = re.sub(r"\((?!\?)", "(?:", pattern.removeprefix(r"\b").removesuffix(r"\b")).replace(r"\w", LETTER)
+    once = lambda x: rx(x, rf"(^|[^\p{{L}}\p{{N}}_])(?:{core})($|[^\p{{L}}\p{{N}}_])", rf"\1{to}\2")
+    return once(once(c))
+
+
 def ntext(c: str) -> str:
     return f"lower(trim({rx(f"coalesce({c}, '')", r'\s+', ' ')}))"
 
 
 def bare(c: str) -> str:
-    return f"strip_accents({c})"
+    """Without marks, and with syllables of Hangul taken apart by their codes."""
+    jamo = "chr(CAST(4352 + (unicode(x) - 44032) // 588 AS INT)) || chr(CAST(4449 + (unicode(x) - 44032) % 588 // 28 AS INT)) || CASE WHEN (unicode(x) - 44032) % 28 = 0 THEN '' ELSE chr(CAST(4519 + (unicode(x) - 44032) % 28 AS INT)) END"
+    return f"array_to_string(list_transform(string_split(strip_accents({c}), ''), lambda x: CASE WHEN unicode(x) BETWEEN 44032 AND 55203 THEN {jamo} ELSE x END), '')"
 
 
 def url(c: str) -> str:
@@ -49,15 +61,15 @@ def url(c: str) -> str:
 def company(c: str) -> str:
     e = bare(ntext(c))
     for w in R.COMPANY_SUFFIXES:
-        e = rx(e, rf"\b{w}\b")
-    return f"trim({rx(rx(e, r'[^\w\s]'), r'\s+', ' ')})"
+        e = wx(e, w)
+    return f"trim({rx(rx(e, r'[^\p{L}\p{N}_\s]'), r'\s+', ' ')})"
 
 
 def title_words(c: str) -> str:
     e = bare(ntext(c))
     for a, b in R.TITLE_SYNONYMS:
-        e = rx(e, a, b)
-    return f"list_filter(string_split_regex({rx(e, r'[^\w\s]', ' ')}, '\\s+'), lambda x: length(x) > 1 AND x NOT IN ({', '.join(map(q, R.TITLE_STOP_WORDS))}))"
+        e = wx(e, a, b)
+    return f"list_filter(string_split_regex({rx(e, r'[^\p{L}\p{N}_\s]', ' ')}, '\\s+'), lambda x: length(x) > 1 AND x NOT IN ({', '.join(map(q, R.TITLE_STOP_WORDS))}))"
 
 
 def title(c: str) -> str:
@@ -76,8 +88,8 @@ def location(c: str) -> str:
     e = bare(ntext(c))
     s = e
     for long, short in R.STATES:
-        s = rx(s, rf"\b({long}|{short})\b", short)
-    return f"CASE WHEN {anyof(e, R.REMOTE_WORDS)} THEN 'remoto' WHEN {anyof(e, R.HYBRID_WORDS)} THEN 'hibrido' ELSE trim({rx(s, r'[^\w\s]')}) END"
+        s = wx(s, f"({long}|{short})", short)
+    return f"CASE WHEN {anyof(e, R.REMOTE_WORDS)} THEN 'remoto' WHEN {anyof(e, R.HYBRID_WORDS)} THEN 'hibrido' ELSE trim({rx(s, r'[^\p{L}\p{N}_\s]')}) END"
 
 
 def key() -> str:

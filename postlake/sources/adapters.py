@@ -16,9 +16,10 @@ TITLES = [
     "Estágio em Desenvolvimento Python", "Desenvolvedor Python Júnior", "Desenvolvedor Java Sênior", "Engenheiro de Software Pleno",
     "Atendente de Loja", "Analista de Dados", "Estagiário de TI", "Head of Engineering", "Pessoa Desenvolvedora Backend", "Tech Lead",
     "Vendedora", "UX Designer", "DevOps Engineer (Cloud)", "QA", "Diretor de Tecnologia", "Programador Django  Pleno", "[Teste] Vaga",
+    "Разработчик Python", "Бухгалтер", "ソフトウェア エンジニア", "백엔드 개발자", "Entwickler für Großrechner", "Estagiari@ de TI",
 ]
-COMPANIES = ["Acme Ltda", "ACME Tecnologia S/A", "Grupo Beta Soluções", "Beta", "Gama Inc", "Empresa Alpha", "", "Delta Sistemas", "Delta Sistemas Brasil", "Épsilon Serviços ME", "Banco Zeta"]
-LOCATIONS = ["São Paulo, SP", "Remoto", "Rio de Janeiro - RJ", "Híbrido / Curitiba", "Austin, Texas", "Santiago, Chile", "", "Belo Horizonte, Minas Gerais", "Remote (anywhere)"]
+COMPANIES = ["Acme Ltda", "ACME Tecnologia S/A", "Grupo Beta Soluções", "Beta", "Gama Inc", "Empresa Alpha", "", "Delta Sistemas", "Delta Sistemas Brasil", "Épsilon Serviços ME", "Banco Zeta", "Яндекс", "Straße Łódź Inc", "株式会社アクメ", "삼성전자", "Ελλάδα ΜΕme Brasil", "Сбер"]
+LOCATIONS = ["São Paulo, SP", "Remoto", "Rio de Janeiro - RJ", "Híbrido / Curitiba", "Austin, Texas", "Santiago, Chile", "", "Belo Horizonte, Minas Gerais", "Remote (anywhere)", "Москва", "Казань", "München", "東京", "São Paulo/Ñsp"]
 MODES = ["remote", "hybrid", "onsite", "", "remoto", "presencial"]
 LEVELS = ["", "junior", "senior", "mid", "estagio"]
 TYPES = ["clt", "pj", "estagio", "internship", "", "full_time", "temporário"]
@@ -38,7 +39,7 @@ _POSTINGS = f"""
 SELECT doc_id AS posting_seq,
   CASE WHEN doc_id % 3 = 0 THEN concat('E', CAST((doc_id % 97) * 3 AS STRING)) ELSE '' END AS external_id,
   concat('src', CAST(doc_id % 13 AS STRING)) AS source,
-  CASE WHEN doc_id % 41 = 0 THEN 'ftp://old' ELSE concat('https://', CASE WHEN doc_id % 2 = 0 THEN 'Jobs' ELSE 'jobs' END, '.Example.com/v', CAST(doc_id % 701 AS STRING),
+  CASE WHEN doc_id % 41 = 0 THEN 'ftp://old' WHEN doc_id % 29 = 3 THEN '' ELSE concat('https://', CASE WHEN doc_id % 2 = 0 THEN 'Jobs' ELSE 'jobs' END, '.Example.com/v', CAST(doc_id % 701 AS STRING),
     CASE WHEN doc_id % 5 = 0 THEN '/' ELSE '' END, CASE WHEN doc_id % 7 = 0 THEN '?utm_source=x#top' ELSE '' END) END AS url,
   {_pool(TITLES, f"doc_id % {len(TITLES)}")} AS title,
   {_pool(COMPANIES, f"doc_id % {len(COMPANIES)}")} AS company,
