@@ -81,44 +81,80 @@ def _grams(c: Column) -> Column:
     return F.array_distinct(F.transform(positions, lambda k: F.substring(c, k, F.lit(3))))
 
 
+def _numbered_grams(c: Column) -> Column:
+    """All n + 2 grams of three characters of a text of n with two edge signs at either end; the k-th equal one has the number k."""
+    edged = F.concat(F.lit("\x01\x01"), c, F.lit("\x02\x02"))
+    grams = F.transform(F.sequence(F.lit(1), F.length(c) + 2), lambda k: F.substring(edged, k, F.lit(3)))
+    number = lambda all_, x, k: F.size(F.filter(F.slice(all_, 1, k + 1), lambda y: y == x)).cast("string")
+    return text.let(grams, lambda g: F.transform(g, lambda x, k: F.concat(x, number(g, x, k))))
+
+
+def similar_texts(left: DataFrame, right: DataFrame, threshold: float, *group: str) -> DataFrame:
+    """(a, b): pairs of different texts of ``text``, of one ``group``, whose normalised Indel similarity is at least ``threshold``.
+
+    Of texts of n and m characters with a common subsequence of L, taking out the n - L others ends at most 3 grams each and
+    putting in m - L at most 2 each. So a text that is similar enough keeps all but ``ended`` of its n + 2 grams, and the
+    ``ended`` + k rarest of either have k in common, where that many are left: only texts with k rare grams in common, and of
+    lengths that can do, are compared. No pair is lost, and a group of many texts isn't compared pair by pair.
+    """
+    t = threshold
+    shortest = t / (2 - t) if 2.5 * t > 2 else (2 - t) / t  # the other length, by this one's, at which most grams end
+    ended = F.floor(F.length("text") * ((3 - 2.5 * t) + shortest * (2 - 2.5 * t)) + 1e-9).cast("int")
+    common = F.least(F.lit(4), F.length("text") + 2 - ended)
+
+    def own(df: DataFrame, name: str) -> DataFrame:
+        return staged(df.select(*group, "text").distinct(), name)
+
+    left, right = own(left, "texts-left"), own(right, "texts-right")
+    texts = staged(left.select("text").union(right.select("text")).distinct().withColumn("grams", _numbered_grams(F.col("text"))), "texts-grams")
+    each = texts.select("text", F.explode("grams").alias("gram"))
+    counts = each.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    order = F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("order")  # a text's own grams
+    listed = each.join(counts, "gram").groupBy("text").agg(order).withColumns({"length": F.length("text"), "common": common})
+    # texts go by number through the join of grams
+    rare = staged(listed.select(F.xxhash64("text").alias("name"), "text", "length", "common", F.explode(F.slice("order", 1, ended + common)).alias("o")).select("name", "text", "length", "common", "o.gram"), "texts-rare")
+    sides = []
+    for df, x in ((left, "a"), (right, "b")):
+        sides.append(df.join(rare, "text").select(*group, "gram", F.struct("length", "common", "name").alias(x)))
+    can = 200 * F.least("a.length", "b.length") >= 100 * t * (F.col("a.length") + F.col("b.length"))
+    met = sides[0].join(sides[1], [*group, "gram"]).where(can & (F.col("a.name") != F.col("b.name")))
+    often = met.groupBy(*group, "a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= F.least("a.common", "b.common"))
+    names = rare.select("name", "text").distinct()
+    pairs = often.select(F.col("a.name").alias("_a"), F.col("b.name").alias("_b")).distinct()
+    pairs = pairs.join(names.toDF("_a", "a"), "_a").join(names.toDF("_b", "b"), "_b").where("a <> b").select("a", "b").distinct()
+    return pairs.where(token_sort_ratio(F.col("a"), F.col("b")) >= 100 * t)
+
+
 def company_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs (a, b) of matching company keys: equal, one within the other, or nearly equal sorted words.
 
     Only distinct names are compared, and candidates come from rare grams of three characters alone: of a name that
-    another holds, its rarest gram is in the other; of two texts of sorted words with a ratio of 90 or more, at most
-    0.55 of the length's grams differ, so they share one among so many, and one more, of the rarest of each. Texts
-    too short for that have the ratio only if equal. So no match is lost, and frequent grams pair few names.
+    another holds, its rarest gram is in the other; nearly equal ones are found by `similar_texts`.
     """
 
     def named(df: DataFrame) -> DataFrame:
         names = df.where("company_key <> ''").select(F.col("company_key").alias("name")).distinct()
         # written, as names are read several times
-        return staged(names.withColumn("words", _sorted_words(F.col("name"))).withColumns({"grams": _grams(F.col("name")), "word_grams": _grams(F.col("words"))}), "company-names")
+        return staged(names.withColumn("words", _sorted_words(F.col("name"))).withColumn("grams", _grams(F.col("name"))), "company-names")
 
     a, b = named(left), named(right)
-
-    def rarest(df: DataFrame, grams: str, much: Column) -> DataFrame:
-        """(name, words, gram): the ``much`` rarest grams of each name; a name has few, so its list is short."""
-        every = a.select(F.explode(grams).alias("gram")).unionByName(b.select(F.explode(grams).alias("gram")))
-        counts = every.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-        listed = df.select("name", "words", F.explode(grams).alias("gram")).join(counts, "gram").groupBy("name", "words")
-        order = F.array_sort(F.collect_list(F.struct("n", "gram")))
-        return listed.agg(order.alias("order")).select("name", "words", F.explode(F.slice("order", 1, much)).alias("o")).select("name", "words", "o.gram")
+    every = a.select(F.explode("grams").alias("gram")).unionByName(b.select(F.explode("grams").alias("gram")))
+    counts = staged(every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "company-grams")
 
     def held(inner: DataFrame, outer: DataFrame) -> DataFrame:
         """(inner, outer): names of four characters or more that lie within others."""
-        rare = rarest(inner.where("length(name) >= 4"), "grams", F.lit(1)).select(F.col("name").alias("inner"), "gram")
+        long = inner.where("length(name) >= 4").select("name", F.explode("grams").alias("gram"))
+        rare = long.join(counts, "gram").groupBy(F.col("name").alias("inner")).agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
         every = outer.where("length(name) >= 4").select(F.col("name").alias("outer"), F.explode("grams").alias("gram"))
         return rare.join(every, "gram").where(F.contains("outer", "inner")).select("inner", "outer")
 
-    prefix = (F.floor(F.length("words") * 0.55) + 1).cast("int")
-    one, two = (rarest(df, "word_grams", prefix).toDF(x, f"{x}_words", "gram") for df, x in ((a, "a"), (b, "b")))
-    possible = 200 * F.least(F.length("a_words"), F.length("b_words")) >= 90 * (F.length("a_words") + F.length("b_words"))
-    near = one.join(two, "gram").where(possible & (F.col("a_words") != F.col("b_words"))).select("a", "b").distinct()
-    near = near.where(token_sort_ratio(F.col("a"), F.col("b")) >= 90)
+    words = lambda df: df.select(F.col("words").alias("text"))
+    near = similar_texts(words(a), words(b), 0.9).toDF("a_words", "b_words")
+    of = lambda df, x: df.select(F.col("name").alias(x), F.col("words").alias(f"{x}_words"))
+    close = near.join(of(a, "a"), "a_words").join(of(b, "b"), "b_words").select("a", "b")
     same = a.select(F.col("name").alias("a"), "words").join(b.select(F.col("name").alias("b"), "words"), "words").select("a", "b")
     within = held(a, b).toDF("a", "b").unionByName(held(b, a).toDF("b", "a").select("a", "b"))
-    return same.unionByName(within).unionByName(near).distinct()
+    return same.unionByName(within).unionByName(close).distinct()
 
 
 #: columns that say what kind of posting a row of history is, in the order of those of incoming rows
@@ -134,19 +170,18 @@ def slim(postings: DataFrame) -> DataFrame:
 def similar_kinds(mine: DataFrame, theirs: DataFrame, companies: DataFrame, threshold: float) -> DataFrame:
     """Pairs of kinds with matching companies, compatible places and similar titles, with all columns of both.
 
-    ``companies`` holds the pairs (a, b) of matching names. Titles are compared once per distinct pair of keys.
+    ``companies`` holds the pairs (a, b) of matching names. Titles are compared by `similar_texts` within a company's names, each
+    distinct pair once; kinds meet only by a pair of titles that is similar.
     """
     place = (
         (F.col("location_key") == "") | (F.col("h_location") == "") | (F.col("location_key") == "remoto") | (F.col("h_location") == "remoto")
         | (F.col("mode") == "remote") | (F.col("h_mode") == "remote") | F.contains("location_key", "h_location") | F.contains("h_location", "location_key")
     )
-    companies = companies.toDF("company_key", "h_company")
-    close = 200 * F.least(F.length("title_key"), F.length("h_title")) >= 100 * threshold * (F.length("title_key") + F.length("h_title"))
-    near = mine.join(companies, "company_key").join(theirs, "h_company").where(place & close)
-    same = near.where("title_key = h_title")
-    titles = near.where("title_key <> h_title").select("title_key", "h_title").distinct()
-    alike = titles.where(token_sort_ratio(F.col("title_key"), F.col("h_title")) >= 100 * threshold)
-    return same.unionByName(near.join(alike, ["title_key", "h_title"]).select(same.columns))
+    of = mine.join(companies.toDF("company_key", "h_company"), "company_key")
+    titles = of.select("h_company", F.col("title_key").alias("text")), theirs.select("h_company", F.col("h_title").alias("text"))
+    alike = similar_texts(*titles, threshold, "h_company").toDF("title_key", "h_title")
+    met = of.withColumn("h_title", F.col("title_key")).unionByName(of.join(alike, "title_key").select(*of.columns, "h_title"))
+    return met.join(theirs, ["h_company", "h_title"]).where(place)
 
 
 def fuzzy_duplicates(incoming: DataFrame, history: DataFrame, threshold: float = 0.88) -> DataFrame:
