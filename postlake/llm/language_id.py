@@ -13,13 +13,13 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlake.llm.common import ids, stored, texts
 
 U = np.uint64
-#: Documents of a language that its n-grams are learned from at most.
+#: Documents of a language that its n-grams are learned from, about.
 LANG_ROWS = 1000
 #: Bits of a language's filter for each of its n-grams, and hash functions.
 BITS, HASHES = 16, 4
@@ -141,29 +141,32 @@ class Filters:
         return names, own[np.arange(len(found)), best] / np.maximum(n, 1)
 
 
-def sample(docs: DataFrame, rows: int = LANG_ROWS) -> DataFrame:
-    """lang and text of at most ``rows`` different documents of each language, outside the held-out fold.
+def _known(docs: DataFrame) -> DataFrame:
+    """Documents outside the held-out fold that have an id, a text and a language."""
+    return docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
 
-    Those with the smallest hashes are taken, so that the same ones come each time; rows that repeat count once.
+
+def sample(docs: DataFrame, counts: dict[str, int], rows: int = LANG_ROWS) -> DataFrame:
+    """lang and text of about ``rows`` different documents of each language, all where there are no more, outside the held-out fold.
+
+    Taken are those whose hash, of 32 bits, is below the language's share, so that the same ones come each time and no
+    language's rows meet in a task; rows that repeat count once. ``counts`` has a row a language and is broadcast.
     """
+    shares = docs.sparkSession.createDataFrame([(x, min(1 << 32, (rows << 32) // n)) for x, n in counts.items()], "lang string, below long")
     name = F.xxhash64("doc_id", "lang", "text").alias("name")
-    known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy("name")
-    taken = known.select("lang", name).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows).select("name").distinct()
-    found = known.select("lang", "text", name).join(taken, "name", "left_semi").dropDuplicates(["name"])
-    return stored(found.select("lang", "text"), "languages")
+    found = _known(docs).select("lang", "text", name).join(F.broadcast(shares), "lang").where(F.col("name").bitwiseAND(0xFFFFFFFF) < F.col("below"))
+    return stored(found.dropDuplicates(["name"]).select("lang", "text"), "languages")
 
 
 def train(docs: DataFrame, rows: int = LANG_ROWS) -> Filters:
-    """Filters of the n-grams of each value of ``lang``, of at most ``rows`` documents each outside the held-out fold.
+    """Filters of the n-grams of each value of ``lang``, of about ``rows`` documents each outside the held-out fold.
 
     An n-gram belongs to all languages in which the part of documents with it is at least SHARE of its largest such part, and, where
     there are 20 documents or more, two of them have it. The n-grams come to the driver, bounded by the sample's texts.
     """
-    spread = sample(docs, rows)
-    known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    order = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    order = {r["lang"]: r["count"] for r in _known(docs).groupBy("lang").count().collect()}
     languages = sorted(order, key=lambda x: (-order[x], x))
+    spread = sample(docs, order, rows)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -176,7 +179,8 @@ def train(docs: DataFrame, rows: int = LANG_ROWS) -> Filters:
     counts = spread.mapInPandas(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     sizes = spread.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))
     rate = F.col("n") / F.col("docs")
-    rated = counts.join(sizes, "lang").withColumns({"rate": rate, "most": F.max(rate).over(Window.partitionBy("gram"))})
+    rated = counts.join(sizes, "lang").withColumn("rate", rate)
+    rated = rated.join(rated.groupBy("gram").agg(F.max("rate").alias("most")), "gram")
     own = rated.where((F.col("rate") >= SHARE * F.col("most")) & (F.col("n") >= F.when(F.col("docs") >= 20, 2).otherwise(1)))
     found = own.select("lang", "gram").toPandas()
     sets = {lang: part["gram"].to_numpy() for lang, part in found.groupby("lang")}
