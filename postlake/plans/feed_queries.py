@@ -10,7 +10,7 @@ from postlake.operators import dedup, freshness, outcomes, ranking
 from postlake.operators.views import top_per
 from postlake.plans import cycle
 from postlake.plans import oracle as O
-from postlake.plans.queries import SQL, attempts, pairs, query
+from postlake.plans.queries import _HALVES, _RUN, SQL, attempts, pairs, query
 from postlake.sources import adapters as A
 from postlake.sources import feeds
 from postlake.streaming import cycle as streams
@@ -77,7 +77,7 @@ def n22(spark: SparkSession, d: str) -> DataFrame:
     return outcomes.rendered(rows).select("posting_seq", "profile_id", "message", "band")
 
 
-@query("j5_company_pairs")
+@query("j5_company_pairs", f"WITH {O.POSTINGS}, {O.keyed('k', 'p')}, {O.similar('k', 'k')} SELECT a, b FROM cp")
 def j5(spark: SparkSession, d: str) -> DataFrame:
     rows = dedup.with_keys(A.postings(spark, d)).select("posting_seq", "company_key")
     return dedup.company_pairs(rows, rows)
@@ -93,7 +93,8 @@ def j15(spark: SparkSession, d: str) -> DataFrame:
     return listed.join(last, "source", "left").select("source", F.coalesce("state", F.lit("CLOSED")).alias("state"))
 
 
-@query("d3_history_duplicates")
+@query("d3_history_duplicates", f"""WITH {_HALVES}, x AS (SELECT m.posting_seq, max(t.posting_seq) AS duplicate_of FROM mine m JOIN theirs t USING (content_hash) GROUP BY 1)
+SELECT posting_seq, duplicate_of, 'exact' AS kind FROM x UNION ALL SELECT posting_seq, max(duplicate_of), 'similar' FROM dup WHERE posting_seq NOT IN (SELECT posting_seq FROM x) GROUP BY posting_seq""")
 def d3(spark: SparkSession, d: str) -> DataFrame:
     rows = dedup.with_keys(A.postings(spark, d))
     new, old = rows.where("posting_seq % 2 = 1"), rows.where("posting_seq % 2 = 0")
@@ -103,7 +104,7 @@ def d3(spark: SparkSession, d: str) -> DataFrame:
     return exact.unionByName(dedup.fuzzy_duplicates(rest, old).withColumn("kind", F.lit("similar")))
 
 
-@query("a7_funnel")
+@query("a7_funnel", f"WITH {_RUN} SELECT outcome, count(DISTINCT posting_seq) AS n FROM run GROUP BY outcome")
 def a7(spark: SparkSession, d: str) -> DataFrame:
     history = dedup.with_keys(A.earlier_postings(spark, d).where("posting_seq % 2 = 0"))
     run = cycle.run_batch(A.postings(spark, d).where("posting_seq % 2 = 1"), history, A.profiles(spark), A.as_of())

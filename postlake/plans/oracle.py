@@ -105,11 +105,44 @@ def seniority() -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches({e}, {q(p)}) THEN {q(level)}" for level, p in R.SENIORITY) + " ELSE '' END"
 
 
+def lcs(a: str, b: str) -> str:
+    """Length of the longest common subsequence: a row of the usual table for each character of ``a``, best values up to each of ``b``."""
+    signs = lambda c: f"list_transform(list_filter(string_split({c}, ''), lambda w: w <> ''), lambda w: unicode(w))"
+    row = f"list_transform(range(1, CAST(length({b}) + 1 AS BIGINT)), lambda j: CASE WHEN unicode({b}[j]) = x[1] THEN 1 + (CASE WHEN j = 1 THEN 0 ELSE acc[j - 1] END) ELSE acc[j] END)"
+    best = f"list_transform(range(1, CAST(length({b}) + 1 AS BIGINT)), lambda k: list_max(list_slice({row}, 1, k)))"
+    start = f"list_transform(range(1, CAST(length({b}) + 1 AS BIGINT)), lambda j: 0)"
+    return f"coalesce(list_reduce(list_transform({signs(a)}, lambda c: [c]), lambda acc, x: {best}, {start})[-1], 0)"
+
+
+def ratio(a: str, b: str) -> str:
+    return f"CASE WHEN length({a}) + length({b}) = 0 THEN 100.0 ELSE 200.0 * {lcs(a, b)} / (length({a}) + length({b})) END"
+
+
 POSTINGS = f"p AS ({postings_sql()})"
 KEYED = f"""{POSTINGS}, k AS (SELECT *, {chash()} AS content_hash, {url('url')} AS url_key, {company('company')} AS company_key,
   {title_key('title')} AS title_key, {location('location')} AS location_key FROM p)"""
 EARLIER = f"e AS ({earlier_sql()})"
 
+
+def similar(mine: str, theirs: str, threshold: float = 88) -> str:
+    """CTEs cp, tp and dup (posting_seq, duplicate_of, same_hash): all matches of two keyed tables."""
+    words = lambda c: f"array_to_string(list_sort(string_split({c}, ' ')), ' ')"
+    return f"""na AS MATERIALIZED (SELECT DISTINCT company_key AS a, {words('company_key')} AS aw FROM {mine} WHERE company_key <> ''),
+nb AS MATERIALIZED (SELECT DISTINCT company_key AS b, {words('company_key')} AS bw FROM {theirs} WHERE company_key <> ''),
+cp AS MATERIALIZED (SELECT a, b FROM na, nb WHERE a = b OR (length(a) >= 4 AND length(b) >= 4 AND (contains(a, b) OR contains(b, a))) OR {ratio('aw', 'bw')} >= 90),
+tp AS MATERIALIZED (SELECT a, b FROM (SELECT DISTINCT title_key AS a FROM {mine}), (SELECT DISTINCT title_key AS b FROM {theirs}) WHERE a = b OR {ratio('a', 'b')} >= {threshold}),
+dup AS MATERIALIZED (
+  SELECT m.posting_seq, t.posting_seq AS duplicate_of FROM {mine} m JOIN {theirs} t ON m.url_key = t.url_key WHERE m.url_key <> ''
+  UNION SELECT m.posting_seq, t.posting_seq FROM {mine} m JOIN {theirs} t ON m.source = t.source AND m.external_id = t.external_id WHERE m.source <> '' AND m.external_id <> ''
+  UNION SELECT m.posting_seq, t.posting_seq FROM {mine} m JOIN cp ON cp.a = m.company_key JOIN {theirs} t ON t.company_key = cp.b JOIN tp ON tp.a = m.title_key AND tp.b = t.title_key
+    WHERE m.location_key = '' OR t.location_key = '' OR m.location_key = 'remoto' OR t.location_key = 'remoto' OR lower(m.work_mode) = 'remote' OR lower(t.work_mode) = 'remote'
+      OR contains(m.location_key, t.location_key) OR contains(t.location_key, m.location_key))"""
+
+
+def keyed(name: str, source: str) -> str:
+    return f"""{name} AS MATERIALIZED (SELECT *, {chash()} AS content_hash, {url('url')} AS url_key, {company('company')} AS company_key,
+  {title_key('title')} AS title_key, {location('location')} AS location_key FROM {source})"""
+
 AGE = f"CASE WHEN published_at < {NOW} - INTERVAL 60 DAY THEN concat('published_', CAST(floor((epoch_us({NOW}) - epoch_us(published_at)) / 86400000000.0) AS BIGINT), '_days_ago (limit: 60)') END"
 CLOSED = "CASE " + " ".join(f"WHEN {has("lower(concat_ws(' ', title, description))", p)} THEN {q('closure_signal: ' + p)}" for p in R.CLOSURE) + " END"
 FRESH = f"""f AS (SELECT *, age IS NOT NULL OR closed IS NOT NULL AS is_ghost,

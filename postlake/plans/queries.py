@@ -203,7 +203,10 @@ def d1_admitted(spark: SparkSession, d: str) -> DataFrame:
     return clusters.admitted(dedup.with_keys(A.postings(spark, d)))
 
 
-@query("d4_duplicate_clusters")
+@query("d4_duplicate_clusters", f"""WITH RECURSIVE {O.POSTINGS}, {O.keyed('k', 'p')}, {O.similar('k', 'k')},
+cc(id, low) USING KEY (id) AS (SELECT posting_seq, posting_seq FROM k UNION
+  SELECT dup.duplicate_of, min(u.low) FROM cc u JOIN dup ON dup.posting_seq = u.id JOIN recurring.cc v ON v.id = dup.duplicate_of WHERE u.low < v.low GROUP BY 1)
+SELECT id AS posting_seq, low AS cluster_id, count(*) OVER (PARTITION BY low) AS cluster_size FROM cc""")
 def d4(spark: SparkSession, d: str) -> DataFrame:
     return clusters.duplicate_clusters(dedup.with_keys(A.postings(spark, d)))
 
@@ -229,7 +232,10 @@ def j2(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("posting_seq % 2 = 1").join(known, "content_hash").select("posting_seq", "known")
 
 
-@query("j3_fuzzy_duplicates")
+_HALVES = f"""{O.POSTINGS}, {O.keyed('k', 'p')}, mine AS MATERIALIZED (SELECT * FROM k WHERE posting_seq % 2 = 1), theirs AS MATERIALIZED (SELECT * FROM k WHERE posting_seq % 2 = 0), {O.similar('mine', 'theirs')}"""
+
+
+@query("j3_fuzzy_duplicates", f"WITH {_HALVES} SELECT posting_seq, max(duplicate_of) AS duplicate_of FROM dup GROUP BY posting_seq")
 def j3(spark: SparkSession, d: str) -> DataFrame:
     rows = dedup.with_keys(A.postings(spark, d))
     return dedup.fuzzy_duplicates(rows.where("posting_seq % 2 = 1"), rows.where("posting_seq % 2 = 0"))
@@ -366,7 +372,19 @@ def s10(spark: SparkSession, d: str) -> DataFrame:
     return feeds.parse_html_cards(A.table(spark, d, "pages").select(F.lit("pages").alias("source"), "url", F.col("html").alias("payload")))
 
 
-@query("t1_run_batch")
+# what a batch of odd postings makes of each, against an earlier version of even ones; verdicts has a row a posting
+_RUN = f"""{O.POSTINGS}, {O.EARLIER}, {O.FRESH}, {O.keyed('mine', "(SELECT * FROM f WHERE posting_seq % 2 = 1)")}, {O.keyed('theirs', "(SELECT * FROM e WHERE posting_seq % 2 = 0)")}, {O.similar('mine', 'theirs')},
+firsts AS (SELECT content_hash, min(posting_seq) AS first_seq FROM mine WHERE NOT is_ghost GROUP BY content_hash),
+verdicts AS MATERIALIZED (SELECT m.*, CASE WHEN is_ghost THEN 'ghost' WHEN posting_seq <> first_seq THEN 'dup_in_batch'
+    WHEN content_hash IN (SELECT content_hash FROM theirs) OR posting_seq IN (SELECT posting_seq FROM dup) THEN 'dup_history' ELSE 'open' END AS verdict,
+  CASE WHEN is_ghost THEN ghost_reason WHEN posting_seq <> first_seq OR content_hash IN (SELECT content_hash FROM theirs) THEN 'same_content_hash' ELSE 'similar' END AS why
+  FROM mine m LEFT JOIN firsts USING (content_hash)),
+judged AS MATERIALIZED (SELECT *, {_VALID} AS discard_reason FROM {O.ranked(f"(SELECT * FROM (SELECT * FROM verdicts WHERE verdict = 'open') v, ({A.profiles_sql()}) pr)")} r),
+run AS (SELECT posting_seq, CAST(NULL AS INT) AS profile_id, verdict AS outcome, why AS reason, CAST(NULL AS INT) AS score FROM verdicts WHERE verdict <> 'open'
+  UNION ALL SELECT posting_seq, profile_id, CASE WHEN discard_reason = 'valid' THEN 'new' ELSE 'invalid' END, discard_reason, CASE WHEN discard_reason = 'valid' THEN score END FROM judged)"""
+
+
+@query("t1_run_batch", f"WITH {_RUN} SELECT * FROM run")
 def t1(spark: SparkSession, d: str) -> DataFrame:
     history = dedup.with_keys(A.earlier_postings(spark, d).where("posting_seq % 2 = 0"))
     return cycle.run_batch(A.postings(spark, d).where("posting_seq % 2 = 1"), history, A.profiles(spark), A.as_of())
