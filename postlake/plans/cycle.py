@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from postlake.operators import dedup, freshness, ranking, validation
@@ -10,32 +12,57 @@ from postlake.plans.stages import staged
 from postlake.sources.adapters import small
 
 
-def run_batch(incoming: DataFrame, history: DataFrame, profiles: DataFrame, as_of: Column, max_days: int = 60) -> DataFrame:
-    """(posting_seq, profile_id, outcome, reason, score) of each incoming posting for each profile.
+@dataclass
+class Judged:
+    """A batch between the stages: ``marked`` has all postings, ``known`` those that history has (``duplicate_of``, ``same_hash``), ``scored`` the rest for each profile."""
 
-    Outcomes: ghost, dup_in_batch, dup_history, invalid, new. In the batch the first posting of a
-    content hash stays. History must have the columns of `dedup.with_keys`. Profiles are broadcast up to a checked number.
+    marked: DataFrame
+    known: DataFrame
+    scored: DataFrame
+    counts: dict[str, Observation]
+
+
+def judge(incoming: DataFrame, history: DataFrame, profiles: DataFrame, as_of: Column, max_days: int = 60) -> Judged:
+    """Freshness, deduplication, validation and ranking of a batch; see `run_batch`.
+
+    What the stages hold is counted while they are written, without another pass.
     """
     rows = dedup.with_keys(freshness.freshness(incoming, as_of, max_days))
     fresh = rows.where("not is_ghost")
     first = fresh.groupBy("content_hash").agg(F.min("posting_seq").alias("first_seq"))
     marked = rows.join(first, "content_hash", "left").withColumn("_dup", ~F.col("is_ghost") & (F.col("posting_seq") != F.col("first_seq")))
-    marked = staged(marked, "cycle-marked")
+    counts = {k: Observation() for k in ("marked", "known")}
+    found = F.count(F.lit(1)).alias("found"), F.count_if("is_ghost").alias("ghosts"), F.count_if("_dup").alias("dup_in_batch")
+    marked = staged(marked.observe(counts["marked"], *found), "cycle-marked")
     candidates = marked.where("not is_ghost and not _dup")
     history = staged(history, "cycle-history")
-    known = history.select("content_hash").distinct().withColumn("_known", F.lit(True))
-    exact = candidates.join(known, "content_hash", "left")
-    fuzzy = dedup.fuzzy_duplicates(exact.where("_known is null"), history).withColumnRenamed("duplicate_of", "_like")
-    judged = exact.join(fuzzy, "posting_seq", "left").withColumn("_old", F.col("_known").isNotNull() | F.col("_like").isNotNull())
-    judged = staged(judged, "cycle-judged")
-    unseen = ranking.with_signals(validation.with_signals(judged.where("not _old")))
+    same = history.groupBy("content_hash").agg(F.max("posting_seq").alias("_same"))
+    exact = candidates.join(same, "content_hash", "left")
+    fuzzy = dedup.fuzzy_duplicates(exact.where("_same is null"), history).withColumnRenamed("duplicate_of", "_like")
+    judged = exact.join(fuzzy, "posting_seq", "left").withColumns({"duplicate_of": F.coalesce("_same", "_like"), "same_hash": F.col("_same").isNotNull()}).drop("_same", "_like")
+    judged = staged(judged.observe(counts["known"], F.count_if(F.col("duplicate_of").isNotNull()).alias("dup_history")), "cycle-judged")
+    unseen = ranking.with_signals(validation.with_signals(judged.where("duplicate_of is null").drop("duplicate_of", "same_hash")))
     scored = ranking.rank(validation.validate(unseen.crossJoin(small(profiles))), as_of)
+    return Judged(marked, judged.where("duplicate_of is not null"), scored, counts)
+
+
+def run_batch(incoming: DataFrame, history: DataFrame, profiles: DataFrame, as_of: Column, max_days: int = 60) -> DataFrame:
+    """(posting_seq, profile_id, outcome, reason, score) of each incoming posting for each profile.
+
+    Outcomes: ghost, dup_in_batch, dup_history, invalid, new. In the batch the first posting of a
+    content hash stays. History must have the columns of `dedup.with_keys`. Profiles are broadcast up to a checked number.
+    """
+    return outcomes_of(judge(incoming, history, profiles, as_of, max_days))
+
+
+def outcomes_of(batch: Judged) -> DataFrame:
+    """The rows of `run_batch`."""
     out = lambda df, outcome, reason: df.select("posting_seq", F.lit(None).cast("int").alias("profile_id"), F.lit(outcome).alias("outcome"), reason.alias("reason"), F.lit(None).cast("int").alias("score"))
-    judged_rows = scored.select("posting_seq", "profile_id", F.when(F.col("is_valid"), "new").otherwise("invalid").alias("outcome"), F.col("discard_reason").alias("reason"), F.when(F.col("is_valid"), F.col("score")).alias("score"))
+    judged_rows = batch.scored.select("posting_seq", "profile_id", F.when(F.col("is_valid"), "new").otherwise("invalid").alias("outcome"), F.col("discard_reason").alias("reason"), F.when(F.col("is_valid"), F.col("score")).alias("score"))
     return (
-        out(marked.where("is_ghost"), "ghost", F.col("ghost_reason"))
-        .unionByName(out(marked.where("_dup"), "dup_in_batch", F.lit("same_content_hash")))
-        .unionByName(out(judged.where("_old"), "dup_history", F.when(F.col("_known").isNotNull(), "same_content_hash").otherwise("similar")))
+        out(batch.marked.where("is_ghost"), "ghost", F.col("ghost_reason"))
+        .unionByName(out(batch.marked.where("_dup"), "dup_in_batch", F.lit("same_content_hash")))
+        .unionByName(out(batch.known, "dup_history", F.when(F.col("same_hash"), "same_content_hash").otherwise("similar")))
         .unionByName(judged_rows)
     )
 

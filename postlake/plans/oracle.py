@@ -124,17 +124,17 @@ KEYED = f"""{POSTINGS}, k AS (SELECT *, {chash()} AS content_hash, {url('url')}
 EARLIER = f"e AS ({earlier_sql()})"
 
 
-def similar(mine: str, theirs: str, threshold: float = 88) -> str:
-    """CTEs cp, tp and dup (posting_seq, duplicate_of, same_hash): all matches of two keyed tables."""
+def similar(mine: str, theirs: str, tag: str = "", threshold: float = 88) -> str:
+    """CTEs cp, tp and dup (posting_seq, duplicate_of): all matches of two keyed tables."""
     words = lambda c: f"array_to_string(list_sort(string_split({c}, ' ')), ' ')"
-    return f"""na AS MATERIALIZED (SELECT DISTINCT company_key AS a, {words('company_key')} AS aw FROM {mine} WHERE company_key <> ''),
-nb AS MATERIALIZED (SELECT DISTINCT company_key AS b, {words('company_key')} AS bw FROM {theirs} WHERE company_key <> ''),
-cp AS MATERIALIZED (SELECT a, b FROM na, nb WHERE a = b OR (length(a) >= 4 AND length(b) >= 4 AND (contains(a, b) OR contains(b, a))) OR {ratio('aw', 'bw')} >= 90),
-tp AS MATERIALIZED (SELECT a, b FROM (SELECT DISTINCT title_key AS a FROM {mine}), (SELECT DISTINCT title_key AS b FROM {theirs}) WHERE a = b OR {ratio('a', 'b')} >= {threshold}),
-dup AS MATERIALIZED (
+    return f"""na{tag} AS MATERIALIZED (SELECT DISTINCT company_key AS a, {words('company_key')} AS aw FROM {mine} WHERE company_key <> ''),
+nb{tag} AS MATERIALIZED (SELECT DISTINCT company_key AS b, {words('company_key')} AS bw FROM {theirs} WHERE company_key <> ''),
+cp{tag} AS MATERIALIZED (SELECT a, b FROM na{tag}, nb{tag} WHERE a = b OR (length(a) >= 4 AND length(b) >= 4 AND (contains(a, b) OR contains(b, a))) OR {ratio('aw', 'bw')} >= 90),
+tp{tag} AS MATERIALIZED (SELECT a, b FROM (SELECT DISTINCT title_key AS a FROM {mine}), (SELECT DISTINCT title_key AS b FROM {theirs}) WHERE a = b OR {ratio('a', 'b')} >= {threshold}),
+dup{tag} AS MATERIALIZED (
   SELECT m.posting_seq, t.posting_seq AS duplicate_of FROM {mine} m JOIN {theirs} t ON m.url_key = t.url_key WHERE m.url_key <> ''
   UNION SELECT m.posting_seq, t.posting_seq FROM {mine} m JOIN {theirs} t ON m.source = t.source AND m.external_id = t.external_id WHERE m.source <> '' AND m.external_id <> ''
-  UNION SELECT m.posting_seq, t.posting_seq FROM {mine} m JOIN cp ON cp.a = m.company_key JOIN {theirs} t ON t.company_key = cp.b JOIN tp ON tp.a = m.title_key AND tp.b = t.title_key
+  UNION SELECT m.posting_seq, t.posting_seq FROM {mine} m JOIN cp{tag} cp ON cp.a = m.company_key JOIN {theirs} t ON t.company_key = cp.b JOIN tp{tag} tp ON tp.a = m.title_key AND tp.b = t.title_key
     WHERE m.location_key = '' OR t.location_key = '' OR m.location_key = 'remoto' OR t.location_key = 'remoto' OR lower(m.work_mode) = 'remote' OR lower(t.work_mode) = 'remote'
       OR contains(m.location_key, t.location_key) OR contains(t.location_key, m.location_key))"""
 
@@ -145,11 +145,15 @@ def keyed(name: str, source: str) -> str:
 
 AGE = f"CASE WHEN published_at < {NOW} - INTERVAL 60 DAY THEN concat('published_', CAST(floor((epoch_us({NOW}) - epoch_us(published_at)) / 86400000000.0) AS BIGINT), '_days_ago (limit: 60)') END"
 CLOSED = "CASE " + " ".join(f"WHEN {has("lower(concat_ws(' ', title, description))", p)} THEN {q('closure_signal: ' + p)}" for p in R.CLOSURE) + " END"
-FRESH = f"""f AS (SELECT *, age IS NOT NULL OR closed IS NOT NULL AS is_ghost,
+def fresh(name: str, source: str) -> str:
+    return f"""{name} AS (SELECT *, age IS NOT NULL OR closed IS NOT NULL AS is_ghost,
   CASE WHEN age IS NOT NULL THEN 'potential_ghost' WHEN closed IS NOT NULL THEN 'closed' ELSE 'active' END AS status,
   coalesce(age, closed, '') AS ghost_reason,
   CASE WHEN published_at IS NULL THEN 'unknown_date' WHEN age IS NOT NULL THEN 'expired' ELSE 'verified' END AS date_status
-  FROM (SELECT *, {AGE} AS age, {CLOSED} AS closed FROM p))"""
+  FROM (SELECT *, {AGE} AS age, {CLOSED} AS closed FROM {source}))"""
+
+
+FRESH = fresh("f", "p")
 PAIRS = f"{POSTINGS}, {FRESH}, pairs AS (SELECT * FROM f, ({profiles_sql()}) pr)"
 
 LOW = "list_transform({0}, lambda x: lower(trim(x)))"

@@ -249,20 +249,30 @@ def versions(spark: SparkSession, d: str) -> DataFrame:
 
 
 _LOWS = "lower(trim({0}))"
-_C6 = f"""WITH {O.POSTINGS}, {O.EARLIER}, v AS (SELECT e.posting_seq, e.salary_min AS o1, p.salary_min AS n1, e.salary_max AS o2, p.salary_max AS n2, e.work_mode AS o3, p.work_mode AS n3,
-  e.location AS o4, p.location AS n4, e.status AS o5, 'active' AS n5, trim(e.description) AS o6, trim(p.description) AS n6, e.published_at AS o7, p.published_at AS n7 FROM e JOIN p USING (posting_seq)),
-c AS (
-SELECT posting_seq, 'salary_min' AS field_name, CAST(o1 AS VARCHAR) AS old_value, CAST(n1 AS VARCHAR) AS new_value, 'salary_update' AS change_type FROM v WHERE o1 IS DISTINCT FROM n1
-UNION ALL SELECT posting_seq, 'salary_max', CAST(o2 AS VARCHAR), CAST(n2 AS VARCHAR), 'salary_update' FROM v WHERE o2 IS DISTINCT FROM n2
-UNION ALL SELECT posting_seq, 'work_mode', lower(trim(o3)), lower(trim(n3)), 'work_mode_update' FROM v WHERE trim(o3) <> '' AND trim(n3) <> '' AND lower(trim(o3)) <> lower(trim(n3))
-UNION ALL SELECT posting_seq, 'location', o4, n4, 'location_update' FROM v WHERE trim(o4) <> '' AND trim(n4) <> '' AND lower(trim(o4)) <> lower(trim(n4))
-UNION ALL SELECT posting_seq, 'status', o5, n5, 'status_update' FROM v WHERE o5 <> n5
-UNION ALL SELECT posting_seq, 'description', concat('Tamanho anterior: ', length(o6), ' caracteres'), concat('Novo tamanho: ', length(n6), ' caracteres'), 'description_update' FROM v
+def changes_sql(c: str, v: str) -> str:
+    """A CTE of changes, of one whose rows have posting_seq and old and new values o1 to o7 and n1 to n7."""
+    return f"""{c} AS (
+SELECT posting_seq, 'salary_min' AS field_name, CAST(o1 AS VARCHAR) AS old_value, CAST(n1 AS VARCHAR) AS new_value, 'salary_update' AS change_type FROM {v} WHERE o1 IS DISTINCT FROM n1
+UNION ALL SELECT posting_seq, 'salary_max', CAST(o2 AS VARCHAR), CAST(n2 AS VARCHAR), 'salary_update' FROM {v} WHERE o2 IS DISTINCT FROM n2
+UNION ALL SELECT posting_seq, 'work_mode', lower(trim(o3)), lower(trim(n3)), 'work_mode_update' FROM {v} WHERE trim(o3) <> '' AND trim(n3) <> '' AND lower(trim(o3)) <> lower(trim(n3))
+UNION ALL SELECT posting_seq, 'location', o4, n4, 'location_update' FROM {v} WHERE trim(o4) <> '' AND trim(n4) <> '' AND lower(trim(o4)) <> lower(trim(n4))
+UNION ALL SELECT posting_seq, 'status', o5, n5, 'status_update' FROM {v} WHERE o5 <> n5
+UNION ALL SELECT posting_seq, 'description', concat('Tamanho anterior: ', length(o6), ' caracteres'), concat('Novo tamanho: ', length(n6), ' caracteres'), 'description_update' FROM {v}
   WHERE o6 <> '' AND n6 <> '' AND o6 <> n6 AND (abs(length(n6) - length(o6)) > 80 OR abs(length(n6) - length(o6)) / greatest(length(o6), 1) > 0.2)
-UNION ALL SELECT posting_seq, 'published_at', strftime(o7, '%Y-%m-%d %H:%M:%S'), strftime(n7, '%Y-%m-%d %H:%M:%S'), 'date_update' FROM v WHERE o7 <> n7)
+UNION ALL SELECT posting_seq, 'published_at', strftime(o7, '%Y-%m-%d %H:%M:%S'), strftime(n7, '%Y-%m-%d %H:%M:%S'), 'date_update' FROM {v} WHERE o7 <> n7)
 """
 
 
+def versions_sql(o: str, n: str, new_status: str) -> str:
+    names = ["salary_min", "salary_max", "work_mode", "location", "status", "description", "published_at"]
+    value = lambda t, c: f"trim({t}.{c})" if c == "description" else f"{t}.{c}"
+    return ", ".join(f"{value(o, c)} AS o{k}, {new_status if c == 'status' else value(n, c)} AS n{k}" for k, c in enumerate(names, 1))
+
+
+_C6 = f"""WITH {O.POSTINGS}, {O.EARLIER}, v AS (SELECT e.posting_seq, {versions_sql('e', 'p', "'active'")} FROM e JOIN p USING (posting_seq)),
+{changes_sql('c', 'v')}"""
+
+
 @query("c6_changelog", _C6 + "SELECT * FROM c")
 def c6(spark: SparkSession, d: str) -> DataFrame:
     return changes.changelog(versions(spark, d))
@@ -372,16 +382,23 @@ def s10(spark: SparkSession, d: str) -> DataFrame:
     return feeds.parse_html_cards(A.table(spark, d, "pages").select(F.lit("pages").alias("source"), "url", F.col("html").alias("payload")))
 
 
-# what a batch of odd postings makes of each, against an earlier version of even ones; verdicts has a row a posting
-_RUN = f"""{O.POSTINGS}, {O.EARLIER}, {O.FRESH}, {O.keyed('mine', "(SELECT * FROM f WHERE posting_seq % 2 = 1)")}, {O.keyed('theirs', "(SELECT * FROM e WHERE posting_seq % 2 = 0)")}, {O.similar('mine', 'theirs')},
-firsts AS (SELECT content_hash, min(posting_seq) AS first_seq FROM mine WHERE NOT is_ghost GROUP BY content_hash),
-verdicts AS MATERIALIZED (SELECT m.*, CASE WHEN is_ghost THEN 'ghost' WHEN posting_seq <> first_seq THEN 'dup_in_batch'
-    WHEN content_hash IN (SELECT content_hash FROM theirs) OR posting_seq IN (SELECT posting_seq FROM dup) THEN 'dup_history' ELSE 'open' END AS verdict,
-  CASE WHEN is_ghost THEN ghost_reason WHEN posting_seq <> first_seq OR content_hash IN (SELECT content_hash FROM theirs) THEN 'same_content_hash' ELSE 'similar' END AS why
-  FROM mine m LEFT JOIN firsts USING (content_hash)),
-judged AS MATERIALIZED (SELECT *, {_VALID} AS discard_reason FROM {O.ranked(f"(SELECT * FROM (SELECT * FROM verdicts WHERE verdict = 'open') v, ({A.profiles_sql()}) pr)")} r),
-run AS (SELECT posting_seq, CAST(NULL AS INT) AS profile_id, verdict AS outcome, why AS reason, CAST(NULL AS INT) AS score FROM verdicts WHERE verdict <> 'open'
-  UNION ALL SELECT posting_seq, profile_id, CASE WHEN discard_reason = 'valid' THEN 'new' ELSE 'invalid' END, discard_reason, CASE WHEN discard_reason = 'valid' THEN score END FROM judged)"""
+def run_sql(source: str, history: str, tag: str = "") -> str:
+    """CTEs of a batch, what history and batch make of each posting: verdicts has a row a posting, run one a posting or a posting and profile."""
+    pairs_of = f"(SELECT * FROM (SELECT * FROM verdicts{tag} WHERE verdict = 'open') v, ({A.profiles_sql()}) pr)"
+    return f"""{O.fresh('f' + tag, source)}, {O.keyed('mine' + tag, 'f' + tag)}, {O.keyed('theirs' + tag, history)}, {O.similar('mine' + tag, 'theirs' + tag, tag)},
+firsts{tag} AS (SELECT content_hash, min(posting_seq) AS first_seq FROM mine{tag} WHERE NOT is_ghost GROUP BY content_hash),
+same{tag} AS (SELECT content_hash, max(posting_seq) AS same_of FROM theirs{tag} GROUP BY content_hash),
+likes{tag} AS (SELECT posting_seq, max(duplicate_of) AS like_of FROM dup{tag} GROUP BY posting_seq),
+verdicts{tag} AS MATERIALIZED (SELECT m.*, coalesce(same_of, like_of) AS duplicate_of,
+  CASE WHEN is_ghost THEN 'ghost' WHEN posting_seq <> first_seq THEN 'dup_in_batch' WHEN same_of IS NOT NULL OR like_of IS NOT NULL THEN 'dup_history' ELSE 'open' END AS verdict,
+  CASE WHEN is_ghost THEN ghost_reason WHEN posting_seq <> first_seq OR same_of IS NOT NULL THEN 'same_content_hash' ELSE 'similar' END AS why
+  FROM mine{tag} m LEFT JOIN firsts{tag} USING (content_hash) LEFT JOIN same{tag} USING (content_hash) LEFT JOIN likes{tag} USING (posting_seq)),
+judged{tag} AS MATERIALIZED (SELECT *, {_VALID} AS discard_reason FROM {O.ranked(pairs_of)} r),
+run{tag} AS (SELECT posting_seq, CAST(NULL AS INT) AS profile_id, verdict AS outcome, why AS reason, CAST(NULL AS INT) AS score FROM verdicts{tag} WHERE verdict <> 'open'
+  UNION ALL SELECT posting_seq, profile_id, CASE WHEN discard_reason = 'valid' THEN 'new' ELSE 'invalid' END, discard_reason, CASE WHEN discard_reason = 'valid' THEN score END FROM judged{tag})"""
+
+
+_RUN = f"{O.POSTINGS}, {O.EARLIER}, {run_sql('(SELECT * FROM p WHERE posting_seq % 2 = 1)', '(SELECT * FROM e WHERE posting_seq % 2 = 0)')}"
 
 
 @query("t1_run_batch", f"WITH {_RUN} SELECT * FROM run")

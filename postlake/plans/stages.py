@@ -5,17 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write a stage to the folder of ``spark.checkpoint.dir``, which executors share, and read it again.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of ``spark.checkpoint.dir``, which executors share.
 
     A session in local mode that names none (as in tests) gets a temporary folder; on a cluster that is an error.
     """
-    spark = df.sparkSession
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     master = spark.sparkContext.master
     if not base and master != "local" and not master.startswith("local["):
@@ -23,6 +22,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     if not base:
         base = _LOCAL.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         _LOCAL[spark.sparkContext.applicationId] = base
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write a stage to the shared folder and read it again."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
