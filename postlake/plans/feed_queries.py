@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postlake.functions import text
-from postlake.operators import dedup, freshness, outcomes, ranking
+from postlake.operators import breaker, dedup, freshness, outcomes, ranking
 from postlake.operators.views import top_per
 from postlake.plans import cycle
 from postlake.plans import oracle as O
@@ -88,7 +88,7 @@ LEFT JOIN (SELECT h.source, arg_max(h.state, (e.ts, e.event_id)) AS state FROM (
 def j15(spark: SparkSession, d: str) -> DataFrame:
     listed = A.table(spark, d, "documents").select(F.concat(F.lit("src"), (F.col("doc_id") % 20).cast("string")).alias("source")).distinct()
     events = attempts(spark, d)
-    health = streams.source_health(events).select("source", "event_id", "state").join(events.select("event_id", "ts"), "event_id")
+    health = breaker.source_health(events).select("source", "event_id", "state").join(events.select("event_id", "ts"), "event_id")
     last = health.groupBy("source").agg(F.max_by("state", F.struct("ts", "event_id")).alias("state"))
     return listed.join(last, "source", "left").select("source", F.coalesce("state", F.lit("CLOSED")).alias("state"))
 

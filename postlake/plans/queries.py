@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlake.functions import text
-from postlake.operators import changes, clusters, dedup, freshness, maintenance, ranking, validation, views
+from postlake.operators import breaker, changes, clusters, dedup, freshness, maintenance, ranking, validation, views
 from postlake.plans import cycle
 from postlake.plans import oracle as O
 from postlake.sources import adapters as A
@@ -351,7 +351,7 @@ s AS (SELECT source, event_id, n, ok, 'CLOSED' AS tried_in, 'CLOSED' AS state, C
   FROM (SELECT e.*, s.failures, s.until, CASE WHEN s.state = 'OPEN' AND e.ts >= s.until THEN 'HALF_OPEN' ELSE s.state END AS tried_in FROM e JOIN s ON e.source = s.source AND e.n = s.n + 1) x)
 SELECT source, event_id, ok, tried_in, state, failures FROM s""")
 def t5(spark: SparkSession, d: str) -> DataFrame:
-    return streams.source_health(attempts(spark, d))
+    return breaker.source_health(attempts(spark, d))
 
 
 @query("s1_json_feed", f"WITH {O.POSTINGS} SELECT source, CAST(posting_seq AS VARCHAR) AS external_id, title, company, url, salary_min FROM p")

@@ -1,10 +1,7 @@
-"""The search cycle as streams: continuous deduplication, digests and the health of sources."""
+"""The search cycle as streams: continuous deduplication, windowed counts, digests and the continuous run."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,9 +10,6 @@ from postlake.operators import dedup, maintenance
 from postlake.plans import cycle
 from postlake.plans.stages import staged
 
-HEALTH = "source string, event_id long, ok boolean, tried_in string, state string, failures int"
-
-
 def new_postings(stream: DataFrame, delay: str = "7 days") -> DataFrame:
     """Postings whose content hash didn't occur within the delay: state is bounded by the watermark."""
     return stream.withWatermark("discovered_at", delay).dropDuplicatesWithinWatermark(["content_hash"])
@@ -41,46 +35,6 @@ def digests(rows: DataFrame, window: str = "1 day", delay: str = "1 day") -> Dat
     )
 
 
-def step(state: str, failures: int, until: float, ok: bool, now: float, threshold: int, recovery: float) -> tuple[str, str, int, float]:
-    """One attempt at a source: the state in which it was made, then state, failures and end of the rest after it.
-
-    While an open breaker rests, attempts are refused and change nothing. The first one after the rest is made half
-    open; success closes the breaker, and failure, half open or at the threshold, opens it.
-    """
-    if state == "OPEN":
-        if now < until:
-            return state, state, failures, until
-        state = "HALF_OPEN"
-    if ok:
-        return state, "CLOSED", 0, 0.0
-    failures += 1
-    if state == "HALF_OPEN" or failures >= threshold:
-        return state, "OPEN", failures, now + recovery
-    return state, state, failures, until
-
-
-def source_health(events: DataFrame, threshold: int = 3, recovery: float = 300.0) -> DataFrame:
-    """The breaker's states at and after each attempt (source, event_id, ts, ok), in order of time and id.
-
-    The attempts of a source are walked in order across batches; sources are dealt over
-    tasks by hash and sorted by Spark, so no source is held whole.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        source, now = None, ("CLOSED", 0, 0.0)
-        for batch in batches:
-            rows = []
-            for s, e, t, ok in zip(batch["source"], batch["event_id"], batch["t"], batch["ok"], strict=True):
-                if s != source:
-                    source, now = s, ("CLOSED", 0, 0.0)
-                tried, *now = step(*now, ok, t, threshold, recovery)
-                rows.append((s, e, ok, tried, now[0], now[1]))
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in HEALTH.split(", ")])
-
-    timed = events.select("source", "event_id", (F.unix_micros("ts") / 1e6).alias("t"), "ok")
-    return timed.repartition("source").sortWithinPartitions("source", "t", "event_id").mapInPandas(run, HEALTH)
-
-
 def continuous_cycle(
     stream: DataFrame, history: DataFrame, profiles: DataFrame, channels: DataFrame, as_of: Column, store: str, *, checkpoint: str, max_days: int = 60, **trigger
 ) -> StreamingQuery:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postlake.functions import text
-from postlake.operators import changes, dedup, freshness, maintenance
+from postlake.operators import breaker, changes, dedup, freshness, maintenance
 from postlake.plans import cycle
 from postlake.sources import adapters as A
 from postlake.sources import feeds
@@ -101,19 +101,19 @@ def test_feedback(spark):
 
 
 def test_breaker():
-    s = streams.step("CLOSED", 0, 0.0, False, 0.0, 2, 60)[1:]
+    s = breaker.step("CLOSED", 0, 0.0, False, 0.0, 2, 60)[1:]
     assert s[0] == "CLOSED"
-    s = streams.step(*s, False, 1.0, 2, 60)[1:]
+    s = breaker.step(*s, False, 1.0, 2, 60)[1:]
     assert s[0] == "OPEN"
-    assert streams.step(*s, True, 30.0, 2, 60) == ("OPEN", "OPEN", 2, 61.0)  # refused while it rests
-    assert streams.step(*s, True, 90.0, 2, 60) == ("HALF_OPEN", "CLOSED", 0, 0.0)
-    assert streams.step(*s, False, 90.0, 2, 60) == ("HALF_OPEN", "OPEN", 3, 150.0)
+    assert breaker.step(*s, True, 30.0, 2, 60) == ("OPEN", "OPEN", 2, 61.0)  # refused while it rests
+    assert breaker.step(*s, True, 90.0, 2, 60) == ("HALF_OPEN", "CLOSED", 0, 0.0)
+    assert breaker.step(*s, False, 90.0, 2, 60) == ("HALF_OPEN", "OPEN", 3, 150.0)
 
 
 def test_rest_of_the_breaker_matters(spark):
     rows = [("s", k, dt.datetime(2024, 1, 1, 0, 0, 10 * k), k > 2) for k in range(5)]
     df = spark.createDataFrame(rows, "source string, event_id long, ts timestamp, ok boolean")
-    found = {r: [x["state"] for x in sorted(streams.source_health(df, recovery=r).collect(), key=lambda x: x["event_id"])] for r in (5.0, 300.0)}
+    found = {r: [x["state"] for x in sorted(breaker.source_health(df, recovery=r).collect(), key=lambda x: x["event_id"])] for r in (5.0, 300.0)}
     assert found == {5.0: ["CLOSED", "CLOSED", "OPEN", "CLOSED", "CLOSED"], 300.0: ["CLOSED", "CLOSED", "OPEN", "OPEN", "OPEN"]}
 
 
