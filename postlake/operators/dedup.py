@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -161,10 +162,10 @@ def company_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
 HISTORY_KIND = ("h_company", "h_title", "h_location", "h_mode")
 
 
-def slim(postings: DataFrame) -> DataFrame:
+def slim(postings: DataFrame, *more: str) -> DataFrame:
     """The columns that matching reads; a missing work mode counts as empty."""
     mode = F.lower(F.coalesce("work_mode", F.lit(""))).alias("mode")
-    return postings.select("posting_seq", "source", "external_id", "url_key", "company_key", "title_key", "location_key", mode)
+    return postings.select("posting_seq", "source", "external_id", "url_key", "company_key", "title_key", "location_key", mode, *more)
 
 
 def similar_kinds(mine: DataFrame, theirs: DataFrame, companies: DataFrame, threshold: float) -> DataFrame:
@@ -184,25 +185,54 @@ def similar_kinds(mine: DataFrame, theirs: DataFrame, companies: DataFrame, thre
     return met.join(theirs, ["h_company", "h_title"]).where(place)
 
 
-def fuzzy_duplicates(incoming: DataFrame, history: DataFrame, threshold: float = 0.88) -> DataFrame:
-    """(posting_seq, duplicate_of): for each incoming posting the matching one of history with the largest id.
+@dataclass
+class Known:
+    """What history has, with the largest id (``duplicate_of``) of each: by content_hash, url_key, source and external_id, and by kind.
 
-    Both sides have the columns of `with_keys` and work_mode. A match is an equal URL, or the same
-    source and external id, or matching companies with compatible places and similar titles.
+    ``names`` are its companies (company_key); ``kinds`` gives the kinds of at least the companies (h_company) that it is asked for.
     """
-    names = ("duplicate_of", "h_source", "h_external_id", "h_url", *HISTORY_KIND)
-    mine, theirs = staged(slim(incoming), "fuzzy-incoming"), staged(slim(history).toDF(*names), "fuzzy-history")  # keys are read several times
-    best = lambda df: df.groupBy("posting_seq").agg(F.max("duplicate_of").alias("duplicate_of"))
-    by_url = mine.where("url_key <> ''").join(theirs.groupBy(F.col("h_url").alias("url_key")).agg(F.max("duplicate_of").alias("duplicate_of")), "url_key")
-    ids = theirs.groupBy(F.col("h_source").alias("source"), F.col("h_external_id").alias("external_id")).agg(F.max("duplicate_of").alias("duplicate_of"))
-    by_id = mine.where("external_id <> '' and source <> ''").join(ids, ["source", "external_id"])
+
+    by_hash: DataFrame
+    by_url: DataFrame
+    by_id: DataFrame
+    names: DataFrame
+    kinds: Callable[[DataFrame], DataFrame]
+
+
+BY_ID = ["source", "external_id"]
+KIND = ["company_key", "title_key", "location_key", "mode"]
+
+
+def latest_of(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.max("posting_seq").alias("duplicate_of"))
+
+
+def known(history: DataFrame) -> Known:
+    """Of a table with the columns of `with_keys` and work_mode."""
+    rows = staged(slim(history, "content_hash"), "known-history")  # keys are read several times
     # of history postings alike in company, title, place and mode, only the latest can win
-    kinds = theirs.groupBy(*HISTORY_KIND).agg(F.max("duplicate_of").alias("duplicate_of"))
-    kind = ["company_key", "title_key", "location_key", "mode"]
-    pairs = company_pairs(mine, theirs.withColumnRenamed("h_company", "company_key"))
-    by_kind = similar_kinds(mine.select(*kind).distinct(), kinds, pairs, threshold).groupBy(*kind).agg(F.max("duplicate_of").alias("duplicate_of"))
-    every = [df.select("posting_seq", "duplicate_of") for df in (by_url, by_id, mine.join(by_kind, kind))]
-    return best(every[0].unionByName(every[1]).unionByName(every[2]))
+    kinds = latest_of(rows, *KIND).toDF(*HISTORY_KIND, "duplicate_of")
+    return Known(latest_of(rows, "content_hash"), latest_of(rows, "url_key"), latest_of(rows, *BY_ID), rows.select("company_key").distinct(), lambda _: kinds)
+
+
+def matches(incoming: DataFrame, history: Known, threshold: float = 0.88) -> DataFrame:
+    """(posting_seq, duplicate_of): for each incoming posting the matching one of history with the largest id.
+
+    A match is an equal URL, or the same source and external id, or matching companies with compatible places and similar titles.
+    """
+    mine = staged(slim(incoming), "fuzzy-incoming")
+    by_url = mine.where("url_key <> ''").join(history.by_url, "url_key")
+    by_id = mine.where("external_id <> '' and source <> ''").join(history.by_id, BY_ID)
+    pairs = staged(company_pairs(mine, history.names), "fuzzy-companies")
+    theirs = history.kinds(pairs.select(F.col("b").alias("h_company")).distinct())
+    by_kind = similar_kinds(mine.select(*KIND).distinct(), theirs, pairs, threshold).groupBy(*KIND).agg(F.max("duplicate_of").alias("duplicate_of"))
+    every = [df.select("posting_seq", "duplicate_of") for df in (by_url, by_id, mine.join(by_kind, KIND))]
+    return every[0].unionByName(every[1]).unionByName(every[2]).groupBy("posting_seq").agg(F.max("duplicate_of").alias("duplicate_of"))
+
+
+def fuzzy_duplicates(incoming: DataFrame, history: DataFrame, threshold: float = 0.88) -> DataFrame:
+    """`matches` with a table of history; both sides have the columns of `with_keys` and work_mode."""
+    return matches(incoming, known(history), threshold)
 
 
 def best_per_url(rows: DataFrame, *keys: str) -> DataFrame:

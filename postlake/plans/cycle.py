@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -22,10 +23,11 @@ class Judged:
     counts: dict[str, Observation]
 
 
-def judge(incoming: DataFrame, history: DataFrame, profiles: DataFrame, as_of: Column, max_days: int = 60) -> Judged:
+def judge(incoming: DataFrame, history: Callable[[DataFrame], dedup.Known], profiles: DataFrame, as_of: Column, max_days: int = 60) -> Judged:
     """Freshness, deduplication, validation and ranking of a batch; see `run_batch`.
 
-    What the stages hold is counted while they are written, without another pass.
+    ``history`` gives what is known that can match rows with the columns of `dedup.with_keys`. What the stages hold is counted
+    while they are written, without another pass.
     """
     rows = dedup.with_keys(freshness.freshness(incoming, as_of, max_days))
     fresh = rows.where("not is_ghost")
@@ -35,10 +37,9 @@ def judge(incoming: DataFrame, history: DataFrame, profiles: DataFrame, as_of: C
     found = F.count(F.lit(1)).alias("found"), F.count_if("is_ghost").alias("ghosts"), F.count_if("_dup").alias("dup_in_batch")
     marked = staged(marked.observe(counts["marked"], *found), "cycle-marked")
     candidates = marked.where("not is_ghost and not _dup")
-    history = staged(history, "cycle-history")
-    same = history.groupBy("content_hash").agg(F.max("posting_seq").alias("_same"))
-    exact = candidates.join(same, "content_hash", "left")
-    fuzzy = dedup.fuzzy_duplicates(exact.where("_same is null"), history).withColumnRenamed("duplicate_of", "_like")
+    known = history(candidates)
+    exact = candidates.join(known.by_hash.withColumnRenamed("duplicate_of", "_same"), "content_hash", "left")
+    fuzzy = dedup.matches(exact.where("_same is null"), known).withColumnRenamed("duplicate_of", "_like")
     judged = exact.join(fuzzy, "posting_seq", "left").withColumns({"duplicate_of": F.coalesce("_same", "_like"), "same_hash": F.col("_same").isNotNull()}).drop("_same", "_like")
     judged = staged(judged.observe(counts["known"], F.count_if(F.col("duplicate_of").isNotNull()).alias("dup_history")), "cycle-judged")
     unseen = ranking.with_signals(validation.with_signals(judged.where("duplicate_of is null").drop("duplicate_of", "same_hash")))
@@ -52,7 +53,7 @@ def run_batch(incoming: DataFrame, history: DataFrame, profiles: DataFrame, as_o
     Outcomes: ghost, dup_in_batch, dup_history, invalid, new. In the batch the first posting of a
     content hash stays. History must have the columns of `dedup.with_keys`. Profiles are broadcast up to a checked number.
     """
-    return outcomes_of(judge(incoming, history, profiles, as_of, max_days))
+    return outcomes_of(judge(incoming, lambda _: dedup.known(history), profiles, as_of, max_days))
 
 
 def outcomes_of(batch: Judged) -> DataFrame:

@@ -87,7 +87,7 @@ def run(store: Tables, run_id: str, incoming: DataFrame, profiles: DataFrame, as
         return done
     schema = _jobs_schema(incoming)
     jobs = store.read("jobs", schema)
-    batch = cycle.judge(incoming, jobs.where("status <> 'closed'"), profiles, as_of, max_days)
+    batch = cycle.judge(incoming, lambda _: dedup.known(jobs.where("status <> 'closed'")), profiles, as_of, max_days)
     batch.scored = staged(ranking.reasoned(batch.scored).select("posting_seq", "profile_id", "is_valid", "discard_reason", *_SCORES, F.slice("reasoning", 1, REASONS).alias("reasoning")), "scored")
     counted = {k: Observation() for k in ("new", "scored", "log")}
     fresh = staged(new_jobs(batch, schema, as_of).observe(counted["new"], F.count(F.lit(1)).alias("new")), "new-jobs")

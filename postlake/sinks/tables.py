@@ -62,10 +62,22 @@ class Tables:
             raise ValueError(f"no commit has a table {name}")
         return self._load((r for r in rows if r["bucket"] >= 0), StructType.fromJson(json.loads(rows[0]["schema"])) if rows else schema)
 
-    def commit(self, run_id: str, changes: dict[str, tuple[DataFrame, list[str]]]) -> int:
+    def lookup(self, name: str, among: DataFrame, schema: StructType) -> DataFrame:
+        """The rows of a table in the buckets that rows ``among`` fall in, by the table's bucket columns: all that can equal them, and few more.
+
+        Of the table only those buckets are read. A table that no commit has gives no rows of ``schema``.
+        """
+        rows = [r for r in self._newest() if r["name"] == name]
+        if not rows:
+            return self.spark.createDataFrame([], schema)
+        by, buckets = json.loads(rows[0]["keys"])["by"], next(r["folder"] for r in rows if r["bucket"] < 0)
+        wanted = {r["b"] for r in among.select(F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int").alias("b")).distinct().collect()}
+        return self._load((r for r in rows if r["bucket"] in wanted), StructType.fromJson(json.loads(rows[0]["schema"])))
+
+    def commit(self, run_id: str, changes: dict[str, tuple]) -> int:
         """Upsert rows by key into several tables at once: ``changes`` has, per table, rows and key columns, of which no two rows are equal.
 
-        Of a row with a known key the new one stays; columns that either lacks are null. Buckets without a change keep their folder.
+        Buckets go by the key, or by those of its columns that stand third. Of a row with a known key the new one stays; columns that either lacks are null. Buckets without a change keep their folder.
         A run that has committed already changes nothing. Returns the version that holds the run.
         """
         done = self.version_of(run_id)
@@ -76,11 +88,13 @@ class Tables:
         # a row of bucket -1 keeps the keys and schema of a table, be it empty
         places = {(r["name"], r["bucket"]): r["folder"] for r in now}
         shapes = {r["name"]: (r["keys"], r["schema"]) for r in now}
-        for name, (rows, keys) in changes.items():
+        for name, (rows, keys, *more) in changes.items():
+            by = more[0] if more else keys
+            shape = json.dumps({"keys": keys, "by": by})
             known = StructType.fromJson(json.loads(shapes[name][1])) if name in shapes else rows.schema
-            if name in shapes and json.loads(shapes[name][0]) != keys:
+            if name in shapes and shapes[name][0] != shape:
                 raise ValueError(f"the key of {name} is {shapes[name][0]}")
-            bucket = F.pmod(F.xxhash64(*keys), F.lit(self._buckets(places, name))).cast("int")
+            bucket = F.pmod(F.xxhash64(*by), F.lit(self._buckets(places, name))).cast("int")
             new = staged(rows.withColumn("bucket", bucket), f"{name}-changes")
             # at most the number of buckets
             touched = {r["bucket"] for r in new.select("bucket").distinct().collect()}
@@ -90,7 +104,7 @@ class Tables:
             merged = kept.unionByName(new, allowMissingColumns=True)
             merged.repartition(len(touched) or 1, "bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{self.path}/data/{name}/folder={version}")
             places |= {(name, b): version for b in touched} | {(name, -1): self._buckets(places, name)}
-            shapes[name] = json.dumps(keys), StructType([f for f in merged.schema.fields if f.name != "bucket"]).json()
+            shapes[name] = shape, StructType([f for f in merged.schema.fields if f.name != "bucket"]).json()
         rows = [(run_id, name, b, folder, *shapes[name], version) for (name, b), folder in places.items()]
         # one file, which is renamed into place
         self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.json(f"{self.path}/manifest/commit={version}")

@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from postlake.operators import dedup, maintenance
 from postlake.plans import cycle
 from postlake.plans.stages import staged
+from postlake.sinks.tables import Tables
+
+#: The key tables: keys of each, and those by which it is bucketed.
+KEY_TABLES = {
+    "by_hash": (["content_hash"], ["content_hash"]), "by_url": (["url_key"], ["url_key"]), "by_id": (dedup.BY_ID, dedup.BY_ID), "by_kind": (dedup.KIND, ["company_key"]),
+}
 
 def new_postings(stream: DataFrame, delay: str = "7 days") -> DataFrame:
     """Postings whose content hash didn't occur within the delay: state is bounded by the watermark."""
@@ -35,32 +42,49 @@ def digests(rows: DataFrame, window: str = "1 day", delay: str = "1 day") -> Dat
     )
 
 
-def continuous_cycle(
-    stream: DataFrame, history: DataFrame, profiles: DataFrame, channels: DataFrame, as_of: Column, store: str, *, checkpoint: str, max_days: int = 60, **trigger
-) -> StreamingQuery:
+def remember(store: Tables, postings: DataFrame) -> dict[str, tuple]:
+    """Changes that add postings, with the columns of `dedup.with_keys`, to the key tables that `recalled` reads.
+
+    Each has the largest id of a key; of the tables, only buckets of the postings' own keys are read.
+    """
+    rows = staged(dedup.slim(postings, "content_hash"), "remembered")
+    changes = {}
+    for name, (keys, by) in KEY_TABLES.items():
+        own = dedup.latest_of(rows.where(" and ".join(f"{k} <> ''" for k in by)), *keys)
+        old = store.lookup(name, own.select(*by), own.schema).join(own.select(*keys), keys, "left_semi")
+        changes[name] = own.unionByName(old).groupBy(*keys).agg(F.max("duplicate_of").alias("duplicate_of")), keys, by
+    return changes | {"names": (rows.where("company_key <> ''").select("company_key").distinct(), ["company_key"])}
+
+
+def recalled(store: Tables, rows: DataFrame) -> dedup.Known:
+    """What the key tables hold that can match the rows: of each only the buckets that their keys fall in, and of companies the names."""
+    shape = lambda name: StructType.fromDDL(", ".join(f"{k} string" for k in KEY_TABLES[name][0]) + ", duplicate_of long")
+    find = lambda name: store.lookup(name, rows.select(*KEY_TABLES[name][1]), shape(name))
+    kinds = lambda companies: store.lookup("by_kind", companies.toDF("company_key"), shape("by_kind")).toDF(*dedup.HISTORY_KIND, "duplicate_of")
+    return dedup.Known(find("by_hash"), find("by_url"), find("by_id"), store.read("names", StructType.fromDDL("company_key string")), kinds)
+
+
+def continuous_cycle(stream: DataFrame, store: Tables, profiles: DataFrame, channels: DataFrame, as_of: Column, *, name: str, checkpoint: str, max_days: int = 60, **trigger) -> StreamingQuery:
     """Run the search cycle on each micro-batch of postings, and fill the outbox once for what is new.
 
-    Under ``store`` there are tables outcomes, history and outbox, with a folder a micro-batch. A batch sees the history
-    and the outbox of the batches before it alone and overwrites its own folders, so one that is run again after a
-    failure gives the same rows and sends nothing twice. ``history``, with the columns of `dedup.with_keys`, is
-    what is known before the first batch. What history takes are postings that were new for some profile.
+    ``store`` gets the tables outcomes (with the batch), outbox and the key tables, which are all that is kept of history; a
+    first commit of `remember` may fill them with postings known before. A batch reads the buckets of its own keys and the names of
+    companies, not what came before it, and commits all it gives at once under ``name`` and its number, so one that is run again
+    after a failure gives the same and sends nothing twice. What history takes are postings that were new for some profile.
     """
-    spark = stream.sparkSession
-    known = dedup.with_keys(stream).columns
-    history.select(*known).write.mode("ignore").parquet(f"{store}/history/batch=-1")
-    sent = "profile_id int, posting_seq long, channel string, score int"
-    spark.createDataFrame([], sent).write.mode("ignore").parquet(f"{store}/outbox/batch=-1")
-    columns = history.select(*known).schema
 
     def run(rows: DataFrame, batch: int) -> None:
-        read = lambda name, schema: spark.read.schema(schema).parquet(f"{store}/{name}").where(F.col("batch") < batch).drop("batch")
-        put = lambda df, name: df.write.mode("overwrite").parquet(f"{store}/{name}/batch={batch}")
-        rows = staged(rows, "cycle-incoming")
-        before = spark.read.parquet(f"{store}/history").where(F.col("batch") < batch).select(*[F.col(f.name).cast(f.dataType) for f in columns])
-        put(cycle.run_batch(rows, before, profiles, as_of, max_days), "outcomes")
-        new = spark.read.parquet(f"{store}/outcomes/batch={batch}").where("outcome = 'new'")
-        put(dedup.with_keys(rows).join(new.select("posting_seq").distinct(), "posting_seq", "left_semi").select(*known), "history")
-        log = read("outbox", sent + ", batch long").withColumn("status", F.lit("sent"))
-        put(maintenance.outbox(new.select("profile_id", "posting_seq", "score"), channels, log), "outbox")
+        run_id = f"{name}-{batch}"
+        if store.version_of(run_id) is not None:
+            return
+        judged = cycle.judge(staged(rows, "cycle-incoming"), lambda r: recalled(store, r), profiles, as_of, max_days)
+        found = staged(cycle.outcomes_of(judged).withColumn("batch", F.lit(batch)), "cycle-outcomes")
+        new = found.where("outcome = 'new'")
+        fresh = judged.marked.join(new.select("posting_seq").distinct(), "posting_seq", "left_semi")
+        key = ["profile_id", "posting_seq", "channel"]
+        sent = store.lookup("outbox", new.select("posting_seq"), StructType.fromDDL("profile_id int, posting_seq long, channel string, score int"))
+        due = maintenance.outbox(new.select("profile_id", "posting_seq", "score"), channels, sent.withColumn("status", F.lit("sent")))
+        tables = {"outcomes": (found, ["posting_seq", "profile_id", "batch"], ["posting_seq"]), "outbox": (due, key, ["posting_seq"])}
+        store.commit(run_id, tables | remember(store, fresh))
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

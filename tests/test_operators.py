@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from postlake.functions import text
 from postlake.operators import breaker, changes, dedup, freshness, maintenance
 from postlake.plans import cycle
+from postlake.sinks.tables import Tables
 from postlake.sources import adapters as A
 from postlake.sources import feeds
 from postlake.streaming import cycle as streams
@@ -240,21 +241,34 @@ def test_continuous_cycle(spark):
     for k in (0, 1):
         new.where(f"posting_seq % 4 = {1 + 2 * k}").coalesce(1).write.mode("append").parquet(f"{folder}/in")
 
+    store = Tables(spark, f"{folder}/store", buckets=64)
+    store.commit("before", streams.remember(store, history))
+
     def start(checkpoint):
         source = spark.readStream.schema(new.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-        run = streams.continuous_cycle(source, history, A.profiles(spark), channels, A.as_of(), f"{folder}/store", checkpoint=f"{folder}/{checkpoint}")
+        run = streams.continuous_cycle(source, store, A.profiles(spark), channels, A.as_of(), name="feed", checkpoint=f"{folder}/{checkpoint}")
         run.awaitTermination(300)
         assert run.exception() is None
-        return {name: sorted(map(str, spark.read.parquet(f"{folder}/store/{name}").collect())) for name in ("outcomes", "outbox", "history")}
+        return {name: sorted(map(str, store.read(name).collect())) for name in ("outcomes", "outbox", "by_hash", "by_kind", "names")}
 
     once = start("state")
-    out = spark.read.parquet(f"{folder}/store/outcomes")
+    out = store.read("outcomes")
     assert out.select("batch").distinct().count() == 2 and len(once["outbox"]) > 0
-    first = cycle.run_batch(new.where("posting_seq % 4 = 1"), history, A.profiles(spark), A.as_of())
-    batch = out.where("batch = 0").drop("batch")
-    if batch.first()["posting_seq"] % 4 == 1:
-        assert sorted(map(str, batch.collect())) == sorted(map(str, first.collect()))
-    sent = spark.read.parquet(f"{folder}/store/outbox").where("batch >= 0").groupBy("profile_id", "posting_seq", "channel").count()
+    halves = [new.where(f"posting_seq % 4 = {k}") for k in (1, 3)]
+    if out.where("batch = 0").first()["posting_seq"] % 4 == 3:
+        halves.reverse()
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    first = cycle.run_batch(halves[0], history, A.profiles(spark), A.as_of())
+    assert same(out.where("batch = 0").drop("batch").select(*first.columns), first)
+    # the second batch sees what the first one added, as if history had been read whole
+    added = dedup.with_keys(halves[0]).join(first.where("outcome = 'new'").select("posting_seq").distinct(), "posting_seq", "left_semi")
+    second = cycle.run_batch(halves[1], history.unionByName(added, allowMissingColumns=True), A.profiles(spark), A.as_of())
+    assert same(out.where("batch = 1").drop("batch").select(*second.columns), second)
+    sent = store.read("outbox").groupBy("profile_id", "posting_seq", "channel").count()
     assert sent.where("count > 1").count() == 0
     assert start("state") == once  # nothing new: nothing is sent
-    assert start("other-state") == once  # batches that are run again overwrite what they gave
+    assert start("other-state") == once  # batches that are run again change nothing
+    # of the key tables, a batch of one posting reads a bucket each
+    probe = added.limit(1)
+    one = streams.recalled(store, probe)
+    assert len(one.by_hash.inputFiles()) <= 1 and len(one.by_url.inputFiles()) <= 1 and store.read("by_hash").inputFiles()[1:]
