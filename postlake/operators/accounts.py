@@ -47,18 +47,34 @@ def next_runs(runs: DataFrame, frequency: Column, as_of: Column) -> DataFrame:
     return last.select("user_id", (F.col("last") + gap <= as_of).alias("is_due"), following.alias("next_run"))
 
 
-def tags(rows: DataFrame, presented: DataFrame, changes: DataFrame) -> DataFrame:
-    """NEW, UPDATED or PREVIOUS for each posting of a profile: by whether it was shown before and changed since."""
-    key = ["profile_id", "posting_seq"]
-    shown = presented.groupBy(*key).agg(F.max("shown_at").alias("_shown"))
-    marked = rows.join(shown, key, "left")
-    count = (
-        marked.where("_shown is not null").join(changes.select("posting_seq", "changed_at"), "posting_seq")
-        .where(F.col("changed_at") > F.col("_shown")).groupBy(*key).agg(F.count(F.lit(1)).alias("n_changes"))
-    )
-    n = F.coalesce("n_changes", F.lit(0)).cast("long")
-    tag = F.when(F.col("_shown").isNull(), "NEW").when(n > 0, "UPDATED").otherwise("PREVIOUS")
-    return marked.join(count, key, "left").select(*key, tag.alias("tag"), n.alias("n_changes"))
+# Levels that a preference takes for the level of a résumé.
+LEVELS_FOR = {"junior": ["estagio", "trainee", "junior"], "estagio": ["estagio", "trainee", "junior"], "mid": ["junior", "pleno"], "senior": ["pleno", "senior"]}
+KEYWORDS = 10
+
+
+def derived_preferences(profiles: DataFrame) -> DataFrame:
+    """Preferences after a résumé was read: its roles, its first ten skills and the levels for its own; what it doesn't say stays as it was."""
+    known = lambda c: F.size(F.coalesce(F.col(c), F.array().cast("array<string>"))) > 0
+    table = F.create_map(*[x for k, v in LEVELS_FOR.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    return profiles.select(
+        "profile_id",
+        F.when(known("roles"), F.col("roles")).otherwise(F.col("desired_roles")).alias("desired_roles"),
+        F.when(known("skills"), F.slice("skills", 1, KEYWORDS)).otherwise(F.col("preferred_keywords")).alias("preferred_keywords"),
+        F.coalesce(F.try_element_at(table, F.col("profile_seniority")), "seniority_levels").alias("seniority_levels"),
+    )
+
+
+def mail_mode() -> Column:
+    """When a profile wants mail: at once unless a digest is asked for."""
+    return F.coalesce(F.nullif(F.col("digest_mode"), F.lit("")), F.lit("immediately"))
+
+
+def digest(scores: DataFrame, channels: DataFrame, mode: str, most: int = 30) -> DataFrame:
+    """(profile_id, posting_seq, score, place): what the mail of a digest, `hourly` or `daily`, lists for each profile that asked for that one."""
+    asked = channels.where((F.col("channel") == "mail") & F.col("enabled") & (mail_mode() == mode))
+    rows = scores.join(asked.select("profile_id", "minimum_score"), "profile_id").where(F.col("score") >= F.coalesce("minimum_score", F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("profile_id").orderBy(F.desc("score"), F.desc("posting_seq")))
+    return rows.withColumn("place", place).where(F.col("place") <= most).select("profile_id", "posting_seq", "score", "place")
 
 
 def batch_differences(history: DataFrame, batch: DataFrame, changes: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postlake.operators.accounts import mail_mode
+
 # Marks of example rows.
 EXAMPLES = {
     "source": ["mock"],
@@ -44,9 +46,13 @@ def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 def outbox(scores: DataFrame, channels: DataFrame, sent: DataFrame, default_minimum: int = 70) -> DataFrame:
     """(profile_id, posting_seq, channel, score) to send: score high enough, channel enabled, not sent yet; failures are retried.
 
-    ``channels`` has profile_id, channel, enabled and minimum_score; ``sent`` has status too.
+    ``channels`` has profile_id, channel, enabled and minimum_score, and may have digest_mode: mail goes out at once only without a digest. ``sent``
+    has status too.
     """
-    due = scores.join(channels.where("enabled"), "profile_id").where(F.col("score") >= F.coalesce("minimum_score", F.lit(default_minimum)))
+    open_ = channels.where("enabled")
+    if "digest_mode" in channels.columns:
+        open_ = open_.where((F.col("channel") != "mail") | (mail_mode() == "immediately"))
+    due = scores.join(open_, "profile_id").where(F.col("score") >= F.coalesce("minimum_score", F.lit(default_minimum)))
     key = ["profile_id", "posting_seq", "channel"]
     return due.join(sent.where("status = 'sent'").select(*key).distinct(), key, "left_anti").select(*key, "score")
 

@@ -67,11 +67,6 @@ def n19(spark: SparkSession, d: str) -> DataFrame:
     return A.postings(spark, d).where(T.search_predicate("estagio", ["title", "company", "location"])).select("posting_seq")
 
 
-@query("f7_classify", f"WITH {O.POSTINGS} SELECT posting_seq, {O.fold('lower(work_mode)')} AS mode FROM p")
-def f7(spark: SparkSession, d: str) -> DataFrame:
-    return A.postings(spark, d).select("posting_seq", views.mode_class().alias("mode"))
-
-
 # Users' events, in SQL that Spark and other engines read alike.
 _MARKS = """SELECT event_id AS seq, CAST(user_id % 4 + 1 AS INT) AS profile_id, event_id % 97 AS posting_seq, event_type <> 'error' AS wanted,
   CASE WHEN event_id % 3 = 0 THEN '' ELSE concat('note ', CAST(event_id % 50 AS STRING)) END AS note FROM {events}"""
@@ -152,23 +147,6 @@ def j10(spark: SparkSession, d: str) -> DataFrame:
     return A.postings(spark, d).select("posting_seq").join(dismissed, "posting_seq", "left_anti")
 
 
-@query("j13_digest", f"WITH {O.PAIRS} SELECT profile_id, posting_seq, score FROM {O.ranked('pairs')} WHERE score >= 50 + 5 * profile_id")
-def j13(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.rank(pairs(spark, d), A.as_of()).where("score >= 50 + 5 * profile_id").select("profile_id", "posting_seq", "score")
-
-
-@query("w8_tags", f"""WITH {O.POSTINGS}, shown AS (SELECT CAST(user_id % 4 + 1 AS INT) AS profile_id, event_id % 300 AS posting_seq, max(ts) AS shown_at FROM events WHERE event_type = 'view' GROUP BY 1, 2),
-c AS (SELECT event_id % 300 AS posting_seq, ts AS changed_at FROM events WHERE event_type = 'click'), r AS (SELECT posting_seq, CAST(posting_seq % 4 + 1 AS INT) AS profile_id FROM p),
-m AS (SELECT r.profile_id, r.posting_seq, shown.shown_at FROM r LEFT JOIN shown ON r.profile_id = shown.profile_id AND r.posting_seq = shown.posting_seq),
-n AS (SELECT m.profile_id, m.posting_seq, any_value(m.shown_at) AS shown_at, count(c.changed_at) AS n_changes FROM m LEFT JOIN c ON m.posting_seq = c.posting_seq AND c.changed_at > m.shown_at GROUP BY 1, 2)
-SELECT profile_id, posting_seq, n_changes, CASE WHEN shown_at IS NULL THEN 'NEW' WHEN n_changes > 0 THEN 'UPDATED' ELSE 'PREVIOUS' END AS tag FROM n""")
-def w8(spark: SparkSession, d: str) -> DataFrame:
-    e = A.table(spark, d, "events").withColumn("posting_seq", F.col("event_id") % 300)
-    presented = e.where("event_type = 'view'").select((F.col("user_id") % 4 + 1).cast("int").alias("profile_id"), "posting_seq", F.col("ts").alias("shown_at"))
-    rows = A.postings(spark, d).select("posting_seq", (F.col("posting_seq") % 4 + 1).cast("int").alias("profile_id"))
-    return accounts.tags(rows, presented, e.where("event_type = 'click'").select("posting_seq", F.col("ts").alias("changed_at")))
-
-
 @query("u4_presented", "SELECT DISTINCT CAST(user_id % 4 + 1 AS INT) AS profile_id, event_id % 300 AS posting_seq FROM events WHERE event_type = 'view'")
 def u4(spark: SparkSession, d: str) -> DataFrame:
     return A.table(spark, d, "events").where("event_type = 'view'").select((F.col("user_id") % 4 + 1).cast("int").alias("profile_id"), (F.col("event_id") % 300).alias("posting_seq")).distinct()
@@ -210,12 +188,6 @@ def w5(spark: SparkSession, d: str) -> DataFrame:
     return A.table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
 
 
-@query("w9_changelog", _C6 + "SELECT posting_seq, field_name, row_number() OVER (PARTITION BY posting_seq ORDER BY field_name) AS place FROM c")
-def w9(spark: SparkSession, d: str) -> DataFrame:
-    log = changes.changelog(versions(spark, d)).groupBy("posting_seq").agg(F.array_sort(F.collect_list("field_name")).alias("fields"))
-    return log.select("posting_seq", F.posexplode("fields").alias("at", "field_name")).select("posting_seq", "field_name", (F.col("at") + 1).alias("place"))
-
-
 @query("r11_blend", f"WITH {O.PAIRS} SELECT posting_seq, profile_id, CASE WHEN posting_seq % 3 = 0 THEN CAST(round_even(0.6::DOUBLE * score + 0.4::DOUBLE * greatest(0, least(100, posting_seq * 7 % 140 - 20)), 0) AS INT) ELSE score END AS score FROM {O.ranked('pairs')}")
 def r11(spark: SparkSession, d: str) -> DataFrame:
     rows = ranking.rank(pairs(spark, d), A.as_of()).select("posting_seq", "profile_id", "score")
@@ -223,11 +195,6 @@ def r11(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(external, "posting_seq", "left").select("posting_seq", "profile_id", accounts.blended(F.col("score"), F.col("_external")).alias("score"))
 
 
-@query("t3_new_in_day", f"WITH {O.POSTINGS} SELECT posting_seq FROM p WHERE discovered_at >= {NOW} - INTERVAL 24 HOUR")
-def t3(spark: SparkSession, d: str) -> DataFrame:
-    return A.postings(spark, d).where(F.col("discovered_at") >= A.as_of() - F.expr("INTERVAL 24 HOURS")).select("posting_seq")
-
-
 @query("t4_in_week", f"WITH {O.POSTINGS}, {O.FRESH} SELECT posting_seq FROM f WHERE status = 'active' AND (published_at >= {NOW} - INTERVAL 7 DAY OR discovered_at >= {NOW} - INTERVAL 7 DAY)")
 def t4(spark: SparkSession, d: str) -> DataFrame:
     return freshness.freshness(A.postings(spark, d), A.as_of()).where((F.col("status") == "active") & views.in_week(A.as_of())).select("posting_seq")

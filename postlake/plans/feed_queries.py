@@ -54,11 +54,6 @@ def s6(spark: SparkSession, d: str) -> DataFrame:
     return feeds.parse_json_feed(raw, feeds.FEEDS["alternative"]).select("external_id", "title", "company")
 
 
-@query("s14_enabled_sources", f"WITH {O.POSTINGS} SELECT posting_seq, source FROM p WHERE source IN ('src1', 'src4', 'src9')")
-def s14(spark: SparkSession, d: str) -> DataFrame:
-    return A.postings(spark, d).where(F.col("source").isin("src1", "src4", "src9")).select("posting_seq", "source")
-
-
 @query("s15_collect", f"WITH {O.POSTINGS} SELECT source, count(*) AS payloads, count(*) FILTER (posting_seq % 5 <> 0) AS found, count(*) FILTER (posting_seq % 5 = 0) AS rejected FROM p GROUP BY source")
 def s15(spark: SparkSession, d: str) -> DataFrame:
     payload = F.when(F.col("posting_seq") % 5 == 0, "{broken").otherwise(F.to_json(F.struct("title")))
@@ -123,13 +118,6 @@ def a10(spark: SparkSession, d: str) -> DataFrame:
     return late.groupBy((F.col("event_id") % 300).alias("posting_seq")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("w2_report_cuts", f"""WITH {O.PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY score DESC NULLS LAST, posting_seq DESC) AS place FROM {O.ranked('pairs')})
-SELECT profile_id, posting_seq, place, CASE WHEN place <= 5 THEN 5 WHEN place <= 10 THEN 10 ELSE 20 END AS cut FROM r WHERE place <= 20""")
-def w2(spark: SparkSession, d: str) -> DataFrame:
-    rows = top_per(ranking.rank(pairs(spark, d), A.as_of()), "profile_id", 20)
-    return rows.select("profile_id", "posting_seq", "place", F.when(F.col("place") <= 5, 5).when(F.col("place") <= 10, 10).otherwise(20).alias("cut"))
-
-
 @query("w6_latest_reports", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 10")
 def w6(spark: SparkSession, d: str) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
@@ -161,18 +149,6 @@ def t2(spark: SparkSession, d: str) -> DataFrame:
     return dedup.first_per(rows, "content_hash")
 
 
-@query("r12_reasons")
-def r12(spark: SparkSession, d: str) -> DataFrame:
-    return outcomes.reasons(ranking.rank(pairs(spark, d), A.as_of())).select("posting_seq", "profile_id", "reasons")
-
-
-@query("m7_derived_preferences", f"WITH pr AS ({A.profiles_sql()}), {O.POSTINGS} SELECT posting_seq, profile_id, CASE WHEN profile_seniority IN ('junior', 'estagio') THEN 'entry' ELSE 'experienced' END AS band, list_slice(skills, 1, 10) AS keywords FROM p JOIN pr ON profile_id = posting_seq % 4 + 1")
-def m7(spark: SparkSession, d: str) -> DataFrame:
-    own = A.postings(spark, d).select("posting_seq", (F.col("posting_seq") % 4 + 1).cast("int").alias("profile_id"))
-    band = F.when(F.col("profile_seniority").isin("junior", "estagio"), "entry").otherwise("experienced")
-    return own.join(A.small(A.profiles(spark)), "profile_id").select("posting_seq", "profile_id", band.alias("band"), F.slice("skills", 1, 10).alias("keywords"))
-
-
 @query("s9_rss_right_split", f"WITH {O.POSTINGS} SELECT url, title, company FROM p WHERE company <> ''")
 def s9(spark: SparkSession, d: str) -> DataFrame:
     tag = lambda name, c: F.concat(F.lit(f"<{name}>"), text.escape_html(c), F.lit(f"</{name}>"))

@@ -48,7 +48,8 @@ _scalar("n8_content_hash", "content_hash", lambda: text.content_hash(*map(F.col,
 _scalar("n9_dedup_key", "dedup_key", lambda: text.dedup_key(*map(F.col, ("title", "company", "location"))), O.key())
 _scalar("n11_infer_seniority", "level", lambda: text.infer_seniority(F.col("title"), F.col("description")), O.seniority())
 _scalar("n20_city_part", "city", lambda: text.city_part(F.col("location")), "trim(string_split_regex(location, '[,/-]')[1])")
-_scalar("n21_escape_html", "safe", lambda: text.escape_html(F.col("description")), "replace(replace(replace(description, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')")
+_scalar("n21_escape_html", "safe", lambda: text.escape_html(F.col("description")), "replace(replace(replace(replace(replace(description, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;')")
+_scalar("n21_truncate", "cut", lambda: text.truncate(F.col("description")), "CASE WHEN length(description) <= 4000 THEN description ELSE description[1:3985] || '... [truncado]' END")
 
 
 # the entities that the pages hold, apart from those that start another one
@@ -151,8 +152,11 @@ def w1(spark: SparkSession, d: str) -> DataFrame:
     return views.top_per(ranking.rank(pairs(spark, d), A.as_of()), "profile_id", 30).select("profile_id", "posting_seq", "score", "place")
 
 
+_SAID = " OR ".join(f"{c} ILIKE '%{v}%'" for c in ("title", "company", "location", "description") for v in ("estágio", "estagio", "estag_o"))
+
+
 @query("w3_list", f"""WITH {O.PAIRS} SELECT posting_seq, title, score FROM {O.ranked('pairs')} WHERE profile_id = 1 AND status = 'active' AND score >= 40
-  AND contains(strip_accents(lower(concat_ws(chr(1), title, company, location, description))), 'estagio') ORDER BY score DESC NULLS LAST, posting_seq DESC LIMIT 50""")
+  AND ({_SAID}) ORDER BY score DESC NULLS LAST, posting_seq DESC LIMIT 50""")
 def w3(spark: SparkSession, d: str) -> DataFrame:
     rows = ranking.rank(pairs(spark, d).where("profile_id = 1"), A.as_of())
     return views.list_postings(rows, A.as_of(), status="active", search="estágio", min_score=40).select("posting_seq", "title", "score")
@@ -168,19 +172,9 @@ def a2(spark: SparkSession, d: str) -> DataFrame:
     return A.postings(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-_SEEN = "posting_seq % 3 = 0"
 _WEEK = f"(status = 'active' AND coalesce(published_at >= {O.NOW} - INTERVAL 7 DAY OR discovered_at >= {O.NOW} - INTERVAL 7 DAY, false))"
 
 
-@query("a9_weekly_totals", f"""WITH {O.PAIRS} SELECT profile_id, count(*) AS analysed, count(*) FILTER (score >= 70) AS compatible, count(*) FILTER (NOT {_SEEN}) AS new,
-  count(*) FILTER ({O.fold('lower(work_mode)')} = 'remote') AS remote, count(*) FILTER ({O.fold('lower(work_mode)')} = 'hybrid') AS hybrid,
-  count(*) FILTER ({O.fold('lower(work_mode)')} = 'onsite') AS onsite,
-  count(*) FILTER (lower(employment_type) IN ('estagio', 'internship') OR contains(lower(title), 'estágio')) AS internships FROM {O.ranked('pairs')} WHERE {_WEEK} GROUP BY profile_id""")
-def a9(spark: SparkSession, d: str) -> DataFrame:
-    rows = ranking.rank(pairs(spark, d), A.as_of())
-    return views.weekly_totals(rows, rows.where(_SEEN).select("profile_id", "posting_seq"), A.as_of())
-
-
 @query("d2_first_per_id", f"WITH {O.POSTINGS} SELECT min(posting_seq) AS posting_seq, source, external_id FROM p WHERE external_id <> '' GROUP BY source, external_id")
 def d2(spark: SparkSession, d: str) -> DataFrame:
     rows = A.postings(spark, d).where("external_id <> ''").select("posting_seq", "source", "external_id")
@@ -304,18 +298,6 @@ def m3(spark: SparkSession, d: str) -> DataFrame:
     return A.postings(spark, d).where(~maintenance.is_example()).select("posting_seq")
 
 
-_CHANNELS = [(1, "chat", True, 60), (1, "mail", False, 60), (2, "chat", True, None), (3, "webhook", True, 50), (3, "mail", True, 55)]
-
-
-@query("m10_outbox", f"""WITH {O.PAIRS}, ch(profile_id, channel, minimum_score) AS (VALUES (1, 'chat', 60), (2, 'chat', 70), (3, 'webhook', 50), (3, 'mail', 55))
-SELECT r.profile_id, r.posting_seq, ch.channel, r.score FROM {O.ranked('pairs')} r JOIN ch USING (profile_id) WHERE r.score >= ch.minimum_score AND NOT (ch.channel = 'chat' AND r.posting_seq % 4 = 0)""")
-def m10(spark: SparkSession, d: str) -> DataFrame:
-    rows = ranking.rank(pairs(spark, d), A.as_of()).select("profile_id", "posting_seq", "score")
-    channels = A.small(spark.createDataFrame(_CHANNELS, "profile_id int, channel string, enabled boolean, minimum_score int"))
-    log = rows.where("posting_seq % 2 = 0").select("profile_id", "posting_seq", F.lit("chat").alias("channel"), F.when(F.col("posting_seq") % 4 == 0, "sent").otherwise("failed").alias("status"))
-    return maintenance.outbox(rows, channels, log)
-
-
 def feedback(spark: SparkSession, d: str) -> DataFrame:
     e = A.table(spark, d, "events").where("event_type in ('view', 'click', 'purchase')")
     return e.select("event_id", "ts", (F.col("user_id") % 4 + 1).alias("profile_id"), (F.col("event_id") % 50).alias("posting_seq"), (F.col("event_type") != "view").alias("is_positive"), F.lit(70).alias("score"))

@@ -16,7 +16,7 @@ TITLES = [
     "Estágio em Desenvolvimento Python", "Desenvolvedor Python Júnior", "Desenvolvedor Java Sênior", "Engenheiro de Software Pleno",
     "Atendente de Loja", "Analista de Dados", "Estagiário de TI", "Head of Engineering", "Pessoa Desenvolvedora Backend", "Tech Lead",
     "Vendedora", "UX Designer", "DevOps Engineer (Cloud)", "QA", "Diretor de Tecnologia", "Programador Django  Pleno", "[Teste] Vaga",
-    "Разработчик Python", "Бухгалтер", "ソフトウェア エンジニア", "백엔드 개발자", "Entwickler für Großrechner", "Estagiari@ de TI",
+    "Разработчик Python", "Бухгалтер", "ソフトウェア エンジニア", "백엔드 개발자", "Entwickler für München-Süd", "Estagiari@ de TI",
 ]
 COMPANIES = ["Acme Ltda", "ACME Tecnologia S/A", "Grupo Beta Soluções", "Beta", "Gama Inc", "Empresa Alpha", "", "Delta Sistemas", "Delta Sistemas Brasil", "Épsilon Serviços ME", "Banco Zeta", "Яндекс", "Straße Łódź Inc", "株式会社アクメ", "삼성전자", "Ελλάδα ΜΕme Brasil", "Сбер"]
 LOCATIONS = ["São Paulo, SP", "Remoto", "Rio de Janeiro - RJ", "Híbrido / Curitiba", "Austin, Texas", "Santiago, Chile", "", "Belo Horizonte, Minas Gerais", "Remote (anywhere)", "Москва", "Казань", "München", "東京", "São Paulo/Ñsp"]
@@ -72,17 +72,17 @@ FROM ({postings}) p WHERE posting_seq % 4 <> 3
 PROFILES = [
     dict(profile_id=1, roles=["Desenvolvedor Python"], skills=["Python", "Django", "SQL"], profile_seniority="junior", desired_roles=["Estágio em TI", "Desenvolvedor"],
          preferred_keywords=["api"], mandatory_keywords=[], excluded_keywords=["vendedora", "java"], excluded_companies=["Banco Zeta"], work_modes=["remote", "hybrid"],
-         locations=["São Paulo, SP", "Remoto"], employment_types=["estagio", "clt"], seniority_levels=["estagio", "junior"], minimum_salary=1500.0, maximum_salary=None, excluded_postings=[1, 5, 22, 104]),
+         locations=["São Paulo, SP", "Remoto"], employment_types=["estagio", "clt"], seniority_levels=["estagio", "junior"], minimum_salary=1500.0, maximum_salary=None, excluded_postings=[1, 5, 22, 104], minimum_match_score=60),
     dict(profile_id=2, roles=["Frontend Developer"], skills=["React", "Docker"], profile_seniority="mid", desired_roles=["UX Designer"], preferred_keywords=[],
          mandatory_keywords=["react", "docker"], excluded_keywords=[], excluded_companies=["acme"], work_modes=[], locations=["Curitiba", "Brasil"],
-         employment_types=["pj"], seniority_levels=["mid", "senior"], minimum_salary=None, maximum_salary=5000.0, excluded_postings=[]),
+         employment_types=["pj"], seniority_levels=["mid", "senior"], minimum_salary=None, maximum_salary=5000.0, excluded_postings=[], minimum_match_score=None),
     dict(profile_id=3, roles=["Analista de Dados"], skills=["Python", "SQL", "Linux"], profile_seniority="senior", desired_roles=["dados"], preferred_keywords=["cloud"],
          mandatory_keywords=[], excluded_keywords=["renda extra"], excluded_companies=[], work_modes=["onsite"], locations=["Santiago, Chile"], employment_types=[],
-         seniority_levels=["senior"], minimum_salary=4000.0, maximum_salary=9000.0, excluded_postings=[3]),
+         seniority_levels=["senior"], minimum_salary=4000.0, maximum_salary=9000.0, excluded_postings=[3], minimum_match_score=55),
     dict(profile_id=4, roles=[], skills=[], profile_seniority="", desired_roles=[], preferred_keywords=[], mandatory_keywords=[], excluded_keywords=[], excluded_companies=[],
-         work_modes=[], locations=[], employment_types=[], seniority_levels=[], minimum_salary=None, maximum_salary=None, excluded_postings=[]),
+         work_modes=[], locations=[], employment_types=[], seniority_levels=[], minimum_salary=None, maximum_salary=None, excluded_postings=[], minimum_match_score=0),
 ]
-_TYPES = {"profile_id": "int", "profile_seniority": "string", "minimum_salary": "double", "maximum_salary": "double", "excluded_postings": "array<bigint>"}
+_TYPES = {"profile_id": "int", "minimum_match_score": "int", "profile_seniority": "string", "minimum_salary": "double", "maximum_salary": "double", "excluded_postings": "array<bigint>"}
 
 
 def as_of() -> Column:
@@ -133,6 +133,6 @@ def profiles_sql() -> str:
             return f"CAST({v} AS BIGINT[])"
         if isinstance(v, list):
             return "CAST([" + ", ".join(f"'{x}'" for x in v) + "] AS VARCHAR[])"
-        return "NULL::DOUBLE" if v is None else f"'{v}'" if isinstance(v, str) else f"{v}::DOUBLE" if _TYPES[k] == "double" else str(v)
+        return f"CAST(NULL AS {_TYPES[k]})" if v is None else f"'{v}'" if isinstance(v, str) else f"{v}::DOUBLE" if _TYPES[k] == "double" else str(v)
 
     return " UNION ALL ".join("SELECT " + ", ".join(f"{lit(k, v)} AS {k}" for k, v in p.items()) for p in PROFILES)

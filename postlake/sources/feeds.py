@@ -161,3 +161,17 @@ def parse_html_cards(bronze: DataFrame) -> DataFrame:
     href = F.regexp_extract("card", r"""(?is)href=["']?([^"'\s>]*)""", 1)
     found = cards.select("source", F.when(href.startswith("/"), F.concat("base", href)).otherwise(href).alias("url"), clean_html(F.col("card"), 200).alias("title"))
     return found.where("title <> ''")
+
+
+#: Sources that can be enabled, by name, and those that are unless a user names others. A new one is an entry.
+REGISTRY: dict[str, Feed | Cards | str] = {**FEEDS, **{f"cards_{k}": v for k, v in CARDS.items()}, "rss": "rss"}
+USUAL = ["flat", "salaried", "rss"]
+
+
+def enabled(names: Column, usual: list[str] | None = None, registry: list[str] | None = None) -> Column:
+    """The registered ones of a user's sources, in their order, trimmed and in lower case; the usual ones if the user names none."""
+    clean = lambda c: F.filter(F.transform(c, lambda x: F.lower(F.trim(F.coalesce(x, F.lit(""))))), lambda x: x != "")
+    array = lambda x: F.array(*map(F.lit, x)).cast("array<string>")
+    own = F.coalesce(names, F.array().cast("array<string>"))
+    chosen = F.when(F.size(own) > 0, clean(own)).otherwise(clean(array(USUAL if usual is None else usual)))
+    return F.filter(chosen, lambda x: F.array_contains(array(sorted(registry or REGISTRY)), x))

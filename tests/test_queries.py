@@ -1,6 +1,6 @@
 import pytest
 
-from postlake.plans import account_queries, feed_queries, queries, resume_queries  # noqa: F401  all fill the same table
+from postlake.plans import account_queries, feed_queries, queries, report_queries, resume_queries, store_queries  # noqa: F401  all fill the same table
 
 SF = "/root/testdata/sf0.001"
 
