@@ -71,7 +71,7 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
 def _syllable(x: Column) -> Column:
     """A syllable of Hangul as its leading consonant, vowel and, where it has one, trailing consonant."""
     at = F.ascii(x) - 0xAC00
-    jamo = lambda first, n, k: F.element_at(F.array(*[F.lit(chr(first + j)) for j in range(n)]), k.cast("int") + 1)
+    jamo = lambda first, n, k: F.substring(F.lit("".join(chr(first + j) for j in range(n))), k.cast("int") + 1, F.lit(1))
     tail = F.when(at % 28 == 0, "").otherwise(jamo(0x11A7, 28, at % 28))
     return F.concat(jamo(0x1100, 19, F.floor(at / 588)), jamo(0x1161, 21, F.floor(at % 588 / 28)), tail)
 
@@ -161,16 +161,16 @@ def dedup_key(title: Column, company: Column, location: Column) -> Column:
     return F.concat_ws("|", title_key(title), normalize_company(company), normalize_location(location))
 
 
-def content_hash(title: Column, company: Column, location: Column, url: Column, external_id: Column) -> Column:
+def hash_of(key: Column, url: Column, external_id: Column) -> Column:
     """SHA-256 of the external id, else of the canonical URL, else of the dedup key."""
-    base = (
-        F.when(_text(external_id) != "", F.concat(F.lit("ext:"), external_id))
-        .when(_text(url) != "", F.concat(F.lit("url:"), normalize_url(url)))
-        .otherwise(dedup_key(title, company, location))
-    )
+    base = F.when(_text(external_id) != "", F.concat(F.lit("ext:"), external_id)).when(_text(url) != "", F.concat(F.lit("url:"), normalize_url(url))).otherwise(key)
     return F.sha2(base, 256)
 
 
+def content_hash(title: Column, company: Column, location: Column, url: Column, external_id: Column) -> Column:
+    return hash_of(dedup_key(title, company, location), url, external_id)
+
+
 def infer_seniority(title: Column, description: Column) -> Column:
     """The first level, in the rules' order, that title or first 500 characters of the description name."""
     text = F.lower(strip_accents(F.concat_ws(" ", _text(title), F.substring(_text(description), 1, 500))))

@@ -14,17 +14,11 @@ from postlake.plans.stages import staged
 
 
 def with_keys(postings: DataFrame) -> DataFrame:
+    """Add the keys of title, company, location and URL, and the two keys made of them."""
     c = F.col
-    return postings.withColumns(
-        {
-            "content_hash": text.content_hash(c("title"), c("company"), c("location"), c("url"), c("external_id")),
-            "dedup_key": text.dedup_key(c("title"), c("company"), c("location")),
-            "url_key": text.normalize_url(c("url")),
-            "company_key": text.normalize_company(c("company")),
-            "title_key": text.title_key(c("title")),
-            "location_key": text.normalize_location(c("location")),
-        }
-    )
+    keys = {"url_key": text.normalize_url(c("url")), "company_key": text.normalize_company(c("company")), "title_key": text.title_key(c("title")), "location_key": text.normalize_location(c("location"))}
+    made = postings.withColumns(keys).withColumn("dedup_key", F.concat_ws("|", "title_key", "company_key", "location_key"))
+    return made.withColumn("content_hash", text.hash_of(c("dedup_key"), c("url"), c("external_id")))
 
 
 def first_per(postings: DataFrame, *keys: str) -> DataFrame:
