@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from postlake.functions.feed_text import search_predicate, search_variants
 
@@ -15,7 +16,7 @@ from postlake.functions.feed_text import search_predicate, search_variants
 BUCKETS = 64
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _trigrams(found: pd.Series) -> pd.Series:
     return pd.Series([sorted({t[k : k + 3] for t in texts for k in range(len(t) - 2)}) for texts in found])
 

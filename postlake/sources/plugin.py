@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 from pyspark.sql.functions import pandas_udf, udtf
+from pyspark.sql.types import StringType, StructField, StructType
 
 from postlake.operators import dedup
 from postlake.sources import feeds
@@ -72,7 +73,10 @@ def _at(value, path: str):
     return value
 
 
-@udtf(returnType="external_id string, title string, company string, location string, url string")
+_ITEM = ("external_id", "title", "company", "location", "url")
+
+
+@udtf(returnType=StructType([StructField(x, StringType()) for x in _ITEM]))
 class FeedItems:
     """The items of a JSON payload by a feed of the registry; items without a title, and what is no JSON, give none."""
 
@@ -84,7 +88,7 @@ class FeedItems:
             return
         for item in items if isinstance(items, list) else []:
             row = []
-            for name in ("external_id", "title", "company", "location", "url"):
+            for name in _ITEM:
                 found = (_at(item, p) for p in spec.fields.get(name, ()))
                 plain = (str(x).strip() for x in found if x is not None and not isinstance(x, (dict, list)))
                 row.append(next((x for x in plain if x), spec.defaults.get(name, "")))
