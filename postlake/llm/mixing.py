@@ -10,6 +10,8 @@ Everything here is DataFrame and SQL operations.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ BROADCAST_SOURCES = 10_000
 BLOCK = 1024
 #: Slots that are numbered together.
 CHUNK = 65_536
+#: Documents that are laid out together, about.
+PART_ROWS = 50_000
 GOLDEN = 0.6180339887498949
 
 
@@ -73,13 +77,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     return table.withColumn("target", F.least(F.col("_cap"), level * F.col("weight"))).select("sid", "source", "source_size", "weight", "target")
 
 
-def laid_out(sizes: DataFrame, sources: DataFrame) -> DataFrame:
-    """Give each document its ``begin`` in the shuffled stream of its source.
+def laid_out(sizes: DataFrame, rows: int) -> DataFrame:
+    """Give each of ``rows`` documents its ``begin`` in the shuffled stream of its source.
 
-    Documents of a source are dealt by the first digits of their shuffle key;
-    a part begins where the parts with smaller digits end.
+    Documents of a source are dealt by the first digits of their shuffle key, as many digits as make parts of about PART_ROWS
+    rows if all were of one source; a part begins where the parts with smaller digits end.
     """
-    cut = sizes.withColumn("part", F.substring("key", 1, 3))
+    digits = max(3, math.ceil(math.log(max(1, rows / PART_ROWS), 16)))
+    cut = sizes.withColumn("part", F.substring("key", 1, digits))
     before = Window.partitionBy("sid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = cut.groupBy("sid", "part").agg(F.sum("size").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     inside = Window.partitionBy("sid", "part").orderBy("key", "doc_id", "size", "digest").rowsBetween(Window.unboundedPreceding, -1)
@@ -156,7 +161,7 @@ def mix(
         _small(sources.withColumnRenamed("source", "_source"), n_sources),
         F.col("source").eqNullSafe(F.col("_source")),
     ).drop("_source", "weight")
-    lay = stored(laid_out(named, sources), "mix-layout")
+    lay = stored(laid_out(named, sizes.count()), "mix-layout")
     slots = schedule(spark, sources, n_sources, n_slots, block)
 
     passes = range(int(most))

@@ -184,6 +184,12 @@ def test_mixing_limits(docs):
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(5), block=16).collect()))
 
 
+def test_mix_is_the_same_in_finer_parts(docs, monkeypatch):
+    whole = sorted(map(str, mixing.mix(docs, block=16).collect()))
+    monkeypatch.setattr(mixing, "PART_ROWS", 0.01)
+    assert sorted(map(str, mixing.mix(docs, block=16).collect())) == whole
+
+
 def test_mix_follows_the_schedule(spark):
     rows = [(k, " ".join(f"w{k}" for _ in range(20)), None, f"s{k % 3}", None) for k in range(900)]
     docs = spark.createDataFrame(rows, SCHEMA)
