@@ -146,6 +146,7 @@ def _joined(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
+# The wording of reasons, in the functions below.
 def _role_reason() -> Column:
     title, given = _low("title"), F.filter(F.concat(_list("desired_roles"), _list("roles")), lambda r: r != "")
     hit = first_that(given, lambda r: F.contains(title, F.lower(r)))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 # Ligatures and characters of no width, and what replaces them.
 LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl", "\xad": "", "\u200b": ""}
+# Signs that count as bullets.
 BULLETS = "[•●▪▸▹○◦✔✓]"
 
 # Words that mark a document as English or as Portuguese.

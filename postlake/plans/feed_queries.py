@@ -10,7 +10,8 @@ from postlake.operators import breaker, dedup, freshness, outcomes, ranking
 from postlake.operators.views import top_per
 from postlake.plans import cycle
 from postlake.plans import oracle as O
-from postlake.plans.queries import _HALVES, _RUN, SQL, attempts, pairs, query
+from postlake.plans.queries import _HALVES, _RUN, SQL, attempts, pairs, query, s1, s8
+from postlake.plans.stages import shared_path
 from postlake.sources import adapters as A
 from postlake.sources import feeds
 from postlake.streaming import cycle as streams
@@ -149,6 +150,18 @@ def t2(spark: SparkSession, d: str) -> DataFrame:
     return dedup.first_per(rows, "content_hash")
 
 
+@query("t2_stream_distinct", f"WITH {O.KEYED} SELECT content_hash, count(DISTINCT content_hash) AS n FROM k GROUP BY content_hash")
+def t2_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The postings as a stream of files, deduplicated within the watermark in keyed state; all that is there is read, then the stream ends."""
+    folder = shared_path(spark, "stream")
+    dedup.with_keys(A.postings(spark, d)).select("posting_seq", "content_hash", "discovered_at").write.parquet(f"{folder}/in")
+    read = spark.readStream.schema("posting_seq long, content_hash string, discovered_at timestamp").option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
+    writer = streams.new_postings(read, "200 days").writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema("posting_seq long, content_hash string, discovered_at timestamp").parquet(f"{folder}/out")
+    return found.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("s9_rss_right_split", f"WITH {O.POSTINGS} SELECT url, title, company FROM p WHERE company <> ''")
 def s9(spark: SparkSession, d: str) -> DataFrame:
     tag = lambda name, c: F.concat(F.lit(f"<{name}>"), text.escape_html(c), F.lit(f"</{name}>"))
@@ -242,10 +255,11 @@ def f4(spark: SparkSession, d: str) -> DataFrame:
     return feeds.relevant(A.postings(spark, d).withColumnRenamed("requirements", "tags"), ["Desenvolvedor"]).select("posting_seq")
 
 
-@query("u1_union", f"WITH {O.POSTINGS} SELECT source, title, company, NULL AS note FROM p UNION ALL SELECT 'mirror', title, company, 'seen' FROM p WHERE company <> ''")
+@query("u1_union", f"""WITH {O.POSTINGS} SELECT source, CAST(posting_seq AS VARCHAR) AS external_id, title, company, url, salary_min, NULL AS location FROM p
+UNION ALL SELECT source, NULL, title, company, url, NULL, location FROM p""")
 def u1(spark: SparkSession, d: str) -> DataFrame:
-    rows = A.postings(spark, d).select("source", "title", "company")
-    return rows.unionByName(rows.where("company <> ''").withColumns({"source": F.lit("mirror"), "note": F.lit("seen")}), allowMissingColumns=True)
+    """A JSON feed and an RSS one, by name; what a feed lacks is null."""
+    return s1(spark, d).unionByName(s8(spark, d), allowMissingColumns=True)
 
 
 @query("w7_recent_history", f"WITH {O.POSTINGS}, {O.FRESH} SELECT posting_seq, source FROM f WHERE status = 'active' ORDER BY discovered_at DESC, posting_seq DESC LIMIT 300")

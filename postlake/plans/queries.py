@@ -359,7 +359,12 @@ def s8(spark: SparkSession, d: str) -> DataFrame:
     return feeds.parse_rss(bronze).select("source", "url", "title", "company", "location")
 
 
-@query("s10_html_cards")
+_ANCHOR = _N10.replace("html", "card")
+
+
+@query("s10_html_cards", rf"""WITH c AS (SELECT regexp_extract(url, '^(https?://[^/]+)', 1) AS base, unnest(regexp_extract_all(coalesce(html, ''), '(?is)(<a\s[^>]*href=[^>]*>.*?</a>)')) AS card FROM pages),
+h AS (SELECT *, regexp_extract(card, '(?is)href=["'']?([^"''\s>]*)', 1) AS href, substr(trim(regexp_replace({_ANCHOR}, '[\s\x{{A0}}]+', ' ', 'g')), 1, 200) AS title FROM c)
+SELECT 'pages' AS source, CASE WHEN starts_with(href, '/') THEN base || href ELSE href END AS url, title FROM h WHERE title <> ''""")
 def s10(spark: SparkSession, d: str) -> DataFrame:
     return feeds.parse_html_cards(A.table(spark, d, "pages").select(F.lit("pages").alias("source"), "url", F.col("html").alias("payload")))
 
