@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,23 +63,50 @@ def outbox(scores: DataFrame, channels: DataFrame, sent: DataFrame, default_mini
 
 def _after(first: Column, shift: Column, low: Column, high: Column) -> Column:
     """Two clamped shifts, one after the other, as one: x + shift kept within low and high."""
-    within = lambda x: F.least(F.greatest(x, low), high)
+    within = lambda x: F.least(F.greatest(x, low), high).cast("int")
     return F.struct((first["shift"] + shift).alias("shift"), within(first["low"] + shift).alias("low"), within(first["high"] + shift).alias("high"))
 
 
-def feedback_score(events: DataFrame) -> DataFrame:
+#: Events that a task folds, about.
+FOLDED = 200_000
+
+
+def feedback_score(events: DataFrame, folded: int = FOLDED) -> DataFrame:
     """Scores after feedback: +5 or -10 for each event in order, kept within 0 and 100 after each.
 
-    Shifts that are clamped make up one such shift, so the events of an hour are folded first and
-    then a posting's hours: no list grows with all of its events.
+    Shifts that are clamped make up one such shift. Events, in order of key, time and id, are dealt by range, so that those of
+    a key with very many span tasks; each task folds its stretch of a key into one shift, row by row, and a key's stretches, one a task at
+    most, are folded in order. Unknown feedback counts as negative, a missing score as 0; events without a key are left out. No events give no rows.
     """
-    delta = F.when(F.col("is_positive"), 5).otherwise(-10)
-    none = F.struct(F.lit(0).alias("shift"), F.lit(0).alias("low"), F.lit(100).alias("high"))
+    events = events.where("profile_id is not null and posting_seq is not null").withColumn("score", F.coalesce("score", F.lit(0)))
     key = ["profile_id", "posting_seq"]
-    steps = F.array_sort(F.collect_list(F.struct("ts", "event_id", delta.alias("delta"))))
-    hours = events.groupBy(*key, F.date_trunc("hour", "ts").alias("hour")).agg(
-        F.aggregate(steps, none, lambda s, e: _after(s, e["delta"], F.lit(0), F.lit(100))).alias("f"), F.count(F.lit(1)).alias("n"), F.first("score").alias("score")
+    order = [*key, "ts", "event_id"]
+    parts = max(1, -(-events.count() // folded))
+    delta = F.when(F.col("is_positive"), 5).otherwise(-10).alias("delta")
+    kinds = [f"{c} {events.schema[c].dataType.simpleString()}" for c in (*key, "score")]
+    names = [*key, "score", "part", "shift", "low", "high", "n"]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, now, state = TaskContext.get().partitionId(), None, None
+        for batch in batches:
+            done = []
+            for *own, score, d in batch[[*key, "score", "delta"]].itertuples(index=False, name=None):
+                if own != now:
+                    done += [(*now, *state)] if now else []
+                    now, state = own, [score, part, 0, 0, 100, 0]
+                state[2:5] = state[2] + d, min(100, max(0, state[3] + d)), min(100, max(0, state[4] + d))
+                state[5] += 1
+            if done:
+                yield pd.DataFrame(done, columns=names)
+        if now:
+            yield pd.DataFrame([(*now, *state)], columns=names)
+
+    dealt = events.select(*order, "score", delta).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    stretches = dealt.mapInPandas(fold, ", ".join([*kinds, "part int", "shift long", "low int", "high int", "n long"]))
+    none = F.struct(F.lit(0).cast("long").alias("shift"), F.lit(0).alias("low"), F.lit(100).alias("high"))
+    listed = F.array_sort(F.collect_list(F.struct("part", F.struct("shift", "low", "high").alias("f"))))  # one a task at most
+    whole = stretches.groupBy(*key).agg(
+        F.aggregate(listed, none, lambda s, h: _after(s, h["f"]["shift"], h["f"]["low"], h["f"]["high"])).alias("f"), F.first("score").alias("score"), F.sum("n").alias("n_events")
     )
-    folded = F.aggregate(F.array_sort(F.collect_list(F.struct("hour", "f"))), none, lambda s, h: _after(s, h["f"]["shift"], h["f"]["low"], h["f"]["high"]))
-    whole = hours.groupBy(*key).agg(folded.alias("f"), F.first("score").alias("score"), F.sum("n").alias("n_events"))
-    return whole.select(*key, F.least(F.greatest(F.col("score") + F.col("f.shift"), F.col("f.low")), F.col("f.high")).alias("score"), "n_events")
+    score = F.least(F.greatest(F.col("score") + F.col("f.shift"), F.col("f.low")), F.col("f.high")).cast("int").alias("score")
+    return whole.select(*key, score, "n_events")

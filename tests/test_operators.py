@@ -154,7 +154,9 @@ def test_feedback_in_any_number_of_hours(spark):
     want = {}
     for _, _, _, p, good, _ in sorted(rows, key=lambda r: (r[1], r[0])):
         want[p] = max(0, min(100, want.get(p, 70) + (5 if good else -10)))
-    assert {r["posting_seq"]: r["score"] for r in maintenance.feedback_score(df).collect()} == want
+    for folded in (7, 1 << 20):
+        assert {r["posting_seq"]: r["score"] for r in maintenance.feedback_score(df, folded).collect()} == want
+    assert maintenance.feedback_score(df.limit(0)).count() == 0
 
 
 def test_run_batch_has_one_outcome_each(spark):
