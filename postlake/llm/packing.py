@@ -21,7 +21,7 @@ from postlake.llm.common import ids, ranked, stored, texts
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"
 #: Chunks that a worker remembers, and the longest one that it remembers, in bytes.
-MEMO_CHUNKS, MEMO_BYTES = 1_000_000, 48
+MEMO_CHUNKS, MEMO_BYTES = 400_000, 48
 _TOKENIZERS: dict[str, object] = {}
 
 
