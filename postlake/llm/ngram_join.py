@@ -157,13 +157,30 @@ def _similar(sets: list[np.ndarray], left: int, threshold: float) -> tuple[np.nd
     return np.nonzero(good)
 
 
-def _linked(rows: Iterator[pd.DataFrame], n: int, threshold: float) -> Iterator[pd.DataFrame]:
+def _hashed(docs: DataFrame, sets: DataFrame, n: int) -> DataFrame:
+    """(set, hashes): the sorted n-gram hashes, 8 bytes each, of each of ``sets`` (set, member, print), found again by id and print of its text.
+
+    Texts are cut into n-grams once here, however many blocks a set takes part in.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grams_of = _Grams(n)
+        for batch in batches:
+            found = [(name, grams_of(text.encode())) for name, text in zip(batch["set"], batch["text"], strict=True)]
+            # else a row with the same id and print, and another text
+            yield pd.DataFrame([(name, grams.tobytes()) for name, grams in found if _key(grams) == name], columns=["set", "hashes"])
+
+    whole = docs.select(F.col("doc_id").cast("long").alias("_id"), _print(F.col("text")).alias("_print"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = whole.join(sets, F.col("_id").eqNullSafe(F.col("member")) & (F.col("_print") == F.col("print"))).select("set", "text")
+    return texts.mapInPandas(run, "set long, hashes binary").dropDuplicates(["set"])
+
+
+def _linked(rows: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
     """Compare the classes of each block; rows come sorted by block.
 
     Yields, for each class with links in a block, their number and the class that it
     hangs on in the block's spanning forest.
     """
-    grams_of = _Grams(n)
     block, members = None, {}
 
     def closed() -> pd.DataFrame | None:
@@ -198,18 +215,15 @@ def _linked(rows: Iterator[pd.DataFrame], n: int, threshold: float) -> Iterator[
         at = np.flatnonzero(links)
         return pd.DataFrame({"set": names[at], "links": links[at], "to": names[[top(int(x)) for x in at]]})
 
-    columns = ("block", "two", "bucket", "side", "set", "own", "text")
+    columns = ("block", "two", "bucket", "side", "set", "own", "hashes")
     for batch in rows:
-        for b, two, bucket, side, name, own, text in zip(*(batch[c] for c in columns), strict=True):
+        for b, two, bucket, side, name, own, hashes in zip(*(batch[c] for c in columns), strict=True):
             if block is not None and block[0] != b:
                 if (out := closed()) is not None:
                     yield out
                 members = {}
             block = (b, two, bucket)
-            if name not in members:
-                grams = grams_of(text.encode())
-                if _key(grams) == name:  # else a row with the same id and print, and another text
-                    members[name] = (side, grams, own)
+            members[name] = (side, np.frombuffer(hashes, U), own)
     if block is not None and (out := closed()) is not None:
         yield out
 
@@ -290,11 +304,10 @@ def _classes(docs: DataFrame, n: int, threshold: float, recall: float, digest: b
     placed = _buckets(sets).withColumn("_mine", mine).join(sets.select("set", "member", "print", "grams", "bands"), "set")
     own = F.transform("bands", lambda b: F.when(F.array_contains("_mine", b), b).otherwise(F.lit(0)))
     placed = stored(placed.withColumn("own", own).drop("_mine", "bands"), "placed")
-    blocks = _blocks(placed, threshold)
-    whole = docs.select(F.col("doc_id").cast("long").alias("_id"), _print(F.col("text")).alias("_print"), F.coalesce("text", F.lit("")).alias("text"))
-    with_text = whole.join(blocks, F.col("_id").eqNullSafe(F.col("member")) & (F.col("_print") == F.col("print")))
-    dealt = with_text.select("block", "two", "bucket", "side", "set", "own", "text").repartition("block").sortWithinPartitions("block", "side", "set")
-    found = dealt.mapInPandas(lambda it: _linked(it, n, threshold), "set long, links long, to long")
+    hashes = stored(_hashed(docs, placed.select("set", "member", "print").distinct(), n), "set-hashes")
+    blocks = _blocks(placed, threshold).select("block", "two", "bucket", "side", "set", "own")
+    dealt = blocks.join(hashes, "set").repartition("block").sortWithinPartitions("block", "side", "set")
+    found = dealt.mapInPandas(lambda it: _linked(it, threshold), "set long, links long, to long")
     found = stored(found, "links")
     links = found.groupBy("set").agg(F.sum("links").alias("n_links"))
     roots = components(found.select(F.col("set").alias("a"), F.col("to").alias("b"))).select(F.col("node").alias("set"), "root")
