@@ -206,7 +206,7 @@ def d4(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("d6_best_per_url", f"""WITH {O.PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY profile_id, lower(trim(url)) ORDER BY score DESC NULLS LAST, posting_seq DESC) AS n FROM {O.ranked('pairs')})
-SELECT profile_id, posting_seq, score FROM r WHERE n = 1""")
+SELECT profile_id, posting_seq, score FROM r WHERE n = 1 OR url = ''""")
 def d6(spark: SparkSession, d: str) -> DataFrame:
     return dedup.best_per_url(ranking.rank(pairs(spark, d), A.as_of()), "profile_id").select("profile_id", "posting_seq", "score")
 
