@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from postlake.functions import text
 from postlake.operators import breaker, dedup, freshness, outcomes, ranking
-from postlake.operators.views import top_per
 from postlake.plans import cycle
 from postlake.plans import oracle as O
 from postlake.plans.queries import _HALVES, _RUN, SQL, attempts, pairs, query, s1, s8

@@ -133,7 +133,7 @@ def test_preferences_and_sources(spark):
 
 def test_cards_of_sparse_postings(spark):
     schema = "title string, company string, location string, work_mode string, employment_type string, source string, url string, published_at timestamp, reasoning array<string>, score int, area string, seniority string"
-    df = spark.createDataFrame([("<b>&", None, None, "", None, "", None, None, None, 90, None, None), ("t" * 5000, "c", "l", "rEMOTE", "pj", "gUPY", "u", dt.datetime(2024, 2, 1), ["r1<", "r2", "r3", "r4", "r5"], 71, "A", "s")], schema)
+    df = spark.createDataFrame([("<b>&", None, None, "", None, "", None, None, None, 90, None, None), ("t" * 5000, "c", "l", "rEMOTE", "pj", "bOARD", "u", dt.datetime(2024, 2, 1), ["r1<", "r2", "r3", "r4", "r5"], 71, "A", "s")], schema)
     chat = [r[0] for r in df.select(messages.chat_card()).collect()]
     assert "💼 <b>&lt;b&gt;&amp;</b>" in chat[0] and "Empresa:</b> Empresa\n" in chat[0] and "Recente" in chat[0] and "Motivos" not in chat[0] and "href" not in chat[0]
     assert len(chat[1]) == 4000
@@ -143,7 +143,7 @@ def test_cards_of_sparse_postings(spark):
     assert [c["embeds"][0]["color"] for c in cards] == [0x2ECC71, 0x3498DB]
     fields = [{f["name"]: f["value"] for f in c["embeds"][0]["fields"]} for c in cards]
     assert fields[0]["Modelo"] == "N/a" and fields[0]["Tipo"] == "N/A" and fields[0]["Fonte"] == "Web" and "Destaques" not in fields[0]
-    assert fields[1]["Modelo"] == "Remote" and fields[1]["Fonte"] == "Gupy" and fields[1]["Destaques"] == "• r1<\n• r2\n• r3\n• r4" and fields[1]["Data de Publicação"] == "01/02/2024"
+    assert fields[1]["Modelo"] == "Remote" and fields[1]["Fonte"] == "Board" and fields[1]["Destaques"] == "• r1<\n• r2\n• r3\n• r4" and fields[1]["Data de Publicação"] == "01/02/2024"
 
 
 @pytest.mark.parametrize("name", ["w3_top_new", "a9_weekly_totals", "v14_validate", "n9_dedup_key", "r10_rank"])
