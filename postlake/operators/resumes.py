@@ -6,10 +6,14 @@ A null text is an empty one and gives empty sections, lists and summaries.
 from __future__ import annotations
 
 import re
+from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postlake.functions.text import let
+
 # Ligatures and characters of no width, and what replaces them.
 LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl", "\xad": "", "\u200b": ""}
 # Signs that count as bullets.
@@ -110,6 +114,8 @@ OTHER_ROLES = ["Desenvolvedor de Software {}", "Desenvolvedor Backend {}", "Enge
 
 WORD = r"[\p{L}\p{N}_]"
 GAP = r"[ \t\r\n\f]*"
+# White space and separators, [\s\x0B\p{Z}].
+SPACE = " \t\n\x0b\f\r\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def clean_text(c: Column) -> Column:
@@ -124,9 +130,9 @@ def clean_text(c: Column) -> Column:
 
 def is_english(c: Column) -> Column:
     """Whether more of the English marks than of the Portuguese ones occur."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(f"({WORD}+)"), 1)
-    n = lambda marks: F.size(F.array_intersect(words, F.array(*[F.lit(m) for m in marks])))
-    return n(ENGLISH) > n(PORTUGUESE)
+    found = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(_edged(_tree(ENGLISH + PORTUGUESE))), 0))
+    n = lambda words, marks: F.size(F.array_intersect(words, F.array(*[F.lit(m) for m in marks])))
+    return let(found, lambda words: n(words, ENGLISH) > n(words, PORTUGUESE))
 
 
 def _edged(pattern: str) -> str:
@@ -134,22 +140,51 @@ def _edged(pattern: str) -> str:
     return rf"(?<!{WORD})(?:{pattern})(?!{WORD})"
 
 
+def _tree(terms: list[str]) -> str:
+    """A pattern of fixed terms, the longest that matches first, in which terms with a common beginning share it: a place in a text fails after few steps."""
+    rest: dict[str, list[str]] = {}
+    for t in filter(None, terms):
+        rest.setdefault(t[0], []).append(t[1:])
+    branches = "|".join(re.escape(first) + _tree(more) for first, more in rest.items())
+    if not branches:
+        return ""
+    return f"(?:{branches})?" if "" in terms else f"(?:{branches})" if len(rest) > 1 else branches
+
+
+def _may(low: Column, words: str) -> Column:
+    """Whether a text in lower case holds, of one alternative, all letters that its matches must hold: cheap, and never false where ``words`` match."""
+    # a choice of letters is written out, so that a word stays whole
+    branches = [b for branch in words.split("|") for b in map("".join, product(*[x[1:-1] if x[0] == "[" else [x] for x in re.findall(r"\[\w+\](?![?*])|\\.|.", branch)]))]
+    runs = [re.findall(r"[^\W_]+", re.sub(r"\\.|\[[^]]*\]|\w[?*]", " ", branch)) for branch in branches]
+    return reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.contains(low, F.lit(r)) for r in branch], F.lit(True)) for branch in runs])
+
+
+def _names(low: Column, words: str, before: str = "") -> Column:
+    """Whether a text in lower case has one of the words between word edges, after ``before``; the pattern, which is slow, is tried only where it may match."""
+    return _may(low, words) & F.rlike(low, F.lit(before + _edged(words)))
+
+
+def _folded(c: Column) -> Column:
+    """Lower case, also of the four signs beyond ASCII that (?iu) takes for letters of ASCII."""
+    return F.lower(reduce(lambda x, s: F.replace(x, F.lit(s[0]), F.lit(s[1])), (("ſ", "s"), ("ı", "i"), ("İ", "i"), ("\u212a", "k")), c))
+
+
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^[\s\x0B\p{Z}]+|[\s\x0B\p{Z}]+\z", "")
+    return F.btrim(c, F.lit(SPACE))
 
 
 def _lines(c: Column) -> Column:
     """The lines of a text that aren't blank, without space around them."""
-    return F.filter(F.transform(F.split(c, r"\r\n|[\n\r\x0B\f\x1c-\x1e\x85\u2028\u2029]"), _strip), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, r"[\n\r\x0B\f\x1c-\x1e\x85\u2028\u2029]"), _strip), lambda x: x != "")
 
 
 def _heading(line: Column) -> Column:
     """The section that a short line is the title of, or null."""
-    bare = F.btrim(F.lower(line), F.lit(":•-# "))
-    named = F.lit(None).cast("string")
-    for name, titles in reversed(SECTIONS.items()):
-        named = F.when(F.rlike(bare, F.lit(rf"^(?:{titles})[:\s]*\z")), name).otherwise(named)
-    return F.when(F.length(line) < 50, named)
+
+    def named(bare: Column) -> Column:
+        return F.coalesce(*[F.when(F.rlike(bare, F.lit(rf"^(?:{titles})[:\s]*\z")), name) for name, titles in SECTIONS.items()])
+
+    return F.when(F.length(line) < 50, let(F.btrim(F.lower(line), F.lit(":•-# ")), named))
 
 
 def sections(df: DataFrame, text: str = "text") -> DataFrame:
@@ -172,18 +207,22 @@ def sections(df: DataFrame, text: str = "text") -> DataFrame:
         ),
     )
 
-    def under(name: str) -> Column:
-        parts = F.transform(F.filter("_parts", lambda r: r["name"] == name), lambda r: F.slice("_lines", r["start"], r["n"]))
-        return F.array_join(F.flatten(parts), "\n").alias(name)
+    def under(parts: Column, name: str) -> Column:
+        own = F.transform(F.filter(parts, lambda r: r["name"] == name), lambda r: F.slice("_lines", r["start"], r["n"]))
+        return F.array_join(F.flatten(own), "\n").alias(name)
+
+    # a struct that is made in plain sight would be made again for each use of a field
+    made = let(F.col("_parts"), lambda parts: F.struct(*[under(parts, name) for name in ("header", *SECTIONS)]))
 
     steps = df.withColumn("_lines", _lines(F.coalesce(text, F.lit("")))).withColumn("_heads", heads).withColumn("_runs", runs).withColumn("_parts", following)
-    return steps.withColumn("sections", F.struct(*map(under, ["header", *SECTIONS]))).drop("_lines", "_heads", "_runs", "_parts")
+    return steps.withColumn("sections", made).drop("_lines", "_heads", "_runs", "_parts")
 
 
 def _any_term() -> str:
     """Terms, longest first, with what stands around each kind stated once, so most places in a text fail at once."""
-    listed = lambda some: "|".join(re.escape(t) for t in sorted(SKILLS, key=len, reverse=True) if (t in SEPARATED) == some)
-    return rf"(?:^|(?<=[\s,;|(/]))(?:{listed(True)})(?=[\s,;|)/]|\z)|{_edged(listed(False))}"
+    listed = lambda some: [t for t in SKILLS if (t in SEPARATED) == some]
+    first = "".join(sorted({re.escape(t[0]) for t in SEPARATED}))
+    return rf"(?=[{first}])(?:^|(?<=[\s,;|(/]))(?:{_tree(listed(True))})(?=[\s,;|)/]|\z)|{_edged(_tree(listed(False)))}"
 
 
 def _within(term: str) -> list[str]:
@@ -208,8 +247,9 @@ def free_skills(section: Column) -> Column:
     items = F.filter(items, lambda x: F.length(x).between(2, 30) & ~F.rlike(x, F.lit(f"(?iu){_edged(NO_SKILL)}")))
     table = F.create_map(*[F.lit(x) for pair in SKILLS.items() for x in pair])
     named = F.transform(items, lambda x, i: F.struct(F.lower(x).alias("key"), i.alias("at"), F.coalesce(F.try_element_at(table, F.lower(x)), F.when(F.rlike(x, F.lit(r"\p{Lu}")), x)).alias("skill")))
-    named = F.array_sort(F.filter(named, lambda x: x["skill"].isNotNull()))
-    last = F.filter(F.transform(named, lambda x, i: F.struct(x["skill"].alias("skill"), (F.get(named, i + 1)["key"] == x["key"]).alias("again"))), lambda x: ~F.coalesce(x["again"], F.lit(False)))
+    ordered = F.array_sort(F.filter(named, lambda x: x["skill"].isNotNull()))
+    again = lambda each: F.transform(each, lambda x, i: F.struct(x["skill"].alias("skill"), (F.get(each, i + 1)["key"] == x["key"]).alias("again")))
+    last = F.filter(let(ordered, again), lambda x: ~F.coalesce(x["again"], F.lit(False)))
     return F.array_distinct(F.transform(last, lambda x: x["skill"]))
 
 
@@ -223,34 +263,51 @@ def ordered_skills(found: Column) -> Column:
 def languages(section: Column, text: Column) -> Column:
     """Languages with their levels; the document's own language counts as known if it isn't named."""
     lower = F.lower(F.concat(F.coalesce(section, F.lit("")), F.lit("\n"), F.coalesce(text, F.lit(""))))
-    english = is_english(text)
-    unnamed = {"Português": F.when(~english, "Português (Nativo)"), "Inglês": F.when(english, "Inglês (Fluente)"), "Espanhol": F.lit(None)}
     plain = {"Espanhol": "Espanhol (Básico)"}
-    found = []
-    for language, (names, levels) in LEVELS.items():
-        before = "portugu[êe]s" if language == "Português" else f"(?:{names})"
-        level = F.lit(plain.get(language, language))
-        for shown, words in reversed(levels):
-            level = F.when(F.rlike(lower, F.lit(rf"{before}[^\n.,;]*{_edged(words)}")), f"{language} ({shown})").otherwise(level)
-        found.append(F.when(F.rlike(lower, F.lit(_edged(names))), level).otherwise(unnamed[language]))
-    return F.array_compact(F.array(*found))
+
+    def known(low: Column, english: Column) -> Column:
+        unnamed = {"Português": F.when(~english, "Português (Nativo)"), "Inglês": F.when(english, "Inglês (Fluente)"), "Espanhol": F.lit(None)}
+        found = []
+        for language, (names, levels) in LEVELS.items():
+            before = "portugu[êe]s" if language == "Português" else f"(?:{names})"
+            level = F.lit(plain.get(language, language))
+            for shown, words in reversed(levels):
+                level = F.when(_names(low, words, rf"{before}[^\n.,;]*"), f"{language} ({shown})").otherwise(level)
+            found.append(F.when(_names(low, names), level).otherwise(unnamed[language]))
+        return F.array_compact(F.array(*found))
+
+    return let(F.struct(lower.alias("low"), is_english(text).alias("english")), lambda x: known(x["low"], x["english"]))
 
 
 def experience(s: Column, year: int) -> Column:
     """Struct of years of experience and seniority; ``year`` is the present one. Numbers beyond an int are none."""
-    text = F.lower(F.concat_ws("\n", s["header"], s["summary"], s["experience"], s["education"], s["projects"]))
-    has = lambda words: F.rlike(text, F.lit(_edged(words)))
-    said = F.array_compact(F.transform(F.regexp_extract_all(text, F.lit(YEARS), 1), lambda x: x.try_cast("int")))
-    dated = F.when(s["experience"] != "", s["experience"]).otherwise(text)
-    dates = F.transform(F.regexp_extract_all(dated, F.lit(_edged("20[0-2][0-9]")), 0), lambda x: x.cast("int"))
-    span = F.least(year - F.array_min(dates), F.array_max(dates) - F.array_min(dates))
-    years = F.when(F.size(said) > 0, F.array_max(said)).when((F.size(dates) >= 2) & span.between(0, 30), span).otherwise(0)
-    student = has(STUDENT)
-    few = F.least(years, F.lit(2))
-    level = F.when(has(SENIOR), "senior").when(has(MIDDLE), "mid").when(student | (years <= 2) | has(JUNIOR), "junior").otherwise("mid")
-    held = F.when(has(SENIOR), F.greatest(years, F.lit(5))).when(has(MIDDLE), F.greatest(years, F.lit(3)))
-    held = held.when(level == "junior", F.when((few == 0) & student, 1).otherwise(few)).otherwise(years)
-    return F.struct(held.alias("years"), level.alias("seniority"))
+    story = F.lower(F.concat_ws("\n", s["header"], s["summary"], s["experience"], s["education"], s["projects"]))
+
+    def told(x: Column) -> Column:
+        """What the text says, each found once."""
+        text = x["story"]
+        said = F.when(F.contains(text, F.lit("experi")), F.regexp_extract_all(text, F.lit(YEARS), 1)).otherwise(F.array().cast("array<string>"))
+        dated = F.when(x["experience"] != "", x["experience"]).otherwise(text)
+        dates = F.regexp_extract_all(dated, F.lit(rf"2(?<!{WORD}2)0[0-2][0-9](?!{WORD})"), 0)
+        return F.struct(
+            F.array_compact(F.transform(said, lambda y: y.try_cast("int"))).alias("said"), F.transform(dates, lambda y: y.cast("int")).alias("dates"),
+            *[_names(text, words).alias(name) for name, words in (("student", STUDENT), ("senior", SENIOR), ("middle", MIDDLE), ("junior", JUNIOR))],
+        )
+
+    def years(x: Column) -> Column:
+        dates = x["dates"]
+        span = F.least(year - F.array_min(dates), F.array_max(dates) - F.array_min(dates))
+        return F.when(F.size(x["said"]) > 0, F.array_max(x["said"])).when((F.size(dates) >= 2) & span.between(0, 30), span).otherwise(0)
+
+    def judged(x: Column) -> Column:
+        years, few = x["years"], F.least(x["years"], F.lit(2))
+        level = F.when(x["senior"], "senior").when(x["middle"], "mid").when(x["student"] | (years <= 2) | x["junior"], "junior").otherwise("mid")
+        held = F.when(x["senior"], F.greatest(years, F.lit(5))).when(x["middle"], F.greatest(years, F.lit(3)))
+        held = held.when(level == "junior", F.when((few == 0) & x["student"], 1).otherwise(few)).otherwise(years)
+        return F.struct(held.alias("years"), level.alias("seniority"))
+
+    found = let(F.struct(story.alias("story"), s["experience"].alias("experience")), told)
+    return let(let(found, lambda x: F.struct(years(x).alias("years"), *[x[n].alias(n) for n in ("student", "senior", "middle", "junior")])), judged)
 
 
 def _level(seniority: Column) -> Column:
@@ -293,10 +350,13 @@ def summary(section: Column, text: Column, longest: int = 750) -> Column:
     """The summary's section, or the first long paragraph that names no contact, without lines of contacts."""
     told = F.coalesce(section, F.lit(""))
     blocks = F.transform(F.split(F.coalesce(text, F.lit("")), "\n\n"), _strip)
-    plain = F.filter(blocks, lambda x: (F.length(x) >= 60) & ~F.contains(x, F.lit("@")) & ~F.rlike(x, F.lit(f"(?iu){_edged(CONTACT_WORDS)}")))
+    contact = lambda x: _may(_folded(x), CONTACT_WORDS) & F.rlike(x, F.lit(f"(?iu){_edged(CONTACT_WORDS)}"))
+    plain = F.filter(blocks, lambda x: (F.length(x) >= 60) & ~F.contains(x, F.lit("@")) & ~contact(x))
     raw = F.when(F.length(_strip(told)) < 30, F.coalesce(F.get(plain, F.lit(0)), told)).otherwise(told)
-    kept = F.filter(_lines(raw), lambda x: ~F.contains(x, F.lit("@")) & ~F.rlike(x, F.lit(rf"(?i)\b(?:{CONTACTS})\b")) & (F.length(x) >= 3))
-    return F.substring(_strip(F.regexp_replace(F.array_join(kept, " "), r"[\s\x0B\p{Z}]+", " ")), 1, longest)
+    # what a contact begins with is a quicker test than an edge
+    kept = F.filter(_lines(raw), lambda x: ~F.contains(x, F.lit("@")) & ~F.rlike(x, F.lit(rf"(?i)(?=[hlg+\d])\b(?:{CONTACTS})\b")) & (F.length(x) >= 3))
+    # a single blank stays as it is
+    return F.substring(_strip(F.regexp_replace(F.array_join(kept, " "), r"[\s\x0B\p{Z}]{2,}|[\s\x0B\p{Z}&&[^ ]]", " ")), 1, longest)
 
 
 def profiles(df: DataFrame, year: int, text: str = "text") -> DataFrame:

@@ -57,3 +57,31 @@ def test_files_and_uploads(spark):
     uploads = [("a.pdf", "", 1), ("a.exe", "text/plain", 1), (None, "text/plain", 1), ("", None, 1), (".txt", "x", 1), ("a.md", "", 0), ("a.md", "", None), ("a.md", "", 10 * 2**20 + 1)]
     rows = spark.createDataFrame(uploads, "f string, t string, n long").select(X.refusal(F.col("f"), F.col("t"), F.col("n")).alias("r")).collect()
     assert [r.r for r in rows] == [None, "extension", None, "type", "type", "empty", "empty", "too_large"]
+
+
+def test_quick_tests_lose_nothing(spark):
+    """Patterns behind a test of their letters find what they find alone, and a tree of terms what a list of them finds."""
+    texts = ["", "sênior", "senior.", "xsênior", "sr", "sr.", "tech  lead", "leads", "est\u00e1gio em 2020", "estagiária", "previsão de\tformatura", "mid-level", "pl", "pl.x", "entry-level", "inglês: avançado, b2", "english c1", "WhatsApp", "linKedIn", "anos 3", "full stack"]
+    rows = spark.createDataFrame([(x,) for x in texts], "text string")
+    low = F.lower("text")
+    for words in (X.STUDENT, X.SENIOR, X.MIDDLE, X.JUNIOR, X.CONTACT_WORDS, X.CALLING, X.NO_SKILL, *[w for _, levels in X.LEVELS.values() for _, w in levels], *[n for n, _ in X.LEVELS.values()]):
+        plain = F.rlike(low, F.lit(X._edged(words)))
+        assert rows.where(X._names(low, words) != plain).count() == 0, words
+    odd = spark.createDataFrame([("lin\u212aed\u0131n",), ("GitHub",), ("celular",), ("what\u017fapp",), ("linke",)], "text string")
+    assert odd.where(F.rlike("text", F.lit(f"(?iu){X._edged(X.CONTACT_WORDS)}")) & ~X._may(X._folded(F.col("text")), X.CONTACT_WORDS)).count() == 0
+    assert re.fullmatch(X._tree(["go", "golang", "c", "spring", "spring boot"]), "spring boot") and not re.fullmatch(X._tree(["go", "golang"]), "gola")
+
+
+def test_a_text_is_cut_into_sections_once(spark):
+    """A profile uses its sections often; each of the seven is put together in one place of the plan."""
+    found = X.profiles(spark.createDataFrame([(1, "a")], "id int, text string"), 2024)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_join(flatten(") == 7
+
+
+def test_a_section_of_many_skills(spark):
+    items = ", ".join(f"Skill{k}" for k in range(3000)) + ", SKILL7"
+    found = spark.createDataFrame([(items,)], "text string").select(X.free_skills(F.col("text")).alias("s"))
+    assert len(found.first().s) == 3000 and "SKILL7" in found.first().s
+    # a list that names itself for each of its items is made again for each
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("array_sort(") == 1
