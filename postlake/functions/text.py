@@ -23,7 +23,15 @@ def _class(codes: list[int]) -> str:
             ranges[-1][1] = c
         else:
             ranges.append([c, c])
-    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+    return _ranges(ranges)
+
+
+def _ranges(ranges: list[list[int]]) -> str:
+    """A class of ranges in which each half stands behind a test of its whole span: a character is tested against few ranges, not against all."""
+    if len(ranges) <= 4:
+        return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+    half = len(ranges) // 2
+    return f"[\\x{{{ranges[0][0]:X}}}-\\x{{{ranges[-1][1]:X}}}&&[{_ranges(ranges[:half])}{_ranges(ranges[half:])}]]"
 
 
 def _decomposed() -> tuple[dict[str, str], dict[str, str], str]:
@@ -87,7 +95,7 @@ def _plain(c: Column) -> Column:
         return F.array_join(F.transform(F.split(text, ""), one), "")
 
     # what isn't in the table of single characters is rare, and only then a text is taken apart
-    rare = _MORE_CLASS[:-1] + _HANGUL[1:]
+    rare = f"[{_MORE_CLASS}{_HANGUL}]"
     split = let(F.translate(c, "".join(_ONE), "".join(_ONE.values())), lambda text: F.when(text.rlike(rare), apart(text)).otherwise(text))
     return F.regexp_replace(split, _MARKS, "")
 
@@ -171,10 +179,16 @@ def content_hash(title: Column, company: Column, location: Column, url: Column,
     return hash_of(dedup_key(title, company, location), url, external_id)
 
 
+def _any_branch(low: Column, pattern: str) -> Column:
+    """Whether a text in lower case matches: words are searched as they are, other branches as patterns where their longest run of letters occurs."""
+    bare = lambda b: max(re.findall("[a-z]+", re.sub(r"\\.|\[[^]]*\]", " ", b)), key=len)
+    return reduce(lambda x, y: x | y, [F.contains(low, F.lit(b)) if b.isalpha() else F.contains(low, F.lit(bare(b))) & low.rlike("(?U)" + b) for b in pattern.split("|")])
+
+
 def infer_seniority(title: Column, description: Column) -> Column:
     """The first level, in the rules' order, that title or first 500 characters of the description name."""
     text = F.lower(strip_accents(F.concat_ws(" ", _text(title), F.substring(_text(description), 1, 500))))
-    return let(text, lambda x: F.coalesce(*[F.when(x.rlike("(?U)" + p), level) for level, p in rules.SENIORITY], F.lit("")))
+    return let(text, lambda x: F.coalesce(*[F.when(_any_branch(x, p), level) for level, p in rules.SENIORITY], F.lit("")))
 
 
 def city_part(c: Column, separators: str = "[,/-]") -> Column:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 import tempfile
 import unicodedata
 from collections import Counter
@@ -154,3 +155,15 @@ def test_generated_code_compiles(spark, name):
         queries.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
     finally:
         spark.conf.unset("spark.sql.codegen.fallback")
+
+
+def test_classes_of_many_ranges_are_trees(spark):
+    """A character is tested against few ranges; what the class holds stays as the tables of Unicode have it."""
+    for pattern in (text._MARKS, text._MORE_CLASS):
+        assert max(x.count("-") for x in re.findall(r"\[((?:\\x\{\w+\}-\\x\{\w+\})+)", pattern)) <= 4
+    codes = [k for k in range(0x80, 0x30000) if not 0xD800 <= k < 0xE000]
+    chars = spark.createDataFrame([("".join(chr(k) for k in codes[at : at + 2000]),) for at in range(0, len(codes), 2000)], "c string")
+    found = "".join(r[0] for r in chars.select(F.array_join(F.regexp_extract_all("c", F.lit(f"({text._MARKS})"), 1), "")).collect())
+    assert sorted(found) == [chr(k) for k in codes if unicodedata.combining(chr(k))]
+    told = ["Estagiário", "trainee", "xjrx", "jr.", "Entry level", "mid-level", "leads", "lead", "staffing", "Pleno", "middle", None]
+    assert values(spark, told, text.infer_seniority(F.col("c"), F.lit(None))) == ["estagio", "trainee", "", "junior", "junior", "mid", "", "senior", "senior", "mid", "", ""]
