@@ -5,10 +5,8 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from postlake.functions.feed_text import search_predicate, search_variants
 
@@ -16,9 +14,9 @@ from postlake.functions.feed_text import search_predicate, search_variants
 BUCKETS = 64
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _trigrams(found: pd.Series) -> pd.Series:
-    return pd.Series([sorted({t[k : k + 3] for t in texts for k in range(len(t) - 2)}) for texts in found])
+def _trigrams(low: Column) -> Column:
+    """The trigrams of a text, with built-in functions, so that no batch of lists is built outside a row; none begins within a pair of surrogates."""
+    return F.regexp_extract_all(low, F.lit(r"(?s)(?![\x{DC00}-\x{DFFF}])(?=(...))"), 1)
 
 
 def _bucket(gram: Column) -> Column:
@@ -30,8 +28,8 @@ def build(rows: DataFrame, fields: list[str], path: str) -> None:
 
     A gram that most postings have is spread over all files of its bucket; no group of it is formed.
     """
-    low = F.array(*[F.lower(F.coalesce(c, F.lit(""))) for c in fields])
-    grams = rows.select("posting_seq", F.explode(_trigrams(low)).alias("gram")).withColumn("bucket", _bucket(F.col("gram")))
+    own = F.array_distinct(F.concat(*[_trigrams(F.lower(F.coalesce(c, F.lit("")))) for c in fields]))
+    grams = rows.select("posting_seq", F.explode(own).alias("gram")).withColumn("bucket", _bucket(F.col("gram")))
     grams.write.partitionBy("bucket").mode("overwrite").parquet(path)
 
 

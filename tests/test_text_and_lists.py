@@ -167,3 +167,11 @@ def test_classes_of_many_ranges_are_trees(spark):
     assert sorted(found) == [chr(k) for k in codes if unicodedata.combining(chr(k))]
     told = ["Estagiário", "trainee", "xjrx", "jr.", "Entry level", "mid-level", "leads", "lead", "staffing", "Pleno", "middle", None]
     assert values(spark, told, text.infer_seniority(F.col("c"), F.lit(None))) == ["estagio", "trainee", "", "junior", "junior", "mid", "", "senior", "senior", "mid", "", ""]
+
+
+def test_trigrams_need_no_python_worker(spark):
+    """Lists of grams grow with texts, so no batch of rows may hold them at once; characters beyond the BMP count as one."""
+    texts = ["a😀b😀\n cd", "ab", "", "😀😀😀😀", "aaaa", "ção"]
+    rows = spark.createDataFrame([(x,) for x in texts], "c string").coalesce(1).select(search._trigrams(F.col("c")).alias("g"))
+    assert [sorted(set(r.g)) for r in rows.collect()] == [sorted({x[k : k + 3] for k in range(len(x) - 2)}) for x in texts]
+    assert "Python" not in rows._jdf.queryExecution().optimizedPlan().toString()
