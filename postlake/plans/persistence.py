@@ -32,9 +32,8 @@ def _jobs_schema(incoming: DataFrame) -> StructType:
     return StructType.fromJson(json.loads(re.sub(r'"(nullable|containsNull|valueContainsNull)":false', r'"\1":true', whole)))
 
 
-def new_jobs(batch: cycle.Judged, schema: StructType, as_of: Column) -> DataFrame:
-    """A row per posting that is valid for some profile."""
-    valid = batch.scored.where("is_valid").select("posting_seq").distinct()
+def new_jobs(batch: cycle.Judged, valid: DataFrame, schema: StructType, as_of: Column) -> DataFrame:
+    """A row per posting that is valid for some profile, as the ids in ``valid`` tell."""
     rows = batch.marked.join(valid, "posting_seq", "left_semi").withColumns(
         {
             "status_reason": F.col("ghost_reason"), "discovered_at": as_of, "last_checked_at": as_of,
@@ -90,7 +89,9 @@ def run(store: Tables, run_id: str, incoming: DataFrame, profiles: DataFrame, as
     batch = cycle.judge(incoming, lambda _: dedup.known(jobs.where("status <> 'closed'")), profiles, as_of, max_days)
     batch.scored = staged(ranking.reasoned(batch.scored).select("posting_seq", "profile_id", "is_valid", "discard_reason", *_SCORES, F.slice("reasoning", 1, REASONS).alias("reasoning")), "scored")
     counted = {k: Observation() for k in ("new", "scored", "log")}
-    fresh = staged(new_jobs(batch, schema, as_of).observe(counted["new"], F.count(F.lit(1)).alias("new")), "new-jobs")
+    # ids are counted and kept; whole postings are first written by the commit
+    ids = staged(batch.scored.where("is_valid").select("posting_seq").distinct().observe(counted["new"], F.count(F.lit(1)).alias("new")), "new-ids")
+    fresh = new_jobs(batch, ids, schema, as_of)
     again, log = seen_again(batch.known, jobs, as_of)
     # one row per duplicate that tells of a change, as each is an update
     updates = staged(log.select("posting_seq", "by").distinct().observe(counted["log"], F.count(F.lit(1)).alias("updated")), "updates")
